@@ -16,7 +16,10 @@ ColumnLike = Column | str
 
 
 def as_column(value: ColumnLike) -> Column:
-    return F.col(f"`{value}`") if isinstance(value, str) else value
+    """A column by its literal name, dots and blanks included."""
+    if isinstance(value, Column):
+        return value
+    return F.col("`" + value.replace("`", "``") + "`")
 
 
 def holds(condition: Column) -> Column:
