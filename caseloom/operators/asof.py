@@ -26,6 +26,7 @@ def asof_join(
     tolerance: dt.timedelta | None = None,
     right_order: Sequence[str] = (),
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left rows, each with the right row nearest in time, or nulls.
 
@@ -33,6 +34,7 @@ def asof_join(
     both ways (an equal distance goes backward). The tolerance is inclusive. Among right
     rows at one time, ``forward`` takes the first and ``backward`` the last in
     ``right_order``, which must make them unique. Rows without key or time match nothing.
+    ``sizes_from`` is handed to :class:`OrderedGroups`.
     """
     if direction == "nearest":
         return _nearest(left, right, left_time, right_time, by, tolerance, right_order, max_group_rows)
@@ -72,6 +74,7 @@ def asof_join(
         ["_at", "_side", *ties],
         descending=forward,
         max_group_rows=max_group_rows,
+        sizes_from=sizes_from,
     )
     found = scan.last_known("_found", "_match").result().filter(F.col("_here").isNotNull())
 
@@ -89,7 +92,7 @@ def _nearest(left, right, left_time, right_time, by, tolerance, right_order, max
     added = [c for c in right.columns if c not in by]
     before = right.select(*by, *[F.col(c).alias(f"_b_{c}") for c in added])
     after = right.select(*by, *[F.col(c).alias(f"_a_{c}") for c in added])
-    both = left
+    both, keys = left, left.select(*by).unionByName(right.select(*by))
     for side, prefix, direction in ((before, "_b_", "backward"), (after, "_a_", "forward")):
         both = asof_join(
             both,
@@ -101,6 +104,7 @@ def _nearest(left, right, left_time, right_time, by, tolerance, right_order, max
             tolerance,
             [o if o in by else prefix + o for o in right_order],
             max_group_rows,
+            keys,
         )
     back = micros_between(f"_b_{right_time}", left_time)
     ahead = micros_between(left_time, f"_a_{right_time}")

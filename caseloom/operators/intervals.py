@@ -11,32 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cells per coarser cell, and number of levels: half days, 16 days, 512 days.
-FAN_OUT = 32
-LEVELS = 3
+# Cells per coarser cell as a power of two, and number of levels: half days, 4 days, 32 days, 256 days.
+FAN_OUT_BITS = 3
+LEVELS = 4
 
+# Every date of a calendar of 9999 years fits into these.
+_SHIFT, _SPAN = 2**23, 2**24
 
-def _cell(day: Column) -> Column:
-    return F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 2
+
+def _half_day(day: Column) -> Column:
+    """Even numbers are midnights, the odd ones after them the rest of the day."""
+    return _days(day.cast("date")) * 2
+
+
+def _days(day: Column) -> Column:
+    return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint")
+
+
+def _pack(start: Column, end: Column) -> Column:
+    """Start and end as one number that sorts like the pair, which hashes faster than it."""
+    return (_days(start) + _SHIFT) * _SPAN + (_days(end) + _SHIFT)
+
+
+def _packed_end(packed: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), (packed % _SPAN - _SHIFT).cast("int"))
+
+
+def _coded(cell: Column, level: int) -> Column:
+    return cell * LEVELS + level
 
 
 def _run(level: int, lo: Column, hi: Column) -> Column:
-    cells = F.transform(F.sequence(lo, hi), lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
-    return F.when(lo <= hi, cells).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+    cells = F.sequence(_coded(lo, level), _coded(hi, level), F.lit(LEVELS).cast("bigint"))
+    return F.when(lo <= hi, cells).otherwise(F.array().cast("array<bigint>"))
 
 
-def _cover(lo: Column, hi: Column) -> Column:
-    """Disjoint cells of all levels that make up ``lo``..``hi``."""
-    runs = []
+def _whole_cells(level: int) -> tuple[Column, Column]:
+    """First and last cell of a level that lies within ``_lo``..``_hi``."""
+    bits = FAN_OUT_BITS * level
+    return F.shiftright(F.col("_lo") + (2**bits - 1), bits), F.shiftright(F.col("_hi") + 1, bits) - 1
+
+
+def _cover() -> Column:
+    """Disjoint cells of all levels that make up ``_lo``..``_hi``."""
+    runs = [_run(LEVELS - 1, *_whole_cells(LEVELS - 1))]
     for level in range(LEVELS - 1):
-        first = F.ceil(lo / F.lit(FAN_OUT)).cast("bigint")
-        last = F.floor((hi + 1) / F.lit(FAN_OUT)).cast("bigint") - 1
-        whole = first <= last
-        runs.append(_run(level, lo, F.when(whole, first * FAN_OUT - 1).otherwise(hi)))
-        runs.append(F.when(whole, _run(level, (last + 1) * FAN_OUT, hi)).otherwise(_run(level, F.lit(1), F.lit(0))))
-        lo = F.when(whole, first).otherwise(F.lit(1).cast("bigint"))
-        hi = F.when(whole, last).otherwise(F.lit(0).cast("bigint"))
-    runs.append(_run(LEVELS - 1, lo, hi))
+        lo, hi = _whole_cells(level)
+        first, last = _whole_cells(level + 1)
+        # Cells before and after those that a coarser level covers.
+        runs.append(_run(level, lo, F.least(hi, F.shiftleft(first, FAN_OUT_BITS) - 1)))
+        runs.append(_run(level, F.shiftleft(F.greatest(first, last + 1), FAN_OUT_BITS), hi))
     return F.concat(*runs)
 
 
@@ -58,40 +82,29 @@ def point_in_interval(
     spans = (
         intervals.select(F.col(key).alias("_key"), F.col(start).cast("date").alias("_s"), F.col(end).cast("date").alias("_e"))
         .filter(F.col("_key").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull())
-        # Even cells are midnights, odd ones the day after them: both bounds are exclusive.
-        .withColumn("_lo", _cell(F.col("_s")) + F.lit(2 * start_shift_days + 1))
-        .withColumn("_hi", _cell(F.col("_e")) - 1)
+        # Both bounds are exclusive.
+        .withColumn("_lo", _half_day(F.col("_s")) + F.lit(2 * start_shift_days + 1))
+        .withColumn("_hi", _half_day(F.col("_e")) - 1)
         .filter("_lo <= _hi")
-        .select("_key", "_s", "_e", "_lo", "_hi")
-        .distinct()
     )
     covered = (
-        spans.select("_key", "_s", "_e", F.explode(_cover(F.col("_lo"), F.col("_hi"))).alias("_c"))
-        .groupBy("_key", F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
-        .agg(F.min("_s").alias("_s"), F.max(F.struct("_s", "_e")).alias("_top"))
+        spans.select("_key", "_s", "_e", F.explode(_cover()).alias("_cell"))
+        .groupBy("_key", "_cell")
+        .agg(F.min("_s").alias("_s"), F.max(_pack(F.col("_s"), F.col("_e"))).alias("_top"))
     )
 
     moment = F.col(at).cast("timestamp_ntz")
     midnight = moment.cast("date").cast("timestamp_ntz")
-    placed = points.withColumn("_point", _cell(moment) + F.when(moment > midnight, 1).otherwise(0))
-    levels = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(level).alias("level"),
-                    F.floor(F.col("_point") / F.lit(FAN_OUT**level)).cast("bigint").alias("cell"),
-                )
-                for level in range(LEVELS)
-            ]
-        )
+    placed = points.withColumn("_point", _half_day(moment) + F.when(moment > midnight, 1).otherwise(0))
+    cells = F.array(
+        *[_coded(F.shiftright("_point", FAN_OUT_BITS * level), level) for level in range(LEVELS)]
     )
     found = (
         placed.filter(F.col(key).isNotNull() & F.col("_point").isNotNull())
         .select(F.col(key).alias("_key"), "_point")
         .distinct()
-        .select("_key", "_point", levels.alias("_c"))
-        .select("_key", "_point", F.col("_c.level").alias("_level"), F.col("_c.cell").alias("_cell"))
-        .join(covered, ["_key", "_level", "_cell"])
+        .select("_key", "_point", F.explode(cells).alias("_cell"))
+        .join(covered, ["_key", "_cell"])
         .groupBy("_key", "_point")
         .agg(F.min("_s").alias("_s"), F.max("_top").alias("_top"))
         .withColumnRenamed("_point", "_hit")
@@ -100,6 +113,6 @@ def point_in_interval(
     return joined.select(
         *points.columns,
         F.col("_s").alias(start),
-        F.col("_top")["_e"].alias(end),
+        _packed_end(F.col("_top")).alias(end),
         F.col("_hit").isNotNull().alias(flag),
     )

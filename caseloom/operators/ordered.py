@@ -45,8 +45,8 @@ def _position_type(df: DataFrame, order: Sequence[str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def _group_limit(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame, int, int]:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+def _group_limit(rows: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame, int, int]:
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     seen = sizes.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("largest")).first()
     total, largest = seen["total"] or 0, seen["largest"] or 0
     return sizes, max(max_group_rows, -(-total // MAX_SLICES)), largest
@@ -91,6 +91,10 @@ class OrderedGroups:
 
     ``order`` must be unique within a group; with ``descending`` the scan runs backwards.
     Rows with a missing key belong to no group: they are kept, and every result is null.
+
+    Counting the groups reads ``df`` once more, its key columns only. If ``df`` is costly to
+    derive, ``sizes_from`` may name a cheaper table with about as many rows per key: the
+    counts decide how the work is split, never the result.
     """
 
     def __init__(
@@ -100,11 +104,12 @@ class OrderedGroups:
         order: Sequence[str],
         descending: bool = False,
         max_group_rows: int = MAX_GROUP_ROWS,
+        sizes_from: DataFrame | None = None,
     ):
         self.keys, self.order, self.descending = list(keys), list(order), descending
         self.columns = list(df.columns)
         self.sliced = False
-        sizes, limit, largest = _group_limit(df, self.keys, max_group_rows)
+        sizes, limit, largest = _group_limit(df if sizes_from is None else sizes_from, self.keys, max_group_rows)
         if largest > limit:
             df = self._slice(df, sizes, limit)
         self.df = df

@@ -112,13 +112,19 @@ def policy_edge(df: DataFrame, at: str, start: str, end: str, horizon: int = 730
     return known_rows(long, ["day"]).groupBy("edge", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all pairs of flags or numbers, over complete rows, long form."""
-    rows = known_rows(df, cols).select(*[as_column(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+def corr_matrix(df: DataFrame, cols: Sequence[str], complete: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of all pairs of flags or numbers, long form.
+
+    Rows must be complete in ``complete``, by default in all the columns. Constant columns
+    have no correlation.
+    """
+    rows = known_rows(df, cols if complete is None else complete)
+    rows = rows.select(*[as_column(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
 
     def pearson(i: int, j: int) -> Column:
-        spread = F.stddev_samp(f"c{i}") * F.stddev_samp(f"c{j}")
+        both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
+        spread = F.stddev_samp(F.when(both, F.col(f"c{i}"))) * F.stddev_samp(F.when(both, F.col(f"c{j}")))
         return F.try_divide(F.covar_samp(f"c{i}", f"c{j}"), spread)
 
     values = rows.agg(*[pearson(i, j).alias(f"r{i}_{j}") for i, j in pairs])

@@ -1,0 +1,152 @@
+"""The three stages end to end, with Parquet tables between them.
+
+Every stage reads what an earlier one wrote, so a lost executor costs a stage at most and
+no plan grows over several stages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseloom.functions import parse_date
+from caseloom.operators import aggregate as A
+from caseloom.operators import classify as C
+from caseloom.plans import cases, learning, reports
+from caseloom.plans import names as N
+from caseloom.session import tune
+from caseloom.sources import load_model, read_harmonised, read_table, save_model, write_table
+
+STAGES = ("data_preparation", "analysis", "machine_learning")
+YEARS = ("2021", "2022", "2023")
+
+
+class Folder:
+    """Tables below one path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write a table and return it as read back."""
+        write_table(df, f"{self.path}/{name}")
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+def prepare_data(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "csv") -> None:
+    """Clean calls, build cases and stays, link them, score the calls."""
+    interim, output = Folder(spark, f"{output_dir}/interim"), Folder(spark, f"{output_dir}/output")
+
+    def raw(name: str) -> str:
+        return f"{input_dir}/{name}.{fmt}"
+
+    calls = read_harmonised(
+        spark, [raw(f"assistance_{y}") for y in YEARS], N.RAW_CALLS, N.CALL_RENAMES, N.CALL_DROPS, fmt, keep_order=True
+    )
+    models = read_table(spark, raw("vehicle_model"), N.VEHICLE_MODELS, fmt)
+    cleaned = interim.keep("calls", cases.add_cases(cases.clean_calls(calls, models)))
+
+    lines = read_table(spark, raw("qlines"), N.RAW_LINES, fmt).withColumnRenamed("FIN", "VIN")
+    ends = read_table(spark, raw("qlines_repair_end"), N.RAW_ENDS, fmt)
+    stays = interim.keep(
+        "stays",
+        cases.build_stays(
+            lines.withColumn("Reparaturbeginndatum", parse_date("Reparaturbeginndatum", ["yyyyMMdd"])),
+            ends.withColumn("Reparaturendedatum", parse_date("Reparaturendedatum", ["yyyyMMdd"])),
+        ),
+    )
+    linked = interim.keep("merged", cases.link_cases(cleaned, stays))
+    output.keep("num_merges", cases.link_sweep(linked, "tow", cases.TOW_SWEEP))
+    output.keep("num_merges_not_on_towing", cases.link_sweep(linked, "last_call", cases.CALL_SWEEP))
+    bridge = interim.keep("fall_id_to_aufenthalt_id", cases.case_stay_bridge(linked))
+    scored = interim.keep("scored", cases.score_calls(cleaned, linked, stays))
+    assistance = interim.keep("assistance", cases.mark_suspects(scored))
+    for name, table in reports.score_distribution(assistance).items():
+        output.keep(name, table)
+    unlinked = interim.keep("unmerged_fall_ids", cases.unlinked_tows(assistance, bridge))
+    interim.keep("workshop", cases.flag_stays(stays, unlinked, bridge))
+
+
+def analyse(spark: SparkSession, output_dir: str, words_from: DataFrame | None = None, stopwords: DataFrame | None = None) -> None:
+    """Write every report; with ``words_from`` also the most frequent words of its fault texts."""
+    assistance = Folder(spark, f"{output_dir}/interim").read("assistance")
+    output = Folder(spark, f"{output_dir}/output/analysis")
+    for name, table in reports.analyse(assistance).items():
+        output.keep(name.replace(" ", "_"), table)
+    if words_from is not None:
+        output.keep("most_common_words", A.top_words(words_from, "Fault Description Customer", 200, stopwords))
+
+
+def learn(
+    spark: SparkSession,
+    output_dir: str,
+    train_model: bool = False,
+    grids: Mapping[str, Mapping[str, Sequence]] | None = None,
+    folds: int = 5,
+) -> None:
+    """Features, clusters and classifiers; models are fitted or, by default, loaded."""
+    grids = grids or {}
+    interim, output = Folder(spark, f"{output_dir}/interim"), Folder(spark, f"{output_dir}/output/learning")
+    models = f"{output_dir}/models"
+    calls, repairs = interim.read("assistance"), interim.read("workshop")
+    features = interim.keep("features", learning.vehicle_features(calls, repairs))
+
+    if train_model:
+        fitted = learning.cluster_vehicles(features)
+        save_model(fitted.model, f"{models}/clusters")
+        meant = dict(zip(learning.safe_names(features)[1], learning.numeric_features(features)))
+        renames = F.create_map(*[F.lit(x) for pair in meant.items() for x in pair])
+        loadings = fitted.loadings.withColumn("feature", renames[F.col("feature")])
+        output.keep("explained_variance", fitted.variance)
+        output.keep("silhouette_scores", fitted.silhouettes)
+        output.keep("top_loadings", learning.K.top_loadings(loadings))
+    clustered = interim.keep("clustered", learning.with_clusters(load_model(f"{models}/clusters"), features))
+    for name, table in learning.describe(clustered).items():
+        output.keep(name.replace(" ", "_").replace(">", "over"), table)
+
+    if train_model:
+        save_model(learning.fit_suspects(features, grids.get("suspects"), folds), f"{models}/suspects")
+        save_model(learning.fit_merged(calls, repairs, grids.get("merged"), folds), f"{models}/merged")
+    frame, plain, meant_names = learning.safe_names(features)
+    suspects = load_model(f"{models}/suspects")
+    test = C.hash_split(frame, learning.ENTITY)[1]
+    for name, table in learning.judge(interim.keep("suspect_scores", C.score(suspects, test, "Suspect"))).items():
+        output.keep(f"suspect_{name}", table)
+    back = F.create_map(*[F.lit(x) for pair in zip(plain, meant_names) for x in pair])
+    ranked = C.importances(suspects, frame)
+    output.keep("suspect_importances", ranked.withColumn("feature", back[F.col("feature")]))
+
+    merged = load_model(f"{models}/merged")
+    counted = learning.with_repair_count(calls, repairs)
+    test = C.hash_split(counted, "Case Number")[1]
+    for name, table in learning.judge(interim.keep("merged_scores", C.score(merged, test, "Merged"))).items():
+        output.keep(f"merged_{name}", table)
+    output.keep("merged_importances", C.importances(merged, counted, learning.MERGED_CATEGORIES, learning.MERGED_NUMBERS))
+
+
+def run(
+    spark: SparkSession,
+    stages: Sequence[str],
+    input_dir: str,
+    output_dir: str,
+    train_model: bool = False,
+    fmt: str = "csv",
+    grids: Mapping[str, Mapping[str, Sequence]] | None = None,
+    folds: int = 5,
+) -> None:
+    """Run the named stages in their fixed order."""
+    unknown = set(stages) - set(STAGES)
+    if unknown:
+        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    tune(spark)
+    if "data_preparation" in stages:
+        prepare_data(spark, input_dir, output_dir, fmt)
+    if "analysis" in stages:
+        analyse(spark, output_dir)
+    if "machine_learning" in stages:
+        learn(spark, output_dir, train_model, grids, folds)

@@ -66,16 +66,12 @@ def read_harmonised(
     parts = []
     for position, path in enumerate(paths):
         part = _load(spark, path, fmt)
-        if keep_order:
-            part = part.select("*", _source_order(position, fmt))
-        part = part.withColumnsRenamed(dict(renames or {})).drop(*drops)
+        order = [_source_order(position, fmt)] if keep_order else []
+        part = part.select("*", *order).withColumnsRenamed(dict(renames or {})).drop(*drops)
+        if schema is not None:
+            part = conform(part, T.StructType([*schema.fields, *([part.schema[SOURCE_ORDER]] if keep_order else [])]))
         parts.append(part)
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if schema is None:
-        return stacked
-    if keep_order:
-        schema = T.StructType([*schema.fields, stacked.schema[SOURCE_ORDER]])
-    return conform(stacked, schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
