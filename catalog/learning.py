@@ -238,7 +238,11 @@ def _vectors(spark, folder):
 @query()
 def kmeans_silhouette(spark, folder):
     """Mean silhouette for two to seven clusters of embeddings."""
-    return K.silhouette_by_k(_vectors(spark, folder).select(K.COMPONENTS).cache())
+    vectors = _vectors(spark, folder).select(K.COMPONENTS).persist()
+    try:
+        return K.silhouette_by_k(vectors)
+    finally:
+        vectors.unpersist()
 
 
 @query(
