@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.clean import as_column
 from caseloom.functions.text import tokens
-from caseloom.operators.ordered import MAX_GROUP_ROWS
-from caseloom.operators.quantiles import quantiles
+from caseloom.operators.quantiles import MAX_DISTINCT, quantiles
+from caseloom.operators.skew import spread_join
 
 MAX_LEVELS = 10_000
 
@@ -126,9 +126,16 @@ def histogram(
 
 
 def crosstab(df: DataFrame, a: str, b: str, b_levels: Sequence | None = None) -> DataFrame:
-    """Long table ``a, b, n, row_total`` with every combination, zeros included."""
+    """Long table ``a, b, n, row_total`` with every combination, zeros included.
+
+    A row of the crosstab is one map with at most ``MAX_LEVELS`` entries, so the empty
+    combinations need no join.
+    """
     counts = value_counts(df, [a, b])
-    b_levels = list(b_levels) if b_levels is not None else levels(counts, b)
+    if b_levels is None:
+        b_levels = levels(counts, b)
+    else:
+        counts = counts.filter(as_column(b).isin(*b_levels))
     kind = counts.schema[b].dataType
     grid = F.array(*[F.lit(level).cast(kind) for level in b_levels])
     per_row = counts.groupBy(as_column(a)).agg(
@@ -172,7 +179,7 @@ def melt_sum(df: DataFrame, by: Sequence[str], cols: Sequence[str], name: str =
 
 
 def profile_groups(
-    df: DataFrame, by: str, cols: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, by: str, cols: Sequence[str], max_group_rows: int = MAX_DISTINCT
 ) -> DataFrame:
     """Mean and median of number columns per group: ``feature, by, kind, value``."""
     rows = known_rows(df, [by]).select(as_column(by), *[as_column(c).cast("double").alias(c) for c in cols])
@@ -189,7 +196,7 @@ def profile_nominal(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
     text = df.select(as_column(by), *[as_column(c).cast("string").alias(c) for c in cols])
     counts = value_counts(unpivot(text, [by], cols, "feature", "level"), [by, "feature", "level"])
     totals = counts.groupBy(by, "feature").agg(F.sum("n").alias("_total"))
-    return counts.join(totals, [by, "feature"]).select("feature", by, "level", "n", (F.col("n") / F.col("_total")).alias("share"))
+    return spread_join(counts, totals, [by, "feature"], "inner").select("feature", by, "level", "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def pivot_counts(

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.clean import as_column
 from caseloom.operators.aggregate import (
     histogram,
+    known_rows,
     melt_sum,
     profile_groups,
     profile_nominal,
@@ -32,6 +33,7 @@ from caseloom.operators.quantiles import box_stats
 
 FEATURES, SCALED, COMPONENTS, CLUSTER = "_features", "_scaled", "_components", "cluster"
 KS = range(2, 8)
+MAX_CLUSTERS = 1_000
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFrame:
@@ -110,14 +112,18 @@ def sample_silhouette(df: DataFrame, features: str, cluster: str, out: str = "si
     """
     norms = df.withColumn("_norm2", _squared_norm(vector_to_array(features)))
     sums = (
-        norms.groupBy(cluster)
+        known_rows(norms, [cluster])
+        .groupBy(cluster)
         .agg(
             F.count(F.lit(1)).alias("n"),
             Summarizer.sum(F.col(features)).alias("total"),
             F.sum("_norm2").alias("norm2"),
         )
+        .limit(MAX_CLUSTERS + 1)
         .collect()
     )
+    if len(sums) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
     point = vector_to_array(features)
     own, others = F.lit(None).cast("double"), []
     for row in sums:

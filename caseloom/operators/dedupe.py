@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.ordered import position
+from caseloom.functions.clean import as_column
+from caseloom.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -27,16 +27,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 
 
 def split_last_per_key(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """Last row of each key under a unique order, and all the earlier rows.
-
-    The last position per key is a plain aggregate; rows are compared with it by a join.
-    """
-    at = position(order_by)
-    tops = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(at).alias("_last"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    marked = df.join(tops, same)
-    last = marked.filter(at == F.col("_last")).select(*df.columns)
-    rest = marked.filter(at < F.col("_last")).select(*df.columns)
-    return last, rest
+    """Last row of each key under a unique order, and all the earlier rows."""
+    # As fields of a struct, missing keys equal each other.
+    keyed = df.withColumn("_key", F.struct(*[as_column(k) for k in keys]))
+    scan = OrderedGroups(keyed, ["_key"], order_by, descending=True, max_group_rows=max_group_rows)
+    marked = scan.previous(_later=F.lit(True)).result()
+    columns = [as_column(c) for c in df.columns]
+    return marked.filter(F.col("_later").isNull()).select(*columns), marked.filter("_later").select(*columns)

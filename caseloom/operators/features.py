@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +16,13 @@ from caseloom.operators.ordered import position
 def label_encode(
     df: DataFrame, col: str, out: str, missing: str | None = None
 ) -> tuple[DataFrame, StringIndexerModel]:
-    """Number the sorted labels of a column from 0; missing ones become the label ``missing``."""
+    """Number the sorted labels of a column from 0; missing ones become the label ``missing``.
+
+    Without such a label, rows that lack one are dropped.
+    """
     if missing is not None:
         df = df.withColumn(col, F.coalesce(as_column(col), F.lit(missing)))
-    model = StringIndexer(inputCol=col, outputCol="_code", stringOrderType="alphabetAsc", handleInvalid="skip").fit(df)
+    model = StringIndexerModel.from_labels(levels(df, col), inputCol=col, outputCol="_code", handleInvalid="skip")
     coded = model.transform(df)
     return coded.withColumn(out, F.col("_code").cast("bigint")).drop("_code"), model
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators.skew import MAX_GROUP_ROWS, spread_join
+
 # Cells per coarser cell as a power of two, and number of levels: half days, 4 days, 32 days, 256 days.
 FAN_OUT_BITS = 3
 LEVELS = 4
@@ -73,11 +75,14 @@ def point_in_interval(
     end: str,
     start_shift_days: int = 1,
     flag: str = "inside",
+    max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Points with ``start + shift < at < end`` of any interval of their key flagged.
 
     ``start`` and ``end`` are dates, ``at`` a timestamp. A point inside several intervals
     gets the earliest start and the end of the one that starts last (of those, the latest).
+    ``sizes_from`` is handed to the join that brings the result back to the points.
     """
     spans = (
         intervals.select(F.col(key).alias("_key"), F.col(start).cast("date").alias("_s"), F.col(end).cast("date").alias("_e"))
@@ -95,7 +100,9 @@ def point_in_interval(
 
     moment = F.col(at).cast("timestamp_ntz")
     midnight = moment.cast("date").cast("timestamp_ntz")
-    placed = points.withColumn("_point", _half_day(moment) + F.when(moment > midnight, 1).otherwise(0))
+    point = _half_day(moment) + F.when(moment > midnight, 1).otherwise(0)
+    placed = points.withColumns({"_key": F.col(key), "_point": point})
+    base = points if sizes_from is None else sizes_from
     cells = F.array(
         *[_coded(F.shiftright("_point", FAN_OUT_BITS * level), level) for level in range(LEVELS)]
     )
@@ -107,12 +114,12 @@ def point_in_interval(
         .join(covered, ["_key", "_cell"])
         .groupBy("_key", "_point")
         .agg(F.min("_s").alias("_s"), F.max("_top").alias("_top"))
-        .withColumnRenamed("_point", "_hit")
     )
-    joined = placed.join(found, (F.col(key) == F.col("_key")) & (F.col("_point") == F.col("_hit")), "left")
+    placed_keys = base.select(F.col(key).alias("_key"), point.alias("_point"))
+    joined = spread_join(placed, found, ["_key", "_point"], "left", max_group_rows, placed_keys)
     return joined.select(
         *points.columns,
         F.col("_s").alias(start),
         _packed_end(F.col("_top")).alias(end),
-        F.col("_hit").isNotNull().alias(flag),
+        F.col("_s").isNotNull().alias(flag),
     )

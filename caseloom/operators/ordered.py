@@ -6,9 +6,9 @@ groups first. Groups above the limit are cut, along the order, into slices of ab
 many rows; the window runs per slice, and what a slice needs from the slices before it (a
 last row, a running total) comes from a per-slice aggregate.
 
-Sizes: a group is cut only if it has more than ``max(max_group_rows, rows / MAX_SLICES)``
-rows, so there are at most ``MAX_SLICES`` hot groups and ``2 * MAX_SLICES`` slices however
-large the table is. Those bounded tables are the only things collected or broadcast here.
+Sizes: only hot groups are cut, see :mod:`caseloom.operators.skew`, so there are at most
+``MAX_SLICES`` of them and ``2 * MAX_SLICES`` slices however large the table is. Those bounded
+tables are the only things collected or broadcast here.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_GROUP_ROWS = 5_000_000
-MAX_SLICES = 5_000
+from caseloom.operators.skew import MAX_GROUP_ROWS, NULL_PARTS, group_sizes, hot_groups
+
 SAMPLES_PER_SLICE = 200
 BLOCK = 32
 
 SLICE = "_slice"
-_NULL_SPREAD = 4096
 
 
 def position(order: Sequence[str]) -> Column:
@@ -45,21 +44,14 @@ def _position_type(df: DataFrame, order: Sequence[str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def _group_limit(rows: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame, int, int]:
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    seen = sizes.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("largest")).first()
-    total, largest = seen["total"] or 0, seen["largest"] or 0
-    return sizes, max(max_group_rows, -(-total // MAX_SLICES)), largest
-
-
-def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, limit: int) -> DataFrame:
+def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame | None, limit: int) -> DataFrame:
     """Positions that split each hot group into slices of about ``limit`` rows.
 
     They come from a sample by hash, so the same data always gives the same cuts.
     """
     every = max(1, limit // SAMPLES_PER_SLICE)
     per_cut = max(1, limit // every)
-    rows = df.join(F.broadcast(hot), list(keys)) if keys else df
+    rows = df if hot is None else df.join(F.broadcast(hot), list(keys))
     sample = rows.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
     ranks = Window.partitionBy(*keys).orderBy("_at")
     cuts = (
@@ -109,7 +101,7 @@ class OrderedGroups:
         self.keys, self.order, self.descending = list(keys), list(order), descending
         self.columns = list(df.columns)
         self.sliced = False
-        sizes, limit, largest = _group_limit(df if sizes_from is None else sizes_from, self.keys, max_group_rows)
+        sizes, limit, largest = group_sizes(df if sizes_from is None else sizes_from, self.keys, max_group_rows)
         if largest > limit:
             df = self._slice(df, sizes, limit)
         self.df = df
@@ -126,13 +118,7 @@ class OrderedGroups:
     def _slice(self, df: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
         self.sliced = True
         known = [F.col(k).isNotNull() for k in self.keys]
-        hot_rows = sizes.filter(F.col("_rows") > limit)
-        for test in known:
-            hot_rows = hot_rows.filter(test)
-        hot = df.sparkSession.createDataFrame(
-            hot_rows.select(*self.keys).collect() if self.keys else [],
-            T.StructType([df.schema[k] for k in self.keys]),
-        )
+        hot = hot_groups(sizes, self.keys, limit).select(*self.keys) if self.keys else None
         cuts = _cut_points(df, self.keys, self.order, hot, limit)
         at = position(self.order)
         if self.keys:
@@ -146,7 +132,7 @@ class OrderedGroups:
             )
         number = F.when(F.col("_cuts").isNotNull(), _slice_number(at))
         for test in known:
-            number = F.when(~test, -2 - F.pmod(F.xxhash64(*self.order), F.lit(_NULL_SPREAD)).cast("int")).otherwise(number)
+            number = F.when(~test, -2 - F.pmod(F.xxhash64(*self.order), F.lit(NULL_PARTS)).cast("int")).otherwise(number)
         return marked.select(*df.columns, F.coalesce(number, F.lit(-1)).alias(SLICE))
 
     def _window(self):

@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.clean import as_column
-from caseloom.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
+from caseloom.operators.ordered import OrderedGroups
+from caseloom.operators.skew import MAX_GROUP_ROWS, spread_join
+
+# Distinct values of a group that one aggregation buffer may hold.
+MAX_DISTINCT = 1_000_000
 
 
 def _value_counts(df: DataFrame, col: str | Column, by: Sequence[str]) -> DataFrame:
@@ -33,7 +37,7 @@ def _pick(counts: DataFrame, ps: Sequence[float], by: Sequence[str], max_group_r
     ranked = groups.running_sum("_upto", "_n").result()
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:
-        ranked = ranked.join(totals, list(by))
+        ranked = spread_join(ranked, totals, by, "inner", max_group_rows, counts)
     else:
         ranked = ranked.withColumn("_total", totals.scalar())
     picks = []
@@ -58,7 +62,7 @@ def quantiles(
     ps: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_DISTINCT,
 ) -> DataFrame:
     """Exact quantiles of a column, one column per ``ps`` and one row per group."""
     names = list(names or [f"q{p:g}" for p in ps])
@@ -76,7 +80,7 @@ def count_quantile(per_entity: DataFrame, measure: str | Column, p: float) -> Co
     return counted.agg(F.percentile("_value", F.lit(float(p)), F.col("_n"))).scalar()
 
 
-def remove_outliers(df: DataFrame, col: str, k: float = 1.5, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def remove_outliers(df: DataFrame, col: str, k: float = 1.5, max_group_rows: int = MAX_DISTINCT) -> DataFrame:
     """Keep values between ``q1 - k * iqr`` and ``q3 + k * iqr``."""
     fences = quantiles(df, col, (0.25, 0.75), names=("q1", "q3"), max_group_rows=max_group_rows)
     reach = (F.col("q3") - F.col("q1")) * F.lit(k)
@@ -84,7 +88,7 @@ def remove_outliers(df: DataFrame, col: str, k: float = 1.5, max_group_rows: int
     return df.filter((F.col(col) >= bounds["lo"]) & (F.col(col) <= bounds["hi"]))
 
 
-def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), max_group_rows: int = MAX_DISTINCT) -> DataFrame:
     """Box-plot summary per group: q1, median, q3 and the outermost values within 1.5 iqr."""
     counts = _value_counts(df, col, by)
     names = ("q1", "median", "q3")
@@ -92,7 +96,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), max_group_rows: i
         *by, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)]
     )
     if by:
-        placed = counts.join(quarters, list(by))
+        placed = spread_join(counts, quarters, by, "inner", max_group_rows)
     else:
         row = quarters.select(F.struct(*names)).scalar()
         placed = counts.withColumns({n: row[n] for n in names})
@@ -109,6 +113,8 @@ def flag_top_quantile(
     name: str,
     strict: bool = False,
     among: Column | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Flag rows of entities whose integer measure reaches the p-quantile over entities.
 
@@ -122,5 +128,5 @@ def flag_top_quantile(
     limit = F.round(count_quantile(per_entity, "_measure", p), 9)
     top = per_entity.filter(F.col("_measure") > limit if strict else F.col("_measure") >= limit)
     top = top.select(entity, F.lit(True).alias(name))
-    joined = df.join(top, entity, "left")
-    return joined.select(*df.columns, F.coalesce(name, F.lit(False)).alias(name))
+    joined = spread_join(df, top, [entity], "left", max_group_rows, sizes_from)
+    return joined.select(*[as_column(c) for c in df.columns], F.coalesce(name, F.lit(False)).alias(name))

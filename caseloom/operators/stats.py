@@ -15,8 +15,7 @@ from caseloom.functions import special
 from caseloom.functions.clean import as_column, holds
 from caseloom.functions.dates import floor_days
 from caseloom.operators.aggregate import crosstab, known_rows, unpivot
-from caseloom.operators.ordered import MAX_GROUP_ROWS
-from caseloom.operators.quantiles import quantiles
+from caseloom.operators.quantiles import MAX_DISTINCT, quantiles
 
 # Executors need not have this package installed.
 cloudpickle.register_pickle_by_value(special)
@@ -37,7 +36,8 @@ def chi_square(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> tuple[Data
     columns = grid.groupBy(as_column(b).alias("_b")).agg(F.sum("n").alias("_col_total"))
     total = grid.agg(F.sum("n")).scalar()
     cells = (
-        grid.join(columns, as_column(b) == F.col("_b"))
+        # One row per level of b, of which crosstab allows MAX_LEVELS.
+        grid.join(F.broadcast(columns), as_column(b) == F.col("_b"))
         .withColumn("expected", F.col("row_total") * F.col("_col_total") / total)
         .select(as_column(a), as_column(b), F.col("n").alias("observed"), "expected", (F.col("n") - F.col("expected")).alias("residual"))
     )
@@ -142,7 +142,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], complete: Sequence[str] | No
 
 
 def summary_stats(
-    df: DataFrame, col: str, ps: Sequence[float] = (0.1, 0.9), max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, col: str, ps: Sequence[float] = (0.1, 0.9), max_group_rows: int = MAX_DISTINCT
 ) -> DataFrame:
     """Mean, median and quantiles as rows ``statistic, value``."""
     points = (0.5, *ps)

@@ -35,6 +35,7 @@ from caseloom.operators.joins import anti, fallback_join, flag_exists
 from caseloom.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
 from caseloom.operators.quantiles import count_quantile
 from caseloom.operators.rows import reorder
+from caseloom.operators.skew import spread_join
 from caseloom.plans.names import CALL_ORDER, FLAGS, REASONS, SERVICES, Calls, Repairs
 
 CALLS, REPAIRS = Calls(), Repairs()
@@ -55,15 +56,12 @@ def is_tow(calls: Calls = CALLS) -> Column:
 def clean_calls(raw: DataFrame, vehicle_models: DataFrame, source_order: str = "_src") -> DataFrame:
     """Raw calls, all text, to typed and plausible ones with their vehicle model.
 
-    ``source_order`` is a sortable column with the position of a row in its source. Of equal
-    rows, and of calls of an entity at one moment, the first is kept.
+    ``source_order`` is a sortable column with the position of a row in its source. Of an
+    entity's calls at one moment the first is kept, which covers rows that are equal throughout.
     """
-    content = [as_column(c) for c in raw.columns if c != source_order]
-    rows = raw.groupBy(*content).agg(F.min(source_order).alias(source_order))
-
     day = parse_date("Incident Date", ["d/M/yyyy"])
     arrival = normalise_time(null_if("Time Of Arrival", ["0", "00:00"]))
-    rows = rows.withColumns(
+    rows = raw.withColumns(
         {"Time Of Arrival": at_time(day, arrival), "Incident Date": at_time(day, "Time Of Call")}
     )
     rows = first_per_key(rows, ["VIN", "Incident Date"], [source_order])
@@ -90,7 +88,14 @@ def clean_calls(raw: DataFrame, vehicle_models: DataFrame, source_order: str = "
         }
     )
     rows = fallback_join(
-        rows, vehicle_models, "Btype", "Bestelltypschlüssel", "Typ aus VIN", "Baureihe", ["Baureihe", "Modellreihe"]
+        rows,
+        vehicle_models,
+        "Btype",
+        "Bestelltypschlüssel",
+        "Typ aus VIN",
+        "Baureihe",
+        ["Baureihe", "Modellreihe"],
+        sizes_from=raw,
     )
     rows = rows.drop("Typ aus VIN", "Btype", "Monat", "Fault Description Customer", "Replacement Car Days", "Time Of Call")
     return reorder(rows, CALL_ORDER)
@@ -102,13 +107,15 @@ def add_cases(
     gap_days: int = GAP_DAYS,
     repeat_days: int = 14,
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add case id and number, the gap to the call before, and the repeated-tow flag.
 
     All of them look at the entity's previous call, so one scan serves them.
     """
-    scan = OrderedGroups(df, [calls.entity], [calls.at, *calls.tie], max_group_rows=max_group_rows)
-    scan = scan.previous(_before=calls.at, _ended=is_tow(calls))
+    scan = OrderedGroups(
+        df, [calls.entity], [calls.at, *calls.tie], max_group_rows=max_group_rows, sizes_from=sizes_from
+    ).previous(_before=calls.at, _ended=is_tow(calls))
     scan = scan.with_columns(**{calls.gap: floor_days("_before", calls.at)})
     gap = as_column(calls.gap)
     starts = gap.isNull() | (gap > gap_days) | holds(F.col("_ended"))
@@ -227,12 +234,17 @@ def case_stay_bridge(linked: DataFrame, calls: Calls = CALLS, repairs: Repairs =
 
 
 def flag_linked(
-    df: DataFrame, linked: DataFrame, calls: Calls = CALLS, repairs: Repairs = REPAIRS, key: str | None = None
+    df: DataFrame,
+    linked: DataFrame,
+    calls: Calls = CALLS,
+    repairs: Repairs = REPAIRS,
+    key: str | None = None,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``Merged``, whether the call's case number was linked, and the unlinked-tow flag."""
     key = key or calls.case_number
     hits = linked.filter(as_column(repairs.line).isNotNull()).select(as_column(key))
-    flagged = flag_exists(df, hits, key, "Merged")
+    flagged = flag_exists(df, hits, key, "Merged", sizes_from=sizes_from)
     return flagged.withColumn("SuS_Merged", is_tow(calls) & ~F.col("Merged"))
 
 
@@ -278,17 +290,29 @@ def flag_entities(df: DataFrame, calls: Calls = CALLS) -> DataFrame:
         ((F.col("_tows") > 0) & holds(F.col("_tows") >= limits["_tows"])).alias("SuS_Abschleppungen"),
     )
     names = [c for c in flagged.columns if c != calls.entity]
-    joined = df.join(flagged, calls.entity, "left")
+    joined = spread_join(df, flagged, [calls.entity])
     return joined.select(*[as_column(c) for c in df.columns], *[F.coalesce(n, F.lit(False)).alias(n) for n in names])
 
 
 def flag_in_workshop(
-    df: DataFrame, stays: DataFrame, calls: Calls = CALLS, repairs: Repairs = REPAIRS
+    df: DataFrame,
+    stays: DataFrame,
+    calls: Calls = CALLS,
+    repairs: Repairs = REPAIRS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Flag calls made while the vehicle was in the workshop, with the repair's dates."""
     renamed = stays.select(as_column(repairs.entity).alias(calls.entity), repairs.start, repairs.end)
     return point_in_interval(
-        df, renamed, calls.entity, calls.at, repairs.start, repairs.end, 1, "SuS_Call_while_car_in_workshop"
+        df,
+        renamed,
+        calls.entity,
+        calls.at,
+        repairs.start,
+        repairs.end,
+        1,
+        "SuS_Call_while_car_in_workshop",
+        sizes_from=sizes_from,
     )
 
 
@@ -307,7 +331,9 @@ def score_calls(
     flagged = flag_entities(df, calls).withColumn(
         "SuS_Vertragszeitraum", near_contract_edge(calls.at, calls.policy_start, calls.policy_end)
     )
-    flagged = flag_in_workshop(flag_linked(flagged, linked, calls, repairs, key), stays, calls, repairs)
+    # Each join reads the sizes of its groups from the table, not from the joins before it.
+    flagged = flag_linked(flagged, linked, calls, repairs, key, sizes_from=df)
+    flagged = flag_in_workshop(flagged, stays, calls, repairs, sizes_from=df)
     return flagged.withColumn("flags_set", row_sum(FLAGS)).withColumn("SuS-O-Meter", F.col("flags_set") / len(FLAGS))
 
 

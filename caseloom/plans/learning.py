@@ -12,6 +12,7 @@ from caseloom.functions import to_flag
 from caseloom.functions.clean import as_column
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
+from caseloom.operators.skew import spread_join
 from caseloom.operators.features import any_per_entity, entity_features, label_encode
 from caseloom.plans.names import SERVICES
 
@@ -135,7 +136,7 @@ def fit_suspects(features: DataFrame, grid: Mapping[str, Sequence] | None = None
 def with_repair_count(calls: DataFrame, repairs: DataFrame) -> DataFrame:
     """Calls with the number of repair lines of their vehicle."""
     counts = repairs.groupBy(ENTITY).agg(F.count(as_column("Q-Line")).alias("Anzahl Q-Line"))
-    return calls.join(counts, ENTITY, "left").fillna(0, subset=["Anzahl Q-Line"])
+    return spread_join(calls, counts, [ENTITY]).fillna(0, subset=["Anzahl Q-Line"])
 
 
 def fit_merged(

@@ -49,7 +49,7 @@ def prepare_data(spark: SparkSession, input_dir: str, output_dir: str, fmt: str
         spark, [raw(f"assistance_{y}") for y in YEARS], N.RAW_CALLS, N.CALL_RENAMES, N.CALL_DROPS, fmt, keep_order=True
     )
     models = read_table(spark, raw("vehicle_model"), N.VEHICLE_MODELS, fmt)
-    cleaned = interim.keep("calls", cases.add_cases(cases.clean_calls(calls, models)))
+    cleaned = interim.keep("calls", cases.add_cases(cases.clean_calls(calls, models), sizes_from=calls))
 
     lines = read_table(spark, raw("qlines"), N.RAW_LINES, fmt).withColumnRenamed("FIN", "VIN")
     ends = read_table(spark, raw("qlines_repair_end"), N.RAW_ENDS, fmt)
@@ -138,12 +138,13 @@ def run(
     fmt: str = "csv",
     grids: Mapping[str, Mapping[str, Sequence]] | None = None,
     folds: int = 5,
+    input_bytes: int | None = None,
 ) -> None:
-    """Run the named stages in their fixed order."""
+    """Run the named stages in their fixed order; ``input_bytes`` sizes the shuffles."""
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages: {sorted(unknown)}")
-    tune(spark)
+    tune(spark, input_bytes)
     if "data_preparation" in stages:
         prepare_data(spark, input_dir, output_dir, fmt)
     if "analysis" in stages:

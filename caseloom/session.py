@@ -16,26 +16,38 @@ RUNTIME_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive features the operators rely on for hot join keys."""
+# Bytes of input per shuffle partition; a partition has to fit an executor's share of memory.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Switch on the adaptive features the operators rely on for hot join keys.
+
+    With the size of the input, shuffles also get enough partitions for it; adaptive
+    execution merges those that turn out small.
+    """
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
+    if input_bytes is not None:
+        wanted = -(-input_bytes // PARTITION_BYTES)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder all executors share, as named by ``spark.checkpoint.dir``.
+    """Folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
     Only a local master may fall back to a temporary folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="caseloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -135,6 +135,22 @@ def asof_forward(spark, folder):
     return matched.drop("o_orderdate")
 
 
+@query(
+    """
+    SELECT e.event_id, e.user_id, CASE WHEN p.ts <= e.ts + INTERVAL 12 HOUR THEN p.event_id END AS bought_id
+    FROM (SELECT * FROM events WHERE event_type = 'error') e
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts <= p.ts
+    """
+)
+def asof_next_purchase(spark, folder):
+    """Errors with the user's next purchase in the twelve hours after."""
+    errors, bought = _errors_and_purchases(spark, folder)
+    matched = asof.asof_join(
+        errors, bought, "ts", "bought_at", ["user_id"], tolerance=dt.timedelta(hours=12), right_order=["bought_id"]
+    )
+    return matched.select("event_id", "user_id", "bought_id")
+
+
 def _errors_and_purchases(spark, folder):
     events = table(spark, folder, "events")
     errors = events.filter("event_type = 'error'").select("event_id", "user_id", "ts")
