@@ -9,8 +9,8 @@ from caseloom.functions.clean import ColumnLike, as_column
 
 
 def tokens(column: ColumnLike) -> Column:
-    """Lower-case words of a text, letters and digits of any script."""
-    return F.regexp_extract_all(F.lower(as_column(column)), F.lit(r"(?U)\w+"), F.lit(0))
+    """Lower-case words of a text: letters and digits of any script, and underscores."""
+    return F.regexp_extract_all(F.lower(as_column(column)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def numbered_id(key: ColumnLike, number: ColumnLike) -> Column:

@@ -218,8 +218,8 @@ def service_influence(
 
 def word_counts(df: DataFrame, col: str, stopwords: DataFrame | None = None, stopword_col: str = "stopwords") -> DataFrame:
     """Occurrences of each word that is neither a stopword nor a number."""
-    words = df.select(F.explode(tokens(col)).alias("word")).filter(~F.col("word").rlike(r"(?U)^\d+$"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(F.explode(tokens(col)).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(~F.col("word").rlike(r"(?U)^\d+$"))
     if stopwords is None:
         return counts
     dropped = stopwords.select(F.lower(as_column(stopword_col)).alias("word")).distinct()

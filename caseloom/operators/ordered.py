@@ -1,8 +1,8 @@
 """Ordered scans within groups that stay parallel when one group is huge.
 
 A window function runs each group in a single task. That is fine for most entities and
-fatal for one that holds a third of all rows. :class:`OrderedGroups` therefore counts the
-groups first. Groups above the limit are cut, along the order, into slices of about that
+fatal for one that holds a third of all rows. :class:`OrderedGroups` therefore looks for hot
+groups first. Those above the limit are cut, along the order, into slices of about that
 many rows; the window runs per slice, and what a slice needs from the slices before it (a
 last row, a running total) comes from a per-slice aggregate.
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.operators.skew import MAX_GROUP_ROWS, NULL_PARTS, group_sizes, hot_groups
+from caseloom.operators.skew import MAX_GROUP_ROWS, NULL_PARTS, hot_keys
 
 SAMPLES_PER_SLICE = 200
 BLOCK = 32
@@ -84,9 +84,8 @@ class OrderedGroups:
     ``order`` must be unique within a group; with ``descending`` the scan runs backwards.
     Rows with a missing key belong to no group: they are kept, and every result is null.
 
-    Counting the groups reads ``df`` once more, its key columns only. If ``df`` is costly to
-    derive, ``sizes_from`` may name a cheaper table with about as many rows per key: the
-    counts decide how the work is split, never the result.
+    Looking for hot groups reads the key columns of ``df`` once more. If ``df`` is costly to
+    derive, ``sizes_from`` may name a cheaper table with about as many rows per key.
     """
 
     def __init__(
@@ -101,9 +100,9 @@ class OrderedGroups:
         self.keys, self.order, self.descending = list(keys), list(order), descending
         self.columns = list(df.columns)
         self.sliced = False
-        sizes, limit, largest = group_sizes(df if sizes_from is None else sizes_from, self.keys, max_group_rows)
-        if largest > limit:
-            df = self._slice(df, sizes, limit)
+        hot, limit = hot_keys(df if sizes_from is None else sizes_from, self.keys, max_group_rows)
+        if hot is not None:
+            df = self._slice(df, hot, limit)
         self.df = df
 
     @classmethod
@@ -115,11 +114,10 @@ class OrderedGroups:
         child.df = df
         return child
 
-    def _slice(self, df: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    def _slice(self, df: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
         self.sliced = True
         known = [F.col(k).isNotNull() for k in self.keys]
-        hot = hot_groups(sizes, self.keys, limit).select(*self.keys) if self.keys else None
-        cuts = _cut_points(df, self.keys, self.order, hot, limit)
+        cuts = _cut_points(df, self.keys, self.order, hot.select(*self.keys) if self.keys else None, limit)
         at = position(self.order)
         if self.keys:
             marked = df.join(F.broadcast(cuts), self.keys, "left")

@@ -27,10 +27,14 @@ def _value_counts(df: DataFrame, col: str | Column, by: Sequence[str]) -> DataFr
     return counts.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _pick(counts: DataFrame, ps: Sequence[float], by: Sequence[str], max_group_rows: int) -> DataFrame:
+def _pick(
+    rows: DataFrame, counts: DataFrame, ps: Sequence[float], by: Sequence[str], max_group_rows: int
+) -> DataFrame:
     names = [f"_q{i}" for i in range(len(ps))]
-    groups = OrderedGroups(counts, by, ["_value"], max_group_rows=max_group_rows)
-    if not groups.sliced:
+    # Few rows cannot have many distinct values.
+    few = rows.count() <= max_group_rows
+    groups = None if few else OrderedGroups(counts, by, ["_value"], max_group_rows=max_group_rows)
+    if groups is None or not groups.sliced:
         points = F.percentile("_value", F.array(*[F.lit(float(p)) for p in ps]), F.col("_n"))
         picked = counts.groupBy(*by).agg(points.alias("_qs"))
         return picked.select(*by, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)])
@@ -66,7 +70,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles of a column, one column per ``ps`` and one row per group."""
     names = list(names or [f"q{p:g}" for p in ps])
-    picked = _pick(_value_counts(df, col, by), ps, by, max_group_rows)
+    picked = _pick(df, _value_counts(df, col, by), ps, by, max_group_rows)
     return picked.select(*by, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
 
 
@@ -92,7 +96,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), max_group_rows: i
     """Box-plot summary per group: q1, median, q3 and the outermost values within 1.5 iqr."""
     counts = _value_counts(df, col, by)
     names = ("q1", "median", "q3")
-    quarters = _pick(counts, (0.25, 0.5, 0.75), by, max_group_rows).select(
+    quarters = _pick(df, counts, (0.25, 0.5, 0.75), by, max_group_rows).select(
         *by, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)]
     )
     if by:

@@ -4,9 +4,11 @@ Adaptive execution splits a skewed join partition only if both sides come straig
 shuffle. Joining rows with something aggregated by the same key is not such a case, and it
 is the usual one here, so these joins salt the keys that need it.
 
-Sizes: a key is hot if it has more than ``max(max_group_rows, rows / MAX_SLICES)`` rows, so
-there are at most ``MAX_SLICES`` hot keys however large the table is. Their list is the only
-thing collected or broadcast.
+Finding costs a row count, and only if there are more rows than one group may have, a pass
+over a small sample of the keys. Sizes: a key is hot if it has more than
+``max(max_group_rows, rows / MAX_SLICES)`` rows, so there are at most ``MAX_SLICES`` hot keys
+however large the table is. Their list is the only thing collected or broadcast. It decides
+how the work is split, never the result, so an estimate will do.
 """
 
 from __future__ import annotations
@@ -20,23 +22,32 @@ from pyspark.sql import types as T
 MAX_GROUP_ROWS = 5_000_000
 MAX_SLICES = 5_000
 NULL_PARTS = 4096
+# Rows of the sample that a group at the limit would have.
+SAMPLED_ROWS = 1_000
 
 
-def group_sizes(rows: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame, int, int]:
-    """Rows per key, the limit above which a key is hot, and the largest group."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    seen = sizes.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("largest")).first()
-    total, largest = seen["total"] or 0, seen["largest"] or 0
-    return sizes, max(max_group_rows, -(-total // MAX_SLICES)), largest
+def hot_keys(rows: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame | None, int]:
+    """Keys with too many rows, each with the number of parts it makes, and the limit.
 
-
-def hot_groups(sizes: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """The known keys above the limit, with the parts of about ``limit`` rows each makes."""
-    hot = sizes.filter(F.col("_rows") > limit)
-    for key in keys:
-        hot = hot.filter(F.col(key).isNotNull())
-    parts = hot.select(*keys, F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_parts"))
-    return sizes.sparkSession.createDataFrame(parts.collect(), parts.schema)
+    Nothing if no group is too large. A hot group without a key counts but is not listed.
+    """
+    total = rows.count()
+    limit = max(max_group_rows, -(-total // MAX_SLICES))
+    if total <= limit:
+        return None, limit
+    share = min(1.0, SAMPLED_ROWS / limit)
+    seen = rows.select(*keys)
+    if share < 1.0:
+        seen = seen.sample(share, seed=17)
+    sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.filter(F.col("_rows") > limit * share).select(
+        *keys, F.ceil(F.col("_rows") / F.lit(limit * share)).cast("int").alias("_parts")
+    )
+    found = hot.orderBy(F.col("_parts").desc()).limit(MAX_SLICES).collect()
+    if not found:
+        return None, limit
+    known = [row for row in found if all(value is not None for value in row)]
+    return rows.sparkSession.createDataFrame(known, hot.schema), limit
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -55,15 +66,15 @@ def spread_join(
 
     Hot keys of ``left`` are spread over as many parts as they need and their rows in
     ``right`` repeated for each. ``sizes_from`` may name a cheaper table with about as many
-    rows per key as ``left``; the counts decide how the work is split, never the result.
+    rows per key as ``left``.
     """
     on = list(on)
-    sizes, limit, largest = group_sizes(left if sizes_from is None else sizes_from, on, max_group_rows)
+    hot, _ = hot_keys(left if sizes_from is None else sizes_from, on, max_group_rows)
     added = [] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in on]
     kept = [F.col(f"`{c}`") for c in (*left.columns, *added)]
-    if largest <= limit:
+    if hot is None:
         return left.join(right, on, how).select(*kept)
-    hot = F.broadcast(hot_groups(sizes, on, limit))
+    hot = F.broadcast(hot)
     # Equal rows differ at least in the partition they come from.
     scatter = F.xxhash64(*_hashable(left), F.spark_partition_id())
     part = F.pmod(scatter, F.coalesce("_parts", F.lit(1)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,7 @@ GAP_DAYS = 6
 STAY_GAP_DAYS = 7
 TOW_TOLERANCE = 7
 CALL_TOLERANCE = 3
-TOW_SWEEP = range(1, 31)
-CALL_SWEEP = range(0, 10)
+SWEEPS = {"tow": range(1, 31), "last_call": range(0, 10)}
 
 
 def is_tow(calls: Calls = CALLS) -> Column:
@@ -219,12 +218,21 @@ def link_cases(
     )
 
 
-def link_sweep(linked: DataFrame, part: str, tolerances: Sequence[int]) -> DataFrame:
-    """Links there would be for each tolerance in days: ``tolerance_days``, ``matches``."""
-    counts = linked.filter(F.col("link_part") == part).agg(
-        *[F.count_if(F.col("link_days") <= t).alias(str(t)) for t in tolerances]
+def link_sweep(linked: DataFrame, tolerances: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Links there would be for each part and tolerance in days: ``part, tolerance_days, matches``."""
+    wanted = [(part, t) for part, days in tolerances.items() for t in days]
+    counts = linked.agg(
+        *[
+            F.count_if((F.col("link_part") == part) & (F.col("link_days") <= t)).alias(f"n{i}")
+            for i, (part, t) in enumerate(wanted)
+        ]
+    )
+    rows = F.array(
+        *[
+            F.struct(F.lit(part).alias("part"), F.lit(t).alias("tolerance_days"), F.col(f"n{i}").alias("matches"))
+            for i, (part, t) in enumerate(wanted)
+        ]
     )
-    rows = F.array(*[F.struct(F.lit(t).alias("tolerance_days"), F.col(str(t)).alias("matches")) for t in tolerances])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 

@@ -17,6 +17,7 @@ from caseloom.operators import classify as C
 from caseloom.plans import cases, learning, reports
 from caseloom.plans import names as N
 from caseloom.session import tune
+from caseloom.sources.tables import SOURCE_ORDER
 from caseloom.sources import load_model, read_harmonised, read_table, save_model, write_table
 
 STAGES = ("data_preparation", "analysis", "machine_learning")
@@ -60,11 +61,12 @@ def prepare_data(spark: SparkSession, input_dir: str, output_dir: str, fmt: str
             ends.withColumn("Reparaturendedatum", parse_date("Reparaturendedatum", ["yyyyMMdd"])),
         ),
     )
-    linked = interim.keep("merged", cases.link_cases(cleaned, stays))
-    output.keep("num_merges", cases.link_sweep(linked, "tow", cases.TOW_SWEEP))
-    output.keep("num_merges_not_on_towing", cases.link_sweep(linked, "last_call", cases.CALL_SWEEP))
+    linked = interim.keep("merged", cases.link_cases(cleaned, stays).drop(SOURCE_ORDER))
+    sweeps = output.keep("num_merges_by_part", cases.link_sweep(linked, cases.SWEEPS))
+    output.keep("num_merges", sweeps.filter("part = 'tow'").drop("part"))
+    output.keep("num_merges_not_on_towing", sweeps.filter("part = 'last_call'").drop("part"))
     bridge = interim.keep("fall_id_to_aufenthalt_id", cases.case_stay_bridge(linked))
-    scored = interim.keep("scored", cases.score_calls(cleaned, linked, stays))
+    scored = interim.keep("scored", cases.score_calls(cleaned.drop(SOURCE_ORDER), linked, stays))
     assistance = interim.keep("assistance", cases.mark_suspects(scored))
     for name, table in reports.score_distribution(assistance).items():
         output.keep(name, table)

@@ -8,7 +8,7 @@ from caseloom.operators import aggregate as A
 from caseloom.plans import cases as C
 from caseloom.plans import names as N
 from caseloom.plans import reports
-from caseloom.plans.pipeline import Folder
+from caseloom.plans.stages import Folder
 from caseloom.session import scratch_path
 from catalog.registry import query, unless
 from catalog.tables import CALLS, CALLS_SQL, CASES_SQL, REPAIRS, STAYS_SQL, calls, repair_lines, table
@@ -159,7 +159,9 @@ def clean_calls(spark, folder):
         F.col("n_name").alias("Modellreihe"),
         F.lit("group").alias("Fahrzeuggruppe"),
     )
-    cleaned = C.clean_calls(twice, models.unionByName(models))
+    # Written as an input table would be.
+    raw = Folder(spark, scratch_path(spark, "raw")).keep("calls", twice)
+    cleaned = C.clean_calls(raw, models.unionByName(models))
     return cleaned.select(
         "Case Number", "VIN", "Incident Date", "CTA", "Registration Date", "Policy Start Date", "Policy End Date",
         "Reason Of Call", "Odometer", "Odometer_Binned", "Modellreihe", "Fahrzeuggruppe",
@@ -198,10 +200,7 @@ def link_cases(spark, folder):
 )
 def link_sweeps(spark, folder):
     """Links for each tolerance: tows up to thirty days, other cases up to nine."""
-    linked = _linked(spark, folder)
-    parts = {"tow": C.TOW_SWEEP, "last_call": C.CALL_SWEEP}
-    sweeps = [C.link_sweep(linked, p, ts).withColumn("part", F.lit(p)) for p, ts in parts.items()]
-    return sweeps[0].unionByName(sweeps[1])
+    return C.link_sweep(_linked(spark, folder), C.SWEEPS)
 
 
 @query(LINKS_SQL + "SELECT case_id, stay_id FROM linked WHERE stay_id IS NOT NULL")
@@ -270,7 +269,7 @@ def suspicion_score(spark, folder):
 
 
 @query(SCORE_SQL + f'SELECT flags_set, {SUSPECT} AS "Suspect", count(*) AS n FROM scored GROUP BY ALL')
-def staged_pipeline(spark, folder):
+def staged_run(spark, folder):
     """Cases, stays, links and scores as written tables, each read by the next step."""
     scored = C.mark_suspects(_scored(spark, folder))
     return A.value_counts(scored, ["flags_set", "Suspect"])

@@ -10,7 +10,7 @@ from caseloom.operators import asof, joins
 from caseloom.operators.intervals import point_in_interval
 from caseloom.operators.rows import reorder
 from catalog.registry import query, unless
-from catalog.tables import REPAIRS_SQL, repair_lines, table
+from catalog.tables import REPAIRS_SQL, repair_lines, repairs, table
 
 
 @query(
@@ -232,8 +232,7 @@ def call_in_workshop(spark, folder):
     """Orders made while one of the customer's repairs was under way."""
     hours = F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 3 * 7).cast("int"))
     points = table(spark, folder, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderdate") + hours).alias("at"))
-    lines, ends = repair_lines(spark, folder)
     found = point_in_interval(
-        points, lines.join(ends, "line_id"), "o_custkey", "at", "l_shipdate", "l_enddate", 1, "in_workshop"
+        points, repairs(spark, folder), "o_custkey", "at", "l_shipdate", "l_enddate", 1, "in_workshop"
     )
     return found.drop("o_custkey", "at")

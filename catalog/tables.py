@@ -74,15 +74,25 @@ calls AS (
 LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def repair_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Line items as repair lines, and their ends."""
+def repairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as repair lines with start and end."""
     lines = table(spark, folder, "lineitem").join(
         table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    lines = lines.withColumn("line_id", F.concat_ws("-", *LINE_KEYS))
-    starts = lines.select("line_id", "o_custkey", F.to_date("l_shipdate").alias("l_shipdate"), "l_orderkey")
-    ends = lines.select("line_id", F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("l_enddate"))
-    return starts, ends
+    start = F.to_date("l_shipdate")
+    return lines.select(
+        F.concat_ws("-", *LINE_KEYS).alias("line_id"),
+        "o_custkey",
+        start.alias("l_shipdate"),
+        F.date_add(start, F.col("l_quantity").cast("int")).alias("l_enddate"),
+        "l_orderkey",
+    )
+
+
+def repair_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Repair lines with their start, and apart from them their ends."""
+    lines = repairs(spark, folder)
+    return lines.drop("l_enddate"), lines.select("line_id", "l_enddate")
 
 
 REPAIRS_SQL = """

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.plans import names as N
-from caseloom.plans import pipeline
+from caseloom.plans import stages
 
 OUTCOMES = ["Towing", "Scheduled Towing", "Jump Start", "Cancelled", None]
 COMPONENTS = ["Battery", "Clutch", "Brakes - Hydraulic brake system, regulator ", None]
@@ -96,7 +96,7 @@ def run(spark, tmp_path_factory):
     source, target = tmp_path_factory.mktemp("in"), str(tmp_path_factory.mktemp("out"))
     inputs = _make_inputs(source)
     grids = {"suspects": {"maxIter": [3], "maxDepth": [2]}, "merged": {"numTrees": [4], "maxDepth": [3]}}
-    pipeline.run(spark, pipeline.STAGES, str(source), target, train_model=True, grids=grids, folds=2)
+    stages.run(spark, stages.STAGES, str(source), target, train_model=True, grids=grids, folds=2)
 
     def table(name):
         return spark.read.parquet(f"{target}/{name}")
@@ -312,6 +312,6 @@ def test_learning_outputs(run):
 
 def test_models_are_reused_and_missing_ones_named(spark, run, tmp_path):
     _, _, target = run
-    pipeline.run(spark, ["machine_learning"], "unused", target, train_model=False)
+    stages.run(spark, ["machine_learning"], "unused", target, train_model=False)
     with pytest.raises(ValueError, match="unknown stages"):
-        pipeline.run(spark, ["nothing"], "unused", target)
+        stages.run(spark, ["nothing"], "unused", target)
