@@ -281,7 +281,7 @@ STOPWORDS = "the of and to in is on that by at der die das und le la les de et u
 def top_words(spark, folder):
     """The two hundred most frequent words of all documents."""
     stopwords = spark.createDataFrame([(w.upper(),) for w in STOPWORDS.split()], "stopwords string")
-    return A.top_words(table(spark, folder, "documents"), "text", 200, stopwords)
+    return A.top_words(table(spark, folder, "documents", busy=True), "text", 200, stopwords)
 
 
 @query(

@@ -13,9 +13,18 @@ from caseloom.plans.names import Calls, Repairs
 from caseloom.session import tune
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, busy: bool = False) -> DataFrame:
+    """A benchmark table. ``busy`` says that its rows are costly to process right after the scan.
+
+    A table of fewer splits than there are cores would then leave cores idle, so its rows
+    are dealt out. Large tables have more splits and are read as they are.
+    """
     tune(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if busy and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 CALLS = Calls(
@@ -76,7 +85,7 @@ LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 def repairs(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as repair lines with start and end."""
-    lines = table(spark, folder, "lineitem").join(
+    lines = table(spark, folder, "lineitem", busy=True).join(
         table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     start = F.to_date("l_shipdate")
