@@ -79,7 +79,7 @@ calls AS (
          CAST(o_orderdate AS DATE) + CAST(o_orderkey % 300 - 20 AS INTEGER) AS policy_end
   FROM orders)"""
 
-# l_orderkey and l_linenumber repeat; all four keys together name a line.
+# l_orderkey and l_linenumber repeat, rarely even all four keys: with the day they name a line.
 LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -90,7 +90,7 @@ def repairs(spark: SparkSession, folder: str) -> DataFrame:
     )
     start = F.to_date("l_shipdate")
     return lines.select(
-        F.concat_ws("-", *LINE_KEYS).alias("line_id"),
+        F.concat_ws("-", *LINE_KEYS, F.datediff(start, F.lit("1970-01-01").cast("date"))).alias("line_id"),
         "o_custkey",
         start.alias("l_shipdate"),
         F.date_add(start, F.col("l_quantity").cast("int")).alias("l_enddate"),
@@ -106,7 +106,7 @@ def repair_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 REPAIRS_SQL = """
 repairs AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id, o_custkey,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) - DATE '1970-01-01') AS line_id, o_custkey,
          CAST(l_shipdate AS DATE) AS l_shipdate, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS l_enddate,
          l_orderkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
