@@ -30,13 +30,27 @@ def levels(df: DataFrame, col: str, limit: int = MAX_LEVELS) -> list:
     return sorted(r["level"] for r in found)
 
 
-def value_counts(df: DataFrame, cols: str | Sequence[str], normalize: bool = False, name: str = "n") -> DataFrame:
-    """Rows per value or combination of values; with ``normalize`` also their share."""
+def joint_counts(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame:
+    """Rows per combination of categories, missing ones included.
+
+    One pass over the rows from which counts of any of the columns follow, see ``weight``.
+    """
+    return df.groupBy(*[as_column(c) for c in cols]).agg(F.count(F.lit(1)).alias(name))
+
+
+def value_counts(
+    df: DataFrame, cols: str | Sequence[str], normalize: bool = False, name: str = "n", weight: str | None = None
+) -> DataFrame:
+    """Rows per value or combination of values; with ``normalize`` also their share.
+
+    ``weight`` names a column that says how many rows a row stands for.
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
     rows = known_rows(df, cols)
-    counts = rows.groupBy(*[as_column(c) for c in cols]).agg(F.count(F.lit(1)).alias(name))
+    number = F.count(F.lit(1)) if weight is None else F.sum(as_column(weight))
+    counts = rows.groupBy(*[as_column(c) for c in cols]).agg(number.alias(name))
     if normalize:
-        total = rows.agg(F.count(F.lit(1))).scalar()
+        total = rows.agg(number).scalar()
         counts = counts.withColumn("share", F.col(name) / total)
     return counts
 
@@ -125,13 +139,15 @@ def histogram(
     )
 
 
-def crosstab(df: DataFrame, a: str, b: str, b_levels: Sequence | None = None) -> DataFrame:
+def crosstab(
+    df: DataFrame, a: str, b: str, b_levels: Sequence | None = None, weight: str | None = None
+) -> DataFrame:
     """Long table ``a, b, n, row_total`` with every combination, zeros included.
 
     A row of the crosstab is one map with at most ``MAX_LEVELS`` entries, so the empty
     combinations need no join.
     """
-    counts = value_counts(df, [a, b])
+    counts = value_counts(df, [a, b], weight=weight)
     if b_levels is None:
         b_levels = levels(counts, b)
     else:

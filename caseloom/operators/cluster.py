@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, MaxAbsScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, MaxAbsScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,7 @@ from caseloom.operators.aggregate import (
 )
 from caseloom.operators.quantiles import box_stats
 
-FEATURES, SCALED, COMPONENTS, CLUSTER = "_features", "_scaled", "_components", "cluster"
+FEATURES, SCALED, ALL_COMPONENTS, COMPONENTS, CLUSTER = "_features", "_scaled", "_all_components", "_components", "cluster"
 KS = range(2, 8)
 MAX_CLUSTERS = 1_000
 
@@ -41,21 +41,29 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFra
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def _scale_and_project(cols: Sequence[str], k: int) -> list:
-    return [
+def max_abs_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:
+    """Add each number divided by its column's largest absolute value."""
+    assembled = assemble(df, cols)
+    scaled = MaxAbsScaler(inputCol=FEATURES, outputCol=SCALED).fit(assembled).transform(assembled)
+    values = vector_to_array(SCALED)
+    return scaled.select(*[as_column(c) for c in df.columns], *[values[i].alias(f"{c}{suffix}") for i, c in enumerate(cols)])
+
+
+def _fit_components(df: DataFrame, cols: Sequence[str]) -> PipelineModel:
+    """Scaling and all components, fitted in one go."""
+    stages = [
         VectorAssembler(inputCols=list(cols), outputCol=FEATURES),
         MaxAbsScaler(inputCol=FEATURES, outputCol=SCALED),
-        PCA(k=k, inputCol=SCALED, outputCol=COMPONENTS),
+        PCA(k=len(cols), inputCol=SCALED, outputCol=ALL_COMPONENTS),
     ]
+    return Pipeline(stages=stages).fit(df)
 
 
 def _pca_of(model: PipelineModel):
     return next(stage for stage in model.stages if hasattr(stage, "explainedVariance"))
 
 
-def pca_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Share of variance per component of the max-abs scaled columns, and its running sum."""
-    model = Pipeline(stages=_scale_and_project(cols, len(cols))).fit(df)
+def _variance_table(model: PipelineModel, df: DataFrame) -> DataFrame:
     rows, total = [], 0.0
     for i, share in enumerate(_pca_of(model).explainedVariance.toArray(), 1):
         total += float(share)
@@ -63,15 +71,20 @@ def pca_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, explained double, cumulative double")
 
 
+def pca_variance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Share of variance per component of the max-abs scaled columns, and its running sum."""
+    return _variance_table(_fit_components(df, cols), df)
+
+
 def components_for(variance: DataFrame, share: float = 0.8) -> int:
     """Smallest number of components that explains the share of variance."""
     reached = variance.filter(F.col("cumulative") >= share).agg(F.min("component")).first()[0]
     return int(reached or variance.count())
 
 
-def pca_loadings(model: PipelineModel, cols: Sequence[str], df: DataFrame) -> DataFrame:
-    """Weight of each feature in each component: ``component, feature, loading``."""
-    weights = _pca_of(model).pc.toArray()
+def pca_loadings(model: PipelineModel, cols: Sequence[str], df: DataFrame, size: int | None = None) -> DataFrame:
+    """Weight of each feature in the first ``size`` components: ``component, feature, loading``."""
+    weights = _pca_of(model).pc.toArray()[:, :size]
     rows = [
         (f"PC{j}", feature, float(weights[i, j])) for i, feature in enumerate(cols) for j in range(weights.shape[1])
     ]
@@ -166,9 +179,12 @@ def fit_clusters(
     df: DataFrame, cols: Sequence[str], share: float = 0.8, ks: Sequence[int] = KS, seed: int = 42
 ) -> Clustering:
     """Scale, keep the components for ``share`` of the variance, pick k by silhouette, fit."""
-    variance = pca_variance(df, cols)
+    fitted = _fit_components(df, cols)
+    variance = _variance_table(fitted, df)
     size = components_for(variance, share)
-    prepared = Pipeline(stages=_scale_and_project(cols, size)).fit(df)
+    # The first components do not depend on how many are kept, so no second fit is needed.
+    keep = VectorSlicer(inputCol=ALL_COMPONENTS, outputCol=COMPONENTS, indices=list(range(size)))
+    prepared = PipelineModel(stages=[*fitted.stages, keep])
     # Every fit and score below passes over this again.
     projected = prepared.transform(df).select(COMPONENTS).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -178,13 +194,13 @@ def fit_clusters(
     finally:
         projected.unpersist()
     model = PipelineModel(stages=[*prepared.stages, means])
-    return Clustering(model, variance, pca_loadings(prepared, cols, df), silhouettes, best)
+    return Clustering(model, variance, pca_loadings(prepared, cols, df, size), silhouettes, best)
 
 
 def predict_clusters(model: PipelineModel, df: DataFrame, keep_components: bool = False) -> DataFrame:
     """Rows with their cluster."""
     scored = model.transform(df)
-    return scored.drop(FEATURES, SCALED, *([] if keep_components else [COMPONENTS]))
+    return scored.drop(FEATURES, SCALED, ALL_COMPONENTS, *([] if keep_components else [COMPONENTS]))
 
 
 def describe_clusters(

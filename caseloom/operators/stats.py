@@ -26,13 +26,15 @@ def _on_summary(function, *args) -> Column:
     return F.udf(function, T.DoubleType())(*args)
 
 
-def chi_square(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def chi_square(
+    df: DataFrame, a: str, b: str, alpha: float = 0.05, weight: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Chi-square test of independence: one summary row, and one row per cell.
 
     Cells hold observed, expected and residual counts of every combination. With one degree
     of freedom the statistic uses the Yates continuity correction.
     """
-    grid = crosstab(df, a, b)
+    grid = crosstab(df, a, b, weight=weight)
     columns = grid.groupBy(as_column(b).alias("_b")).agg(F.sum("n").alias("_col_total"))
     total = grid.agg(F.sum("n")).scalar()
     cells = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from caseloom.operators.quantiles import box_stats
 from caseloom.plans.names import COUNTRIES
 
 # Columns the reports look at.
-COUNTED = ("Country Of Origin", "Outcome Description", "Component", "Reason Of Call")
+COUNTED = ("Outcome Description", "Component", "Reason Of Call")
+CATEGORIES = (*COUNTED, "Report Type")
 TESTED = (
     ("Component", "Outcome Description"),
     ("Component", "Reason Of Call"),
@@ -60,27 +63,31 @@ def edge_regression(df: DataFrame, at: str, start: str, end: str, edge: str) ->
     return S.ols(counts.select("day", "n"), "day", "n")
 
 
-def analyse(df: DataFrame) -> dict[str, DataFrame]:
-    """All reports over the scored calls, by name. Nothing runs until a report is read."""
+def analyse(df: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda _, table: table) -> dict[str, DataFrame]:
+    """All reports over the scored calls, by name.
+
+    The categories' joint counts serve most reports, ``keep`` may write them once.
+    """
     tables: dict[str, DataFrame] = {}
+    joint = keep("category_counts", A.joint_counts(df, CATEGORIES))
+    per_vehicle = keep("vehicle_counts", A.value_counts(df, "VIN"))
     policy = ("Incident Date", "Policy Start Date", "Policy End Date")
     tables["policy_edge"] = S.policy_edge(df, *policy)
     for edge in ("until_end", "since_start"):
         tables[f"policy_line_{edge}"], tables[f"policy_fit_{edge}"] = edge_regression(df, *policy, edge)
+    tables["counts_Country Of Origin"] = A.value_counts(df, "Country Of Origin")
     for col in COUNTED:
-        tables[f"counts_{col}"] = A.value_counts(df, col)
-    tables["counts_Component_Outcome"] = A.value_counts(df, ["Component", "Outcome Description"])
-    per_vehicle = A.value_counts(df, "VIN")
-    tables["vehicle_counts"] = per_vehicle
+        tables[f"counts_{col}"] = A.value_counts(joint, col, weight="n")
+    tables["counts_Component_Outcome"] = A.value_counts(joint, ["Component", "Outcome Description"], weight="n")
     tables["vehicle_histogram"] = A.histogram(per_vehicle, "n", maxbins=30)
     tables["vehicle_normal_curve"] = S.normal_curve(per_vehicle, "n")
-    tables["crosstab"] = A.crosstab(df, "Component", "Outcome Description")
+    tables["crosstab"] = A.crosstab(joint, "Component", "Outcome Description", weight="n")
     tables["odometer"] = A.histogram(df, "Odometer", maxbins=40)
     tables["services"] = A.service_influence(df, ["Component", "Outcome Description"], OFFERED)
     for col in ("Country Of Origin", "Country Of Incident"):
         tables[f"countries_{col}"] = country_counts(df, col)
     for a, b in TESTED:
-        tables[f"chi_square_{a}_{b}"], tables[f"chi_square_cells_{a}_{b}"] = S.chi_square(df, a, b)
+        tables[f"chi_square_{a}_{b}"], tables[f"chi_square_cells_{a}_{b}"] = S.chi_square(joint, a, b, weight="n")
     tables["timeline"] = A.timeline(df, "Incident Date", "month")
     damage = as_column("Damage During Assistance")
     answered = df.filter(damage.isNotNull()).withColumn(

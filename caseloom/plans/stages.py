@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from caseloom.functions import parse_date
 from caseloom.operators import aggregate as A
 from caseloom.operators import classify as C
+from caseloom.operators import cluster
 from caseloom.plans import cases, learning, reports
 from caseloom.plans import names as N
 from caseloom.session import tune
-from caseloom.sources.tables import SOURCE_ORDER
 from caseloom.sources import load_model, read_harmonised, read_table, save_model, write_table
+from caseloom.sources.tables import SOURCE_ORDER
 
 STAGES = ("data_preparation", "analysis", "machine_learning")
 YEARS = ("2021", "2022", "2023")
@@ -78,7 +79,7 @@ def analyse(spark: SparkSession, output_dir: str, words_from: DataFrame | None =
     """Write every report; with ``words_from`` also the most frequent words of its fault texts."""
     assistance = Folder(spark, f"{output_dir}/interim").read("assistance")
     output = Folder(spark, f"{output_dir}/output/analysis")
-    for name, table in reports.analyse(assistance).items():
+    for name, table in reports.analyse(assistance, output.keep).items():
         output.keep(name.replace(" ", "_"), table)
     if words_from is not None:
         output.keep("most_common_words", A.top_words(words_from, "Fault Description Customer", 200, stopwords))
@@ -106,7 +107,7 @@ def learn(
         loadings = fitted.loadings.withColumn("feature", renames[F.col("feature")])
         output.keep("explained_variance", fitted.variance)
         output.keep("silhouette_scores", fitted.silhouettes)
-        output.keep("top_loadings", learning.K.top_loadings(loadings))
+        output.keep("top_loadings", cluster.top_loadings(loadings))
     clustered = interim.keep("clustered", learning.with_clusters(load_model(f"{models}/clusters"), features))
     for name, table in learning.describe(clustered).items():
         output.keep(name.replace(" ", "_").replace(">", "over"), table)

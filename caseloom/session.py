@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Times here have no zone; in any zone with clock changes Spark would shift some of them.
+    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -21,7 +23,7 @@ PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
-    """Switch on the adaptive features the operators rely on for hot join keys.
+    """Switch on the adaptive features and the time zone the operators rely on.
 
     With the size of the input, shuffles also get enough partitions for it; adaptive
     execution merges those that turn out small.

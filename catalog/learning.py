@@ -136,9 +136,15 @@ def standard_scale(spark, folder):
     return C.standard_scale(customers, ["balance"]).select("c_custkey", F.round("balance_scaled", 6).alias("scaled"))
 
 
+@query("SELECT c_custkey, round(c_acctbal / max(abs(c_acctbal)) OVER (), 6) AS scaled FROM customer")
+def max_abs_scale(spark, folder):
+    """Balances divided by the largest absolute one."""
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
+    return K.max_abs_scale(customers, ["balance"]).select("c_custkey", F.round("balance_scaled", 6).alias("scaled"))
+
+
 @query(
     """
-    WITH k AS (SELECT * FROM (VALUES ('en'), ('fr'), ('es'), ('de')) v(lang))
     SELECT doc_id, CAST(lang = 'de' AS INTEGER) AS de, CAST(lang = 'en' AS INTEGER) AS en, CAST(lang = 'es' AS INTEGER) AS es
     FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN (
             SELECT lang FROM documents WHERE doc_id % 7 <> 0 AND lang <> 'fr' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)

@@ -185,3 +185,17 @@ def test_profiles(spark):
     assert shares == {("g", "x"): 1.0, ("h", "y"): 1.0}
     sums = {(r["g"], r["feature"]): r["total"] for r in A.melt_sum(df.fillna(0), ["g"], ["a", "b"]).collect()}
     assert sums == {("g", "a"): 12, ("g", "b"): 40, ("h", "a"): 5, ("h", "b"): 2}
+
+
+def test_joint_counts_stand_for_the_rows(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["x", "y", None]), rng.choice(["1", "2", "3", None]), rng.choice("pq")) for _ in range(150)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    joint = A.joint_counts(df, ["a", "b", "c"])
+    assert joint.agg(F.sum("n")).first()[0] == 150
+    for direct, weighted in [
+        (A.value_counts(df, "a", normalize=True), A.value_counts(joint, "a", normalize=True, weight="n")),
+        (A.crosstab(df, "a", "b"), A.crosstab(joint, "a", "b", weight="n")),
+        (S.chi_square(df, "a", "b")[0], S.chi_square(joint, "a", "b", weight="n")[0]),
+    ]:
+        assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, weighted.collect()))

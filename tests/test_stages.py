@@ -297,6 +297,9 @@ def test_reports_are_written(run):
     assert table("output/analysis/countries_Country_Of_Origin").count() == 4
     assert table("output/analysis/correlation").count() == 64
     assert table("output/analysis/chi_square_Component_Reason_Of_Call").first()["dof"] == 4
+    counted = table("output/analysis/counts_Component").agg(F.sum("n")).first()[0]
+    assert counted == table("interim/assistance").filter("Component IS NOT NULL").count()
+    assert table("output/analysis/vehicle_normal_curve").count() == 100
     assert table("output/score_histogram").agg(F.sum("n")).first()[0] == total
 
 
