@@ -40,7 +40,7 @@ class Folder:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
-def prepare_data(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "csv") -> None:
+def run_preparation(spark: SparkSession, input_dir: str, output_dir: str, fmt: str = "csv") -> None:
     """Clean calls, build cases and stays, link them, score the calls."""
     interim, output = Folder(spark, f"{output_dir}/interim"), Folder(spark, f"{output_dir}/output")
 
@@ -149,7 +149,7 @@ def run(
         raise ValueError(f"unknown stages: {sorted(unknown)}")
     tune(spark, input_bytes)
     if "data_preparation" in stages:
-        prepare_data(spark, input_dir, output_dir, fmt)
+        run_preparation(spark, input_dir, output_dir, fmt)
     if "analysis" in stages:
         analyse(spark, output_dir)
     if "machine_learning" in stages:
