@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import mixing, packing, simhash
+from caseloom.llm import decontaminate, language, mixing, packing, simhash, toxicity
 from caseloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,36 @@ def op9_golay_simhash(spark, folder):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def held_out(parts: int, part: int):
+    """Whether a document belongs to the part that models never learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+@query()
+def op4_naive_bayes_language(spark, folder):
+    """Predicted language of every document; a quarter of the documents is held out."""
+    docs = read(spark, folder, "documents")
+    model = language.train(docs.filter(~held_out(4, 2)))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op5_factorization_toxicity(spark, folder):
+    """Toxicity of every document; a third of the documents is held out."""
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    seen = labels.filter(~held_out(3, 1)).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(toxicity.sample(docs, seen))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op10_spaced_seed_overlaps(spark, folder):
+    """Overlaps of documents with benchmark items."""
+    found = decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.withColumn("similarity", F.col("same_tokens") / F.col("tokens"))

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +58,14 @@ def signed(value: int) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` (64 bits, signed) of every row of ``docs`` (doc_id, text)."""
 
-    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [signed(fingerprint(text)) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": prints})
+            prints = [signed(fingerprint(text.as_py())) for text in batch["text"]]
+            columns = [batch["doc_id"], pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(marks, "doc_id long, fingerprint long")
+    return rows.mapInArrow(marks, "doc_id long, fingerprint long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
