@@ -66,8 +66,8 @@ def mix(
         "mix-words",
     )
     sizes = words.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    ranked = positions(sizes, [F.col("_source") == "", F.col("_source")], "_place", "mix-sources")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int"))
+    ranked = positions(sizes, [F.col("_source") == "", F.col("_source")], "_nth", "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_nth") % len(weights) + 1).cast("int"))
     ranked = keep(ranked.withColumn("_weight", weight), "mix-weights")
     rows, total = ranked.agg(F.sum("_rows"), F.sum("source_size")).first()
     aims = targets(ranked, share * (total or 0), max_epochs).select("_source", "source_size", "target")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, language, mixing, packing, simhash, toxicity
+from caseloom.llm import decontaminate, disclosure, language, mixing, packing, simhash, toxicity, vafile, warc
 from caseloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,65 @@ def op10_spaced_seed_overlaps(spark, folder):
     """Overlaps of documents with benchmark items."""
     found = decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.withColumn("similarity", F.col("same_tokens") / F.col("tokens"))
+
+
+@query(
+    """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+)
+def op2_va_file_top5(spark, folder):
+    """The five vectors with the largest products for every fiftieth vector."""
+    return vafile.top_products(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query()
+def op8_disclosure_spans(spark, folder):
+    """Personal data and disclosing terms of every document."""
+    found = disclosure.find(read(spark, folder, "documents"))
+    counts = [F.col("counts")[number].alias(f"n_{kind}") for number, kind in enumerate(disclosure.KINDS)]
+    return found.select("doc_id", *counts, disclosure.base_digest(F.col("base")).alias("base_sha256"), "spans")
+
+
+@query(
+    r"""
+WITH hashed AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+spelled AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+           CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)),
+           'string_agg', '') AS payload_digest,
+         regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '(?s)#.*$', '') AS rest
+  FROM hashed),
+keyed AS (
+  SELECT *, regexp_extract(rest, '^[^/?]*') AS host,
+         max(page_id) OVER (PARTITION BY payload_digest) AS latest
+  FROM spelled),
+named AS (
+  SELECT *, array_to_string(list_reverse(string_split(
+           regexp_replace(regexp_replace(lower(host), ':(80|443)$', ''), '^www[0-9]*\.', ''), '.')), ',') || ')' ||
+         coalesce(nullif(lower(substr(rest, length(host) + 1)), ''), '/') AS url_key
+  FROM keyed)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to, coalesce(url_key, '') AS url_key,
+       row_number() OVER (ORDER BY coalesce(url_key, ''), page_id % 1000000000, page_id) - 1 AS capture_no
+FROM named"""
+)
+def op3_warc_index(spark, folder):
+    """Record of every page in the archives, and its place in the merged index.
+
+    The pages have no time of capture; a page counts as captured page_id seconds into the crawl.
+    """
+    seconds = F.expr("timestampadd(SECOND, pmod(page_id, 1000000000), TIMESTAMP_NTZ'2000-01-01 00:00:00')")
+    stamp = F.concat(F.replace(seconds.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    pages = read(spark, folder, "pages").select("page_id", "url", "html", F.coalesce(stamp, F.lit("")).alias("stamp"))
+    return warc.archive(pages).drop("stamp")

@@ -64,15 +64,16 @@ def positions(df: DataFrame, order: Sequence, into: str, label: str) -> DataFram
 
     Rows are dealt by range and sorted there; only the row count of each range is gathered.
     """
-    parts = keep(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_at", 33)),
-        label,
-    )
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    place = F.struct(F.shiftright("_at", 33).alias("part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("row"))
+    return numbered(keep(parts.withColumn("_place", place).drop("_at"), label), into)
+
+
+def numbered(parts: DataFrame, into: str) -> DataFrame:
+    """Positions (from 0) of the rows of a kept table whose ``_place`` has their part and row in it, both in order."""
+    sizes = parts.groupBy(F.col("_place.part").alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    row = F.col("_at") - F.shiftleft("_part", 33)
-    return parts.join(F.broadcast(starts), "_part").withColumn(into, F.col("_start") + row).drop("_at", "_part", "_start")
+    # One row per part.
+    found = parts.join(F.broadcast(starts), F.col("_place.part") == F.col("_part"))
+    return found.withColumn(into, F.col("_start") + F.col("_place.row")).drop("_place", "_part", "_start")
