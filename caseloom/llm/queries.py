@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, disclosure, language, mixing, packing, simhash, toxicity, vafile, warc
+from caseloom.llm import decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, toxicity, vafile, warc
 from caseloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,9 @@ def op3_warc_index(spark, folder):
     stamp = F.concat(F.replace(seconds.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     pages = read(spark, folder, "pages").select("page_id", "url", "html", F.coalesce(stamp, F.lit("")).alias("stamp"))
     return warc.archive(pages).drop("stamp")
+
+
+@query()
+def op6_minhash_passages(spark, folder):
+    """Paragraphs of passages that repeat across documents."""
+    return paragraphs.repeated_passages(read(spark, folder, "documents"))
