@@ -14,11 +14,11 @@ from caseloom.llm.tables import keep
 #: Labelled rows per class that the model is fitted on at most.
 MAX_ROWS = 10_000
 #: Hash buckets of the terms, and how many of them the machine sees: those that depend most on the label.
-BUCKETS, FEATURES = 1 << 18, 512
+BUCKETS, FEATURES = 1 << 18, 2048
 #: Length of the word beginnings that are terms beside the words, for inflected and compound words.
 STEM = 4
 #: Latent factors per term, steps and step size of the fit.
-FACTORS, STEPS, STEP, PENALTY = 4, 60, 0.1, 1e-4
+FACTORS, STEPS, STEP, PENALTY = 4, 100, 0.1, 1e-3
 
 
 def terms(text: Column) -> Column:
