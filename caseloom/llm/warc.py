@@ -43,12 +43,11 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + tail
 
 
-def with_digest(df: DataFrame, payload: str, into: str) -> DataFrame:
-    """Adds the bare upper-case base32 SHA-1 of a binary column: four letters for five hex digits."""
-    number = "cast(conv(substring(_sha1, 1 + 5 * (i div 4), 5), 16, 10) AS int)"
+def base32(hex_digits: str) -> Column:
+    """Bare upper-case base32 of a column of 40 hex digits: four letters for five digits."""
+    number = f"cast(conv(substring({hex_digits}, 1 + 5 * (i div 4), 5), 16, 10) AS int)"
     letter = f"substring('{BASE32}', 1 + (shiftright({number}, 15 - 5 * cast(i % 4 AS int)) & 31), 1)"
-    spelled = F.expr(f"array_join(transform(sequence(0, 31), i -> {letter}), '')")
-    return df.withColumn("_sha1", F.sha1(payload)).withColumn(into, spelled).drop("_sha1")
+    return F.expr(f"array_join(transform(sequence(0, 31), i -> {letter}), '')")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -74,14 +73,15 @@ def write(pages: DataFrame, path: str) -> None:
         "url",
         F.coalesce("html", F.lit("")).alias("html"),
         "stamp",
-    ).withColumn("_payload", F.encode("html", "UTF-8"))
-    digested = with_digest(rows, "_payload", "_digest").drop("_payload")
-    latest = keep(digested.groupBy("_digest").agg(F.max("page_id").alias("_latest")), "warc-latest")
-    joined = digested.join(latest, "_digest")
+    ).withColumn("_sha1", F.sha1(F.col("html").cast("binary")))
+    latest = rows.groupBy("_sha1").agg(F.max("page_id").alias("_latest"))
+    latest = keep(latest.withColumn("_digest", base32("_sha1")), "warc-latest")
+    joined = rows.join(latest, "_sha1")
     revisit = F.coalesce(F.col("page_id") != F.col("_latest"), F.col("_latest").isNotNull())
     length = F.octet_length("html").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length, F.lit(END))
-    block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
+    payload = F.when(revisit, "").otherwise(F.col("html"))
+    size = F.octet_length(http) + F.octet_length(payload)
     record = F.concat(
         F.lit("WARC/1.0\r\n"),
         _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -92,9 +92,10 @@ def write(pages: DataFrame, path: str) -> None:
         _header("WARC-Refers-To", F.when(revisit, _page("_latest"))),
         _header("WARC-Profile", F.when(revisit, PROFILE)),
         _header("Content-Type", F.lit("application/http; msgtype=response")),
-        _header("Content-Length", F.octet_length(block).cast("string")),
+        _header("Content-Length", size.cast("string")),
         F.lit("\r\n"),
-        block,
+        http,
+        payload,
     )
     options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": RECORDS}
     joined.select(record.alias("value")).write.options(**options).text(path)
