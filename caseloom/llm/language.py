@@ -115,7 +115,7 @@ def train(labelled: DataFrame) -> Model:
     counts[table["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
     prior = np.log(counts[:, -1] / max(1, counts[:, -1].sum())) if languages else np.empty(0)
     smooth = (counts[:, :-1] + SMOOTHING).reshape(len(languages), len(SIZES), BUCKETS)
-    matrix = np.log(smooth / smooth.sum(axis=2, keepdims=True)).reshape(len(languages), -1)
+    matrix = np.log(smooth / smooth.sum(axis=2, keepdims=True)).reshape(len(languages), len(SIZES) * BUCKETS)
     return Model(languages, prior, matrix)
 
 

@@ -20,7 +20,7 @@ BANDS, ROWS = 14, 4
 #: Words that a run of repeated paragraphs has at least to count as a passage.
 PASSAGE = 50
 #: Times that colliding paragraphs are compared with one of them, before the rest is compared in pairs.
-ROUNDS = 3
+ROUNDS = 2
 #: Shingles hashed at a time, and bits of the table that tells candidates from other paragraphs.
 CHUNK, TABLE_BITS = 1 << 17, 24
 
@@ -140,31 +140,42 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return keep(joined.groupBy("node").agg(F.first("text").alias("text")), "paragraph-texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, set): the distinct shingle hashes of the texts (node, text)."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, one, two = (column.to_pylist() for column in batch.columns)
-            like = [similarity(x.split(), y.split()) >= SIMILARITY for x, y in zip(one, two)]
-            columns = [pa.array([v for v, ok in zip(side, like) if ok], pa.int64()) for side in (a, b)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+            found = [np.unique(np.array(shingles(text.as_py().split()), np.uint64)).view(np.int64) for text in batch["text"]]
+            columns = [batch["node"], pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "set"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_one"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_two"))
+    return keep(texts.mapInArrow(cut, "node long, set array<bigint>"), "paragraph-sets")
+
+
+def _alike(one: str, two: str):
+    """Whether two shingle sets are similar; sizes too different are told without comparing."""
+    a, b = F.size(one), F.size(two)
+    both = F.size(F.array_intersect(one, two))
+    near = F.least(a, b) / F.greatest(a, b) >= SIMILARITY
+    return near & (both / (a + b - both) >= SIMILARITY)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; the second set is compared as it is joined."""
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("_one"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("_two"))
     half = keep(pairs.join(left, "a"), "paragraph-half")
-    both = half.join(right, "b").select("a", "b", "_one", "_two")
-    return keep(both.mapInArrow(verify, "a long, b long"), "paragraph-links")
+    return keep(half.join(right, (half["b"] == right["b"]) & _alike("_one", "_two")).select("a", half["b"]), "paragraph-links")
 
 
 def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(text_id, component): paragraphs that are equal, or connected by near copies, share a component.
 
-    Equal paragraphs are one node. Nodes that collide in a band are compared with the first of
-    them, then with others picked by hash, as long as they are not all connected. What is still
-    apart after ``ROUNDS`` is compared in pairs, except with what it is already connected to. So
-    a large group of near copies costs a few comparisons each, and no link between components
-    is lost.
+    Equal paragraphs are one node. Nodes that collide in a band are compared with one of them,
+    then with another, as long as they are not all connected. What is still apart after
+    ``ROUNDS`` is compared in pairs, except with what it is already connected to. So a large
+    group of near copies of one paragraph costs a few comparisons each, and no link between
+    components is lost.
     """
     nodes = keep(
         lines.groupBy("text_id").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
@@ -175,32 +186,42 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
     keyed = keyed.select("node", F.xxhash64("band", "key").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    members = keep(keyed.join(keep(sizes.select("key"), "paragraph-buckets"), "key"), "paragraph-members")
-    texts = _texts(docs, members.select("node").distinct().join(nodes.select("node", "text_id"), "node"))
+    members = keep(keyed.join(keep(sizes, "paragraph-buckets"), "key"), "paragraph-members")
+    central = members.groupBy("node").agg(F.sum("_size").alias("_company"))
+    central = keep(central, "paragraph-central")
+    sets = _sets(_texts(docs, central.join(nodes.select("node", "text_id"), "node").select("node", "text_id")))
+    members = keep(members.select("key", "node").join(central, "node"), "paragraph-company")
 
-    found = None
-    homes = None
+    found, homes = None, None
     for attempt in range(ROUNDS + 1):
         placed = members.withColumn("home", F.col("node"))
         if homes is not None:
             placed = members.join(homes, "node", "left").withColumn("home", F.coalesce("root", "node")).drop("root")
         placed = keep(placed, "paragraph-placed")
+        # The first to be compared with has the most company in its buckets, as an original among
+        # its altered copies has; the others are picked by hash.
+        turn = -F.col("_company") if attempt == 0 else F.xxhash64("node", F.lit(attempt))
         # Buckets that are not all of one component.
         span = placed.groupBy("key").agg(
             F.min("home").alias("_low"), F.max("home").alias("_high"),
-            F.min(F.struct(F.xxhash64("node", F.lit(attempt)).alias("h"), "node", "home")).alias("_head"),
+            F.min(F.struct(turn.alias("turn"), "node", "home")).alias("_head"),
         )
         split = keep(span.filter("_low < _high"), "paragraph-split")
         if attempt < ROUNDS:
-            other = placed.join(split, "key").filter("home <> _head.home").select(F.col("node").alias("x"), F.col("_head.node").alias("y"))
+            other = placed.join(split, "key").filter("home <> _head.home")
+            pairs = other.select(F.least("node", "_head.node").alias("a"), F.greatest("node", "_head.node").alias("b"))
+            pairs = keep(pairs.distinct(), "paragraph-pairs")
+            if pairs.isEmpty():
+                break
+            links = _verified(pairs, sets)
         else:
-            apart = keep(placed.join(split.select("key"), "key"), "paragraph-apart")
-            twin = apart.select("key", F.col("node").alias("y"), F.col("home").alias("_home"))
-            other = apart.join(twin, "key").filter("node < y AND home <> _home").select(F.col("node").alias("x"), "y")
-        pairs = keep(other.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "paragraph-pairs")
-        if pairs.isEmpty():
-            break
-        links = _verified(pairs, texts)
+            apart = keep(placed.join(split.select("key"), "key").select("key", "node", "home"), "paragraph-apart")
+            apart = keep(apart.join(sets, "node"), "paragraph-apart-sets")
+            twin = apart.select("key", F.col("node").alias("b"), F.col("home").alias("_home"), F.col("set").alias("_two"))
+            here = apart.withColumnRenamed("set", "_one").withColumnRenamed("node", "a")
+            # Compared within the join, so that only links come out of it.
+            met = (here["key"] == twin["key"]) & (F.col("a") < F.col("b")) & (F.col("home") != F.col("_home"))
+            links = keep(here.join(twin, met & _alike("_one", "_two")).select("a", "b").distinct(), "paragraph-links")
         found = links if found is None else keep(found.unionByName(links), "paragraph-all")
         homes = components(found, "paragraph-components")
     if homes is None:
