@@ -49,15 +49,16 @@ def _pick(
         rank = F.lit(float(p)) * (F.col("_total") - 1)
         picks.append(F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_value"))).alias(f"_lo{i}"))
         picks.append(F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("_value"))).alias(f"_hi{i}"))
-        picks.append(F.max(rank - F.floor(rank)).alias(f"_part{i}"))
+        picks.append(F.max(rank).alias(f"_rank{i}"))
     picked = ranked.groupBy(*by).agg(*picks)
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).cast("double").alias(n)
-            for i, n in enumerate(names)
-        ],
-    )
+    return picked.select(*by, *[_between(i).alias(n) for i, n in enumerate(names)])
+
+
+def _between(i: int) -> Column:
+    """Interpolates as ``percentile`` does, to the last bit."""
+    low, high, rank = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double"), F.col(f"_rank{i}")
+    mixed = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+    return F.when(low == high, low).otherwise(mixed)
 
 
 def quantiles(

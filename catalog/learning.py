@@ -234,7 +234,7 @@ def pca_variance(spark, folder):
 def pca_loadings(spark, folder):
     """The five features that weigh most in each component kept."""
     frame, names = _kept_features(spark, folder)
-    return _named(K.top_loadings(K.fit_clusters(frame, names, ks=range(2, 4)).loadings))
+    return _named(K.top_loadings(K.fit_clusters(frame, names).loadings))
 
 
 def _vectors(spark, folder):

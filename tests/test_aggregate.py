@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import special
 from caseloom.operators import aggregate as A
 from caseloom.operators import stats as S
-from caseloom.operators.quantiles import flag_top_quantile, remove_outliers
+from caseloom.operators.quantiles import flag_top_quantile, quantiles, remove_outliers
 
 
 def _cells(rows, spark):
@@ -199,3 +199,13 @@ def test_joint_counts_stand_for_the_rows(spark):
         (S.chi_square(df, "a", "b")[0], S.chi_square(joint, "a", "b", weight="n")[0]),
     ]:
         assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, weighted.collect()))
+
+
+def test_quantiles_do_not_depend_on_the_path(spark):
+    dice = random.Random(12)
+    rows = [(g, round(dice.uniform(0, 10**6), 2)) for g in ("a", "b") for _ in range(700)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = [0.0, 0.1, 0.25, 0.333, 0.5, 0.77, 0.9, 1.0]
+    for by in ([], ["g"]):
+        one, many = (sorted(map(tuple, quantiles(df, "x", ps, by, max_group_rows=m).collect())) for m in (10**6, 100))
+        assert one == many
