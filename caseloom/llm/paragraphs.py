@@ -23,6 +23,10 @@ PASSAGE = 50
 ROUNDS = 2
 #: Shingles hashed at a time, and bits of the table that tells candidates from other paragraphs.
 CHUNK, TABLE_BITS = 1 << 17, 24
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 4
+#: Members of a bucket that one slice of it compares with all others.
+SLICE = 2048
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -140,16 +144,40 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return keep(joined.groupBy("node").agg(F.first("text").alias("text")), "paragraph-texts")
 
 
+SKETCHED = ["size", *(f"s{number}" for number in range(SKETCH))]
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Whether the number of the set's hashes that fall to a bit is odd, for every bit.
+
+    Equal hashes of two sets cancel, so two sketches differ in no more bits than the sets in hashes.
+    """
+    odd = np.bincount((values % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, set): the distinct shingle hashes of the texts (node, text)."""
+    """(node, size, s0.., set): the distinct shingle hashes of the texts (node, text), their number and sketch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array(shingles(text.as_py().split()), np.uint64)).view(np.int64) for text in batch["text"]]
-            columns = [batch["node"], pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "set"])
+            found = [np.unique(np.array(shingles(text.as_py().split()), np.uint64)) for text in batch["text"]]
+            marks = np.array([sketch(of) for of in found], np.int64).reshape(-1, SKETCH)
+            columns = [batch["node"], pa.array([len(of) for of in found], pa.int32()), *map(pa.array, marks.T)]
+            columns.append(pa.array([of.view(np.int64) for of in found], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["node", *SKETCHED, "set"])
+
+    marks = ", ".join(f"{name} long" for name in SKETCHED[1:])
+    return keep(texts.mapInArrow(cut, f"node long, size int, {marks}, set array<bigint>"), "paragraph-sets")
+
 
-    return keep(texts.mapInArrow(cut, "node long, set array<bigint>"), "paragraph-sets")
+def _may_be_alike(one: str, two: str):
+    """Whether two structs of ``SKETCHED`` leave it possible that the sets are similar; never wrong about those that are."""
+    a, b = F.col(f"{one}.size"), F.col(f"{two}.size")
+    apart = sum(F.bit_count(F.col(f"{one}.{s}").bitwiseXOR(F.col(f"{two}.{s}"))) for s in SKETCHED[1:])
+    # Sets are similar if they differ in at most this many hashes; a little more for rounding.
+    most = (a + b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    return (F.abs(a - b) <= most) & (apart <= most)
 
 
 def _alike(one: str, two: str):
@@ -173,9 +201,10 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     Equal paragraphs are one node. Nodes that collide in a band are compared with one of them,
     then with another, as long as they are not all connected. What is still apart after
-    ``ROUNDS`` is compared in pairs, except with what it is already connected to. So a large
-    group of near copies of one paragraph costs a few comparisons each, and no link between
-    components is lost.
+    ``ROUNDS`` is compared in pairs, except with what it is already connected to: sketches
+    within the join, sliced for large buckets, then the sets of the pairs that the sketches
+    let pass. So a large group of near copies of one paragraph costs a few comparisons of
+    sets each, and no link between components is lost.
     """
     nodes = keep(
         lines.groupBy("text_id").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
@@ -190,7 +219,8 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     central = members.groupBy("node").agg(F.sum("_size").alias("_company"))
     central = keep(central, "paragraph-central")
     sets = _sets(_texts(docs, central.join(nodes.select("node", "text_id"), "node").select("node", "text_id")))
-    members = keep(members.select("key", "node").join(central, "node"), "paragraph-company")
+    known = sets.select("node", F.struct(*SKETCHED).alias("mark")).join(central, "node")
+    members = keep(members.select("key", "node").join(keep(known, "paragraph-known"), "node"), "paragraph-company")
 
     found, homes = None, None
     for attempt in range(ROUNDS + 1):
@@ -204,24 +234,32 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
         # Buckets that are not all of one component.
         span = placed.groupBy("key").agg(
             F.min("home").alias("_low"), F.max("home").alias("_high"),
-            F.min(F.struct(turn.alias("turn"), "node", "home")).alias("_head"),
+            F.min(F.struct(turn.alias("turn"), "node", "home", "mark")).alias("_head"), F.count(F.lit(1)).alias("_size"),
         )
         split = keep(span.filter("_low < _high"), "paragraph-split")
         if attempt < ROUNDS:
-            other = placed.join(split, "key").filter("home <> _head.home")
+            other = placed.join(split, "key").filter((F.col("home") != F.col("_head.home")) & _may_be_alike("mark", "_head.mark"))
             pairs = other.select(F.least("node", "_head.node").alias("a"), F.greatest("node", "_head.node").alias("b"))
-            pairs = keep(pairs.distinct(), "paragraph-pairs")
-            if pairs.isEmpty():
-                break
-            links = _verified(pairs, sets)
         else:
-            apart = keep(placed.join(split.select("key"), "key").select("key", "node", "home"), "paragraph-apart")
-            apart = keep(apart.join(sets, "node"), "paragraph-apart-sets")
-            twin = apart.select("key", F.col("node").alias("b"), F.col("home").alias("_home"), F.col("set").alias("_two"))
-            here = apart.withColumnRenamed("set", "_one").withColumnRenamed("node", "a")
-            # Compared within the join, so that only links come out of it.
-            met = (here["key"] == twin["key"]) & (F.col("a") < F.col("b")) & (F.col("home") != F.col("_home"))
-            links = keep(here.join(twin, met & _alike("_one", "_two")).select("a", "b").distinct(), "paragraph-links")
+            slices = F.ceil(F.col("_size") / SLICE).cast("int")
+            apart = placed.join(split.select("key", slices.alias("_slices")), "key")
+            apart = keep(apart.select("key", "node", "home", "mark", "_slices"), "paragraph-apart")
+            here = apart.select(
+                "key", F.pmod(F.xxhash64("node"), "_slices").cast("int").alias("_slice"),
+                F.col("node").alias("a"), F.col("home").alias("_home_a"), F.col("mark").alias("_one"),
+            )
+            twin = apart.select(
+                "key", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"),
+                F.col("node").alias("b"), F.col("home").alias("_home_b"), F.col("mark").alias("_two"),
+            )
+            # Compared within the join, so that few pairs come out of it.
+            met = (here["key"] == twin["key"]) & (here["_slice"] == twin["_slice"]) & (F.col("a") < F.col("b"))
+            met = met & (F.col("_home_a") != F.col("_home_b")) & _may_be_alike("_one", "_two")
+            pairs = here.join(twin, met).select("a", "b")
+        pairs = keep(pairs.distinct(), "paragraph-pairs")
+        if pairs.isEmpty():
+            continue
+        links = _verified(pairs, sets)
         found = links if found is None else keep(found.unionByName(links), "paragraph-all")
         homes = components(found, "paragraph-components")
     if homes is None:

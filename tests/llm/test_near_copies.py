@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from caseloom.llm import decontaminate, paragraphs, simhash
@@ -147,7 +148,21 @@ def test_passages(spark, messy, nothing):
     assert {r.doc_id for r in paragraphs.repeated_passages(messy, passage=5).collect()} == {1, 2}
 
 
-def test_paragraph_classes_against_all_pairs(spark):
+def test_sketches_never_hide_similar_sets():
+    dice = np.random.default_rng(3)
+    for size in (1, 5, 60, 900):
+        for kept in (0.5, 0.8, 0.9, 1.0):
+            one = np.unique(dice.integers(0, 1 << 63, size, np.uint64))
+            two = np.unique(np.concatenate([one[: int(kept * len(one))], dice.integers(0, 1 << 63, size // 10, np.uint64)]))
+            differ = len(np.setxor1d(one, two))
+            bits = np.bitwise_count((paragraphs.sketch(one) ^ paragraphs.sketch(two)).view(np.uint64)).sum()
+            assert bits <= differ and (differ - bits) % 2 == 0
+
+
+@pytest.mark.parametrize(("rounds", "part"), [(2, 2048), (0, 7)])
+def test_paragraph_classes_against_all_pairs(spark, monkeypatch, rounds, part):
+    monkeypatch.setattr(paragraphs, "ROUNDS", rounds)
+    monkeypatch.setattr(paragraphs, "SLICE", part)
     dice = random.Random(11)
     base = prose(dice, 60)
     lines = []
