@@ -180,6 +180,12 @@ def _may_be_alike(one: str, two: str):
     return (F.abs(a - b) <= most) & (apart <= most)
 
 
+def _first_common(one: str, two: str):
+    """The first band in which two paragraphs collide: of all buckets that a pair shares, one has to name it."""
+    keys = [[F.substring(bands, 1 + 8 * band, 8) for bands in (one, two)] for band in range(BANDS)]
+    return F.coalesce(*[F.when(a == b, F.lit(band)) for band, (a, b) in enumerate(keys)])
+
+
 def _alike(one: str, two: str):
     """Whether two shingle sets are similar; sizes too different are told without comparing."""
     a, b = F.size(one), F.size(two)
@@ -213,14 +219,14 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     keyed = nodes.filter("bands IS NOT NULL").selectExpr(
         "node", f"posexplode(transform(sequence(0, {BANDS - 1}), n -> substring(bands, 1 + 8 * n, 8))) AS (band, key)"
     )
-    keyed = keyed.select("node", F.xxhash64("band", "key").alias("key"))
+    keyed = keyed.select("node", "band", F.xxhash64("band", "key").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     members = keep(keyed.join(keep(sizes, "paragraph-buckets"), "key"), "paragraph-members")
     central = members.groupBy("node").agg(F.sum("_size").alias("_company"))
     central = keep(central, "paragraph-central")
     sets = _sets(_texts(docs, central.join(nodes.select("node", "text_id"), "node").select("node", "text_id")))
     known = sets.select("node", F.struct(*SKETCHED).alias("mark")).join(central, "node")
-    members = keep(members.select("key", "node").join(keep(known, "paragraph-known"), "node"), "paragraph-company")
+    members = keep(members.select("key", "band", "node").join(keep(known, "paragraph-known"), "node"), "paragraph-company")
 
     found, homes = None, None
     for attempt in range(ROUNDS + 1):
@@ -243,18 +249,20 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
         else:
             slices = F.ceil(F.col("_size") / SLICE).cast("int")
             apart = placed.join(split.select("key", slices.alias("_slices")), "key")
-            apart = keep(apart.select("key", "node", "home", "mark", "_slices"), "paragraph-apart")
+            apart = keep(apart.select("key", "band", "node", "home", "mark", "_slices"), "paragraph-apart")
+            apart = keep(apart.join(nodes.select("node", "bands"), "node"), "paragraph-apart-bands")
             here = apart.select(
-                "key", F.pmod(F.xxhash64("node"), "_slices").cast("int").alias("_slice"),
-                F.col("node").alias("a"), F.col("home").alias("_home_a"), F.col("mark").alias("_one"),
+                "key", F.pmod(F.xxhash64("node"), "_slices").cast("int").alias("_slice"), "band",
+                F.col("node").alias("a"), F.col("home").alias("_home_a"), F.col("mark").alias("_one"), F.col("bands").alias("_bands_a"),
             )
             twin = apart.select(
                 "key", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"),
-                F.col("node").alias("b"), F.col("home").alias("_home_b"), F.col("mark").alias("_two"),
+                F.col("node").alias("b"), F.col("home").alias("_home_b"), F.col("mark").alias("_two"), F.col("bands").alias("_bands_b"),
             )
             # Compared within the join, so that few pairs come out of it.
             met = (here["key"] == twin["key"]) & (here["_slice"] == twin["_slice"]) & (F.col("a") < F.col("b"))
             met = met & (F.col("_home_a") != F.col("_home_b")) & _may_be_alike("_one", "_two")
+            met = met & (_first_common("_bands_a", "_bands_b") == F.col("band"))
             pairs = here.join(twin, met).select("a", "b")
         pairs = keep(pairs.distinct(), "paragraph-pairs")
         if pairs.isEmpty():
