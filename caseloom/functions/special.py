@@ -18,8 +18,11 @@ def _converge(step, start: int = 1, limit: int = 10_000) -> float:
         c = (b + a / c) or _TINY
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    # The last bits may go on swinging; anything more is no result.
+    if abs(c * d - 1.0) < 1e-12:
+        return value
+    raise ArithmeticError(f"no convergence after {limit} steps")
 
 
 def chi2_tail(statistic, dof):
