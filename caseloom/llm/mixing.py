@@ -39,6 +39,33 @@ def targets(sizes: DataFrame, total, max_epochs: int) -> DataFrame:
         level = (float(left), int(weight))
 
 
+def _words(seed: int) -> list:
+    """Number, size, source and place in the seeded order of a document."""
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_source"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("_order"),
+    ]
+
+
+def _placed(docs: DataFrame, weights: Sequence[int], share: float, max_epochs: int, seed: int) -> DataFrame:
+    """The documents' words with the target of their source, ``_whole`` epochs and ``_more`` for one more."""
+    words = keep(docs.select(*_words(seed)), "mix-words")
+    sizes = words.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    ranked = positions(sizes, [F.col("_source") == "", F.col("_source")], "_nth", "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_nth") % len(weights) + 1).cast("int"))
+    ranked = keep(ranked.withColumn("_weight", weight), "mix-weights")
+    rows, total = ranked.agg(F.sum("_rows"), F.sum("source_size")).first()
+    aims = targets(ranked, share * (total or 0), max_epochs).select("_source", "source_size", "target")
+    told = keep(words.join(aims, "_source"), "mix-told")
+    before = running(told, ["_source"], ["_order", "doc_id", "size"], "size", "_before", digits_for(rows or 0))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    extra = F.col("target") - F.col("_whole") * F.col("source_size")
+    once_more = (F.col("size") > 0) & (F.col("_before") + F.col("size") / 2 <= extra)
+    return before.withColumn("_whole", whole.cast("long")).withColumn("_more", once_more)
+
+
 def mix(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7
 ) -> DataFrame:
@@ -56,27 +83,34 @@ def mix(
     interchangeable. A source without words has target 0. An empty table gives no rows. Other
     columns are ignored.
     """
-    words = keep(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_source"),
-            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("_order"),
-        ),
-        "mix-words",
-    )
-    sizes = words.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    ranked = positions(sizes, [F.col("_source") == "", F.col("_source")], "_nth", "mix-sources")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_nth") % len(weights) + 1).cast("int"))
-    ranked = keep(ranked.withColumn("_weight", weight), "mix-weights")
-    rows, total = ranked.agg(F.sum("_rows"), F.sum("source_size")).first()
-    aims = targets(ranked, share * (total or 0), max_epochs).select("_source", "source_size", "target")
-    told = keep(words.join(aims, "_source"), "mix-told")
-    before = running(told, ["_source"], ["_order", "doc_id", "size"], "size", "_before", digits_for(rows or 0))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    extra = F.col("target") - whole * F.col("source_size")
-    once_more = (F.col("size") > 0) & (F.col("_before") + F.col("size") / 2 <= extra)
-    copies = (whole + once_more.cast("int")).cast("long")
-    return before.withColumn("copies", copies).select(
+    placed = _placed(docs, weights, share, max_epochs, seed)
+    copies = F.col("_whole") + F.col("_more").cast("long")
+    return placed.withColumn("copies", copies).select(
         "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def repeat(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, seed: int = 7
+) -> DataFrame:
+    """The rows of ``docs``, all columns, as many times as :func:`mix` takes them.
+
+    Middle words only move on along the seeded order, so what a source takes once more is
+    all up to a last document. The mix comes down to one row per source, its whole epochs and
+    that last document, and the texts meet these rows where they lie.
+
+    Nulls, empty tables and other columns as for :func:`mix`, except that rows that tie with the
+    last document, equal in source, doc_id and size, are all taken once more.
+    """
+    place = F.struct("_order", "doc_id", "size")
+    rules = keep(
+        _placed(docs, weights, share, max_epochs, seed)
+        .groupBy("_source")
+        .agg(F.max("_whole").alias("_whole"), F.max(F.when(F.col("_more"), place)).alias("_last")),
+        "mix-rules",
+    )
+    rows = docs.select(F.struct("*").alias("_row"), *_words(seed)).join(rules, "_source")
+    more = (F.col("size") > 0) & (place <= F.col("_last"))
+    copies = F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long")
+    times = F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_time")
+    return rows.select("_row", times).select("_row.*")

@@ -70,6 +70,27 @@ def test_mix_messy(messy, nothing):
     assert sorted(map(repr, found)) == sorted(map(repr, again))
 
 
+def copies_of(df):
+    """How often every row is there, without its kind of table."""
+    return sorted((repr(row.doc_id), repr(row.text), repr(row.source)) for row in df.collect())
+
+
+def test_repeat_as_often_as_mixed(spark, messy, nothing):
+    dice = random.Random(4)
+    rows = [(d, "w " * dice.randint(0, 9), dice.choice(["a", "a", "b", None])) for d in range(300)]
+    rows += [(None, "w " * n, "b") for n in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    often = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs).collect()}
+    wanted = sorted(
+        (repr(d), repr(text), repr(source)) for d, text, source in rows for _ in range(often[d, text.count("w")])
+    )
+    assert copies_of(mixing.repeat(docs)) == wanted
+    assert copies_of(mixing.repeat(docs.repartition(7))) == wanted
+    found = mixing.repeat(messy)
+    assert found.columns == messy.columns and copies_of(found) == copies_of(mixing.repeat(messy.repartition(3)))
+    assert mixing.repeat(nothing).count() == 0
+
+
 def slow_targets(sizes, weights, total, cap):
     target, clamped = {}, set()
     while True:
