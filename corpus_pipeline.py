@@ -50,12 +50,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it; rows that share a doc_id as often as the most taken."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = keep(taken.withColumnRenamed("doc_id", "_doc"), "pipeline-taken")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc"]))
-    repeats = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
-    return joined.select(*[docs[f"`{name}`"] for name in docs.columns], repeats).drop("_copy")
+    """Every document as many times as the mix takes it."""
+    return mixing.repeat(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
