@@ -14,7 +14,10 @@ from caseloom.functions.text import tokens
 from caseloom.operators.quantiles import MAX_DISTINCT, quantiles
 from caseloom.operators.skew import spread_join
 
+#: Levels that become columns of a wide table; long tables have no such limit.
 MAX_LEVELS = 10_000
+#: Parts that a crosstab deals the levels of its columns into.
+GRID_PARTS = 64
 
 
 def known_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -144,24 +147,30 @@ def crosstab(
 ) -> DataFrame:
     """Long table ``a, b, n, row_total`` with every combination, zeros included.
 
-    A row of the crosstab is one map with at most ``MAX_LEVELS`` entries, so the empty
-    combinations need no join.
+    Levels of ``b`` are dealt into ``GRID_PARTS`` parts by hash. A row of the crosstab meets the
+    parts one by one, and its counts in a part are one map, so neither a list of all levels nor
+    a row's whole line is ever in one place, however many levels there are.
     """
     counts = value_counts(df, [a, b], weight=weight)
+    part = F.pmod(F.xxhash64(as_column(b)), F.lit(GRID_PARTS)).cast("int").alias("_part")
     if b_levels is None:
-        b_levels = levels(counts, b)
+        found = counts.select(as_column(b)).distinct()
     else:
         counts = counts.filter(as_column(b).isin(*b_levels))
-    kind = counts.schema[b].dataType
-    grid = F.array(*[F.lit(level).cast(kind) for level in b_levels])
-    per_row = counts.groupBy(as_column(a)).agg(
-        F.map_from_entries(F.collect_list(F.struct(as_column(b), F.col("n")))).alias("_cells"),
-        F.sum("n").alias("row_total"),
+        kind = counts.schema[b].dataType
+        given = F.array(*[F.lit(level).cast(kind) for level in b_levels])
+        found = df.sparkSession.range(1).select(F.explode(given).alias(b))
+    level_parts = found.groupBy(part).agg(F.collect_list(as_column(b)).alias("_levels"))
+    per_part = counts.groupBy(as_column(a), part).agg(
+        F.map_from_entries(F.collect_list(F.struct(as_column(b), F.col("n")))).alias("_cells")
     )
+    per_row = counts.groupBy(as_column(a)).agg(F.sum("n").alias("row_total"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))).alias("_part")
+    grid = per_row.select(as_column(a), "row_total", parts).join(level_parts, "_part").join(per_part, [a, "_part"], "left")
     cells = F.explode(
-        F.transform(grid, lambda level: F.struct(level.alias("b"), F.coalesce(F.col("_cells")[level], F.lit(0)).alias("n")))
+        F.transform("_levels", lambda level: F.struct(level.alias("b"), F.coalesce(F.col("_cells")[level], F.lit(0)).alias("n")))
     )
-    return per_row.select(as_column(a), "row_total", cells.alias("_c")).select(
+    return grid.select(as_column(a), "row_total", cells.alias("_c")).select(
         as_column(a), F.col("_c.b").alias(b), F.col("_c.n").cast("bigint").alias("n"), "row_total"
     )
 

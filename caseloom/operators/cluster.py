@@ -33,7 +33,6 @@ from caseloom.operators.quantiles import box_stats
 
 FEATURES, SCALED, ALL_COMPONENTS, COMPONENTS, CLUSTER = "_features", "_scaled", "_all_components", "_components", "cluster"
 KS = range(2, 8)
-MAX_CLUSTERS = 1_000
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = FEATURES) -> DataFrame:
@@ -112,9 +111,8 @@ def _squared_norm(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
 
 
-def _dot(values: Column, constants: Sequence[float]) -> Column:
-    other = F.array(*[F.lit(float(c)) for c in constants])
-    return F.aggregate(F.zip_with(values, other, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def sample_silhouette(df: DataFrame, features: str, cluster: str, out: str = "silhouette") -> DataFrame:
@@ -123,32 +121,30 @@ def sample_silhouette(df: DataFrame, features: str, cluster: str, out: str = "si
     The mean distance from a row to a cluster follows from the cluster's size, vector sum
     and sum of squared norms, so rows meet a few sums and never each other.
     """
-    norms = df.withColumn("_norm2", _squared_norm(vector_to_array(features)))
+    norms = df.withColumn("_point", vector_to_array(features)).withColumn("_norm2", _squared_norm(F.col("_point")))
     sums = (
         known_rows(norms, [cluster])
-        .groupBy(cluster)
+        .groupBy(as_column(cluster).alias("cluster"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            Summarizer.sum(F.col(features)).alias("total"),
+            F.count(F.lit(1)).cast("double").alias("n"),
+            vector_to_array(Summarizer.sum(F.col(features))).alias("total"),
             F.sum("_norm2").alias("norm2"),
         )
-        .limit(MAX_CLUSTERS + 1)
-        .collect()
     )
-    if len(sums) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    point = vector_to_array(features)
-    own, others = F.lit(None).cast("double"), []
-    for row in sums:
-        n = float(row["n"])
-        mean = F.col("_norm2") + F.lit(row["norm2"] / n) - F.lit(2.0 / n) * _dot(point, row["total"].toArray())
-        here = F.col(cluster) == row[cluster]
-        # The row itself is no neighbour; a cluster of one has none.
-        own = F.when(here, mean * F.lit(n / (n - 1) if n > 1 else None)).otherwise(own)
-        others.append(F.when(~here, mean))
-    near = F.least(*others) if len(others) > 1 else others[0]
+    # One entry per cluster.
+    clusters = sums.agg(F.collect_list(F.struct("cluster", "n", "total", "norm2"))).scalar()
+
+    def mean(c: Column) -> Column:
+        return F.col("_norm2") + c["norm2"] / c["n"] - F.lit(2.0) / c["n"] * _dot(F.col("_point"), c["total"])
+
+    distances = F.transform("_clusters", lambda c: F.struct(c["cluster"].alias("cluster"), c["n"].alias("n"), mean(c).alias("mean")))
+    here = F.get(F.filter("_distances", lambda d: d["cluster"] == as_column(cluster)), F.lit(0))
+    others = F.filter("_distances", lambda d: d["cluster"] != as_column(cluster))
+    # The row itself is no neighbour; a cluster of one has none.
+    own = F.when(here["n"] > 1, here["mean"] * (here["n"] / (here["n"] - 1)))
+    near = F.array_min(F.transform(others, lambda d: d["mean"]))
     spread = F.greatest(F.col("_own"), F.col("_near"))
-    scored = norms.withColumn("_own", own).withColumn("_near", near)
+    scored = norms.withColumn("_clusters", clusters).withColumn("_distances", distances).withColumns({"_own": own, "_near": near})
     value = F.coalesce(F.try_divide(F.col("_near") - F.col("_own"), spread), F.lit(0.0))
     alone = F.col("_own").isNull() | F.col("_near").isNull()
     return scored.select(*[as_column(c) for c in df.columns], F.when(alone, 0.0).otherwise(value).alias(out))

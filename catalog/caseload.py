@@ -28,6 +28,13 @@ def _linked(spark, folder):
     return C.link_cases(_cases(spark, folder), _stays(spark, folder), CALLS, REPAIRS)
 
 
+def _links(spark, folder):
+    """Stays and linked calls, each a written table that several steps read."""
+    tables = Folder(spark, scratch_path(spark, "links"))
+    stays = tables.keep("stays", _stays(spark, folder))
+    return stays, tables.keep("linked", C.link_cases(_cases(spark, folder), stays, CALLS, REPAIRS))
+
+
 def _scored(spark, folder):
     """Scored calls, with every step a written table that the next one reads."""
     tables = Folder(spark, scratch_path(spark, "stages"))
@@ -217,22 +224,24 @@ def bridge(spark, folder):
 )
 def unlinked_report(spark, folder):
     """Tows whose case led to no stay."""
-    linked = _linked(spark, folder)
+    _, linked = _links(spark, folder)
     return C.unlinked_tows(linked.drop("stay_id"), C.case_stay_bridge(linked, CALLS, REPAIRS), CALLS)
 
 
 @query(
     LINKS_SQL
     + """,
-    b AS (SELECT case_id, stay_id FROM linked WHERE stay_id IS NOT NULL),
-    u AS (SELECT case_id FROM cases WHERE o_orderstatus = 'F' AND case_id NOT IN (SELECT case_id FROM b))
-    SELECT line_id, stay_id, stay_id IN (SELECT case_id FROM u) AS "Unmerged_Towing_STowing_SUS",
-           stay_id NOT IN (SELECT stay_id FROM b) AS "Without_Case" FROM stays
+    b AS MATERIALIZED (SELECT case_id, stay_id FROM linked WHERE stay_id IS NOT NULL),
+    u AS MATERIALIZED (SELECT DISTINCT case_id FROM cases c
+                       WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM b WHERE b.case_id = c.case_id)),
+    d AS MATERIALIZED (SELECT DISTINCT stay_id FROM b)
+    SELECT s.line_id, s.stay_id, u.case_id IS NOT NULL AS "Unmerged_Towing_STowing_SUS", d.stay_id IS NULL AS "Without_Case"
+    FROM stays s LEFT JOIN u ON s.stay_id = u.case_id LEFT JOIN d ON s.stay_id = d.stay_id
     """
 )
 def flag_stays(spark, folder):
     """Stays flagged by unlinked tows and by having no case."""
-    stays, linked = _stays(spark, folder), _linked(spark, folder)
+    stays, linked = _links(spark, folder)
     links = C.case_stay_bridge(linked, CALLS, REPAIRS)
     unlinked = C.unlinked_tows(linked.drop("stay_id"), links, CALLS)
     flagged = C.flag_stays(stays, unlinked, links, CALLS, REPAIRS)
@@ -241,7 +250,7 @@ def flag_stays(spark, folder):
 
 @query(LINKS_SQL + "SELECT o_orderkey, line_id IS NOT NULL AS \"Merged\", o_orderstatus = 'F' AND line_id IS NULL AS \"SuS_Merged\" FROM linked")
 def flag_linked(spark, folder):
-    linked = _linked(spark, folder)
+    _, linked = _links(spark, folder)
     flagged = C.flag_linked(linked.select("o_orderkey", "o_orderstatus"), linked, CALLS, REPAIRS)
     return flagged.select("o_orderkey", "Merged", "SuS_Merged")
 

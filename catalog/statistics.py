@@ -131,6 +131,22 @@ def policy_edge(spark, folder):
     return S.policy_edge(rows, "o_orderdate", "policy_start", "policy_end", 200)
 
 
+@query(
+    "WITH"
+    + CALLS_SQL
+    + """,
+    offsets AS (SELECT policy_end - CAST(o_orderdate AS DATE) AS until_end, CAST(o_orderdate AS DATE) - policy_start AS since_start FROM calls),
+    kept AS (SELECT * FROM offsets WHERE until_end > 0 AND until_end <= 730)
+    SELECT 'until_end' AS edge, CAST(until_end AS BIGINT) AS day, count(*) AS n FROM kept GROUP BY ALL
+    UNION ALL
+    SELECT 'since_start', CAST(since_start AS BIGINT), count(*) FROM kept WHERE since_start BETWEEN 0 AND 730 GROUP BY ALL
+    """
+)
+def policy_edge_two_years(spark, folder):
+    """The same over the operator's own horizon, every call included."""
+    return S.policy_edge(calls(spark, folder), "o_orderdate", "policy_start", "policy_end")
+
+
 PAIR_COLUMNS = ("high", "error", "odd")
 
 

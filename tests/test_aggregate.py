@@ -30,6 +30,15 @@ def test_crosstab_has_zero_cells(spark):
     assert A.ordered_crosstab(df, "a", "b").first()["a"] == "x"
 
 
+def test_crosstab_takes_any_number_of_levels(spark):
+    many = A.MAX_LEVELS + 5
+    df = spark.range(many).select((F.col("id") % 2).alias("a"), F.col("id").cast("string").alias("b"))
+    grid = A.crosstab(df, "a", "b")
+    got = grid.groupBy("a").agg(F.count(F.lit(1)), F.sum("n"), F.max("n"), F.first("row_total")).orderBy("a").collect()
+    assert [tuple(r) for r in got] == [(0, many, many - many // 2, 1, many - many // 2), (1, many, many // 2, 1, many // 2)]
+    assert A.crosstab(df, "a", "b", ["3", "none"]).count() == 2
+
+
 def test_levels_are_bounded(spark):
     with pytest.raises(ValueError):
         A.levels(_cells([(str(i), "1") for i in range(5)], spark), "a", limit=4)

@@ -63,6 +63,15 @@ def test_sample_silhouette_mean_is_the_evaluators(spark, blobs):
     assert ours == pytest.approx(judge.evaluate(df))
 
 
+def test_sample_silhouette_takes_any_number_of_clusters(spark):
+    n = 1_100
+    rows = spark.range(2 * n).select((F.col("id") % n).alias("cluster"), (F.col("id") % n * 10 + F.col("id") % 2).cast("double").alias("a"))
+    alone = spark.createDataFrame([(None, 1.0), (n + 1, -500.0)], "cluster long, a double")
+    found = K.sample_silhouette(K.assemble(rows.unionByName(alone), ["a"]), K.FEATURES, "cluster")
+    assert found.filter("silhouette > 0.9").count() == 2 * n
+    assert [r.silhouette for r in found.filter(f"cluster IS NULL OR cluster > {n}").collect()] == [0.0, 0.0]
+
+
 def test_projection_is_centred(spark, blobs):
     means = K.project(blobs, COLS).agg(F.avg("pc1"), F.avg("pc2")).first()
     assert list(means) == pytest.approx([0.0, 0.0], abs=1e-9)
