@@ -4,33 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import IndexToString, StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.clean import as_column, holds
 from caseloom.operators.aggregate import known_rows, levels
 from caseloom.operators.ordered import position
+from caseloom.session import scratch_path
 
 
-def label_encode(
-    df: DataFrame, col: str, out: str, missing: str | None = None
-) -> tuple[DataFrame, StringIndexerModel]:
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """The sorted labels of a column numbered from 0, ``label, code``, as a written table.
+
+    Labels are dealt by range, sorted there and numbered by the sizes of the ranges before, so
+    any number of them will do.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "labels")
+    labels = known_rows(df.select(as_column(col).alias("label")), ["label"]).distinct()
+    labels.repartitionByRange("label").sortWithinPartitions("label").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumns(
+        {"_range": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)}
+    )
+    # One row per range.
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    codes = placed.join(starts, "_range").select("label", (F.col("_start") + F.col("_row")).alias("code"))
+    numbered = scratch_path(spark, "codes")
+    codes.write.parquet(numbered)
+    return spark.read.schema(codes.schema).parquet(numbered)
+
+
+def label_encode(df: DataFrame, col: str, out: str, missing: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Number the sorted labels of a column from 0; missing ones become the label ``missing``.
 
-    Without such a label, rows that lack one are dropped.
+    Without such a label, rows that lack one are dropped. Returns the coded rows and the
+    table of codes, which can be saved with a model.
     """
     if missing is not None:
         df = df.withColumn(col, F.coalesce(as_column(col), F.lit(missing)))
-    model = StringIndexerModel.from_labels(levels(df, col), inputCol=col, outputCol="_code", handleInvalid="skip")
-    coded = model.transform(df)
-    return coded.withColumn(out, F.col("_code").cast("bigint")).drop("_code"), model
+    codes = label_codes(df, col)
+    found = codes.toDF("_label", "_code")
+    coded = df.join(found, as_column(col) == F.col("_label"))
+    return coded.withColumn(out, F.col("_code")).drop("_label", "_code"), codes
 
 
-def label_decode(df: DataFrame, col: str, out: str, model: StringIndexerModel) -> DataFrame:
-    """The labels behind the numbers of :func:`label_encode`."""
-    numbers = df.withColumn("_code", as_column(col).cast("double"))
-    return IndexToString(inputCol="_code", outputCol=out, labels=list(model.labels)).transform(numbers).drop("_code")
+def label_decode(df: DataFrame, col: str, out: str, codes: DataFrame) -> DataFrame:
+    """The labels behind the numbers of :func:`label_encode`; numbers without one have a null."""
+    found = codes.toDF("_label", "_code")
+    decoded = df.join(found, as_column(col) == F.col("_code"), "left")
+    return decoded.withColumn(out, F.col("_label")).drop("_label", "_code")
 
 
 def entity_features(

@@ -139,6 +139,16 @@ def test_labels_round_trip(spark):
     assert {(r["m"], r["code"]) for r in back} == {("a", 0), ("b", 1), ("none", 2)}
 
 
+def test_any_number_of_labels(spark):
+    n = 10_005
+    df = spark.range(n).select(F.col("id"), F.format_string("l%06d", "id").alias("code")).repartition(7)
+    coded, codes = label_encode(df, "code", "number")
+    assert codes.count() == n and coded.filter("id = number").count() == n
+    back = label_decode(coded.select("id", "number"), "number", "code", codes)
+    assert back.filter(F.col("code") == F.format_string("l%06d", "id")).count() == n
+    assert label_encode(df.limit(0), "code", "number")[0].count() == 0
+
+
 def test_entity_features(spark):
     calls = spark.createDataFrame(
         [
