@@ -83,6 +83,13 @@ def numeric_features(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in (ENTITY, "Modellreihe", "Suspect", K.CLUSTER)]
 
 
+def align(features: DataFrame, known: Sequence[str]) -> DataFrame:
+    """The feature columns a model was fitted on, in its order; absent ones are zero, others go."""
+    present = numeric_features(features)
+    kept = [as_column(c) for c in features.columns if c not in present]
+    return features.select(*kept, *[as_column(k) if k in present else F.lit(0.0).alias(k) for k in known])
+
+
 def safe_names(features: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     """Features under names Spark ML accepts: the frame, those names, and what they stand for."""
     meant = numeric_features(features)

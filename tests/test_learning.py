@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
 from caseloom.operators.features import any_per_entity, entity_features, label_decode, label_encode
+from caseloom.plans import learning
 from caseloom.sources import load_model, save_model
 
 
@@ -139,6 +140,14 @@ def test_labels_round_trip(spark):
     assert {(r["m"], r["code"]) for r in back} == {("a", 0), ("b", 1), ("none", 2)}
 
 
+def test_features_keep_the_places_of_the_model(spark):
+    now = spark.createDataFrame([("v", "m", 1, 2.0, 3)], ["Vehicle", "Modellreihe", "new: level", "calls", "old: level"])
+    now = now.withColumnRenamed("Vehicle", learning.ENTITY)
+    found = learning.align(now, ["calls", "gone: level", "old: level"])
+    assert found.columns == [learning.ENTITY, "Modellreihe", "calls", "gone: level", "old: level"]
+    assert tuple(found.first()) == ("v", "m", 2.0, 0.0, 3)
+
+
 def test_any_number_of_labels(spark):
     n = 10_005
     df = spark.range(n).select(F.col("id"), F.format_string("l%06d", "id").alias("code")).repartition(7)
