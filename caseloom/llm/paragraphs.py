@@ -1,7 +1,9 @@
-"""Passages that repeat across documents, by MinHash banding of paragraphs."""
+"""Passages that repeat across documents, by MinHash banding of paragraphs and by equal stretches of words."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,10 @@ CHUNK, TABLE_BITS = 1 << 17, 24
 SKETCH = 4
 #: Members of a bucket that one slice of it compares with all others.
 SLICE = 2048
+#: Stretches in one row of the table of hashes; bounds the size of its batches.
+RUN = 128
+#: The words of a text, as ``paragraphs`` splits them.
+WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -75,8 +81,8 @@ def band_keys(sets: list[list[int]], mixers) -> np.ndarray:
     return keys
 
 
-LINES = "_row long, doc_id long, paragraph int, start int, end int, words int, text_id binary, bands binary"
-LINE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+LINES = "_row long, doc_id long, _of long, paragraph int, start int, end int, at int, words int, text_id binary, bands binary"
+LINE_TYPES = [*[pa.int64()] * 3, *[pa.int32()] * 5, pa.binary(), pa.binary()]
 LINE_NAMES = [part.split()[0] for part in LINES.split(", ")]
 
 
@@ -85,6 +91,11 @@ def text_id(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def row_key(doc_id: int, text: str | None) -> int:
+    """A hash of doc_id and text, the same in every scan; rows that are equal share it."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), doc_id & ((1 << 64) - 1)) - (1 << 63)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """A row per paragraph, with its band keys if it is long enough to have near copies."""
     mixers = _mixers()
@@ -99,8 +110,10 @@ def _lines(rows: DataFrame) -> DataFrame:
         rows, sets, waiting = [], [], 0
         for batch in batches:
             for row, doc_id, text in zip(batch["_row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
+                at, of = 0, row_key(doc_id, text.as_py())
                 for number, (start, end, words) in enumerate(paragraphs(text.as_py() or "")):
-                    rows.append((row, doc_id, number, start, end, len(words), text_id(words)))
+                    rows.append((row, doc_id, of, number, start, end, at, len(words), text_id(words)))
+                    at += len(words)
                     sets.append(shingles(words) if len(words) >= SHINGLE else [])
                     waiting += len(words)
                     if waiting >= CHUNK:
@@ -275,15 +288,277 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return nodes.join(homes, "node", "left").select("text_id", F.coalesce("root", "node").alias("component"))
 
 
+def _mix(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    mixed = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def stretches(words: np.ndarray, count: int) -> np.ndarray:
+    """A hash of every stretch of ``count`` words, from the words' hashes."""
+    found, done, power, size, places = None, 0, words, 1, len(words) - count + 1
+    while size <= count:
+        if count & size:
+            part = power[done : done + places]
+            found, done = part if found is None else _mix(found, part), done + size
+        if 2 * size <= count:
+            power = _mix(power[:-size], power[size:])
+        size *= 2
+    return found
+
+
+def anchors(words: np.ndarray, passage: int) -> np.ndarray:
+    """For every stretch of ``passage`` words the least hash of the shorter ones in it.
+
+    It depends on the stretch alone, so equal stretches have the same anchor, and neighbours mostly share one.
+    """
+    short = max(1, passage // 3)
+    power, size, width = stretches(words, short), 1, passage - short + 1
+    while 2 * size <= width:
+        power = np.minimum(power[:-size], power[size:])
+        size *= 2
+    places = len(words) - passage + 1
+    return np.minimum(power[:places], power[width - size : width - size + places])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    return (values & ((1 << TABLE_BITS) - 1)).astype(np.int64)
+
+
+def _table(rows: DataFrame, column: str):
+    """A shared bit table, of fixed size, of the column's values; it never rules out one that occurs."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(batch[column].to_numpy())), pa.int32())], names=["bit"])
+
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[rows.select(column).mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+
+def _runs(places: np.ndarray) -> list[np.ndarray]:
+    """Ascending places, cut where one is left out and after every ``RUN``."""
+    whole = np.split(places, np.flatnonzero(np.diff(places) != 1) + 1) if len(places) else []
+    return [run[at : at + RUN] for run in whole for at in range(0, len(run), RUN)]
+
+
+def _windows(docs: DataFrame, passage: int) -> DataFrame:
+    """(_of, doc_id, at, n, windows): hashes of ``n`` neighbouring stretches of ``passage`` words, from word
+    ``at`` on, that may be in documents of more than one doc_id. All that are, are among them: the
+    anchors of their first and of their last two thirds are in several documents."""
+    part = max(1, 2 * passage // 3)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ids = [], []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                words = word_hashes(text.as_py())
+                if len(words) >= passage:
+                    of = anchors(words, part)
+                    found.append(of[np.concatenate([[True], of[1:] != of[:-1]])].view(np.int64))
+                    ids.append(np.full(len(found[-1]), doc_id))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, ids)], names=["anchor", "doc_id"])
+
+    marked = docs.mapInArrow(mark, "anchor long, doc_id long")
+    shared = marked.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high")
+    table = _table(shared, "anchor")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(table.value).view(bool)
+        rows = []
+
+        def finish():
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["_of", "doc_id", "at", "n", "windows"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                text = text.as_py()
+                words = word_hashes(text)
+                if len(words) < passage:
+                    continue
+                shared = wanted[_bits(anchors(words, part).view(np.int64))]
+                runs = _runs(np.flatnonzero(shared[: len(words) - passage + 1] & shared[passage - part :]))
+                if runs:
+                    of, hashes = row_key(doc_id, text), stretches(words, passage)
+                    rows += [(of, doc_id, int(run[0]), len(run), hashes[run[0] : run[-1] + 1].tobytes()) for run in runs]
+                    if len(rows) >= CHUNK // RUN:
+                        yield finish()
+                        rows = []
+        if rows:
+            yield finish()
+
+    return keep(docs.mapInArrow(scan, "_of long, doc_id long, at int, n int, windows binary"), "paragraph-windows")
+
+
+def _joined(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The intervals in order, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(pieces):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _without(pieces: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the taken intervals, in order, leave of the others."""
+    left = []
+    for low, high in pieces:
+        for t_low, t_high in taken:
+            if t_low >= high:
+                break
+            if low < t_low:
+                left.append((low, t_low))
+            low = max(low, t_high)
+        if low < high:
+            left.append((low, high))
+    return left
+
+
+def _arrays(of: list, type_: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    names, types = zip(*(part.split() for part in type_.split(", ")))
+    columns = [list(column) for column in zip(*of)] if of else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
+
+STRETCHES = "doc_id long, paragraph int, start int, end int, words int, first_doc_id long, removed boolean"
+
+
+def equal_stretches(docs: DataFrame, listed: DataFrame, passage: int) -> DataFrame:
+    """``STRETCHES`` of all runs of ``passage`` or more words that are equal in documents of
+    different doc_ids, as far as the words ``low`` to ``high`` of ``listed`` (_of, low, high) leave them.
+
+    Words of runs whose first document is this one are kept, the others are ``removed``.
+    Stretches that listed words cover are looked up for others, but not themselves, so the join
+    has those only that the paragraphs miss.
+    """
+    docs = docs.select("doc_id", "text")
+    windows = _windows(docs, passage)
+    taken = listed.groupBy("_of").agg(F.collect_set(F.struct("low", "high")).alias("taken"))
+    spread = windows.select("_of", "at", "n").distinct().groupBy("_of").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    spread = keep(spread.join(keep(taken, "paragraph-taken"), "_of", "left"), "paragraph-spread")
+
+    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for of, runs, taken in zip(*(batch[c].to_pylist() for c in ("_of", "runs", "taken"))):
+                # Places of the stretches that lie in listed words as a whole.
+                inside = [(low, high - passage + 1) for low, high in _joined([tuple(t.values()) for t in taken or []])]
+                inside = [(low, high) for low, high in inside if low < high]
+                for at, n in (run.values() for run in runs):
+                    rows += [(of, low, high) for low, high in _without([(at, at + n)], inside)]
+            yield _arrays(rows, "_of long, low int, high int")
+
+    open_runs = keep(spread.mapInArrow(uncovered, "_of long, low int, high int"), "paragraph-open")
+    rows_table = _table(open_runs, "_of")
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(rows_table.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[_bits(batch["_of"].to_numpy())]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for of, at, data, low, high in zip(*(batch[c].to_pylist() for c in ("_of", "at", "windows", "low", "high"))):
+                hashes = np.frombuffer(data, np.int64)[low - at : high - at]
+                found.append((np.full(len(hashes), of), np.arange(low, high, dtype=np.int32), hashes))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["_of", "at", "window"])
+
+    mine = windows.select("_of", "at", "n", "windows").mapInArrow(only, "_of long, at int, n int, windows binary")
+    mine = mine.dropDuplicates(["_of", "at"]).join(open_runs, "_of").filter("low >= at AND high <= at + n")
+    asked = keep(mine.mapInArrow(ask, "_of long, at int, window long"), "paragraph-asked")
+    asked_table = _table(asked, "window")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(asked_table.value).view(bool)
+        for batch in batches:
+            hashes = [np.frombuffer(data.as_buffer(), np.int64) for data in batch["windows"]]
+            if hashes:
+                ids = np.repeat(batch["doc_id"].to_numpy(), [len(of) for of in hashes])
+                every = np.concatenate(hashes)
+                found = wanted[_bits(every)]
+                yield pa.RecordBatch.from_arrays([pa.array(every[found]), pa.array(ids[found])], names=["window", "doc_id"])
+
+    answers = windows.select("doc_id", "windows").mapInArrow(answer, "window long, doc_id long")
+    firsts = answers.groupBy("window").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"))
+    firsts = keep(firsts.filter("first_doc_id < _last").drop("_last"), "paragraph-window-firsts")
+    found = asked.join(firsts, "window").select("_of", "at", "first_doc_id")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                of, at, ids = (batch[c].to_numpy() for c in ("_of", "at", "first_doc_id"))
+                new = np.ones(len(of), bool)
+                new[1:] = (np.diff(of) != 0) | (np.diff(at) > passage) | (np.diff(ids) != 0)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(of)) - 1
+                columns = [of[first], ids[first], at[first], at[last] + np.int32(passage)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_of", "first_doc_id", "low", "high"])
+
+    pieces = found.repartition("_of").sortWithinPartitions("_of", "at").mapInArrow(merge, "_of long, first_doc_id long, low int, high int")
+    pieces = pieces.groupBy("_of").agg(F.collect_list(F.struct("first_doc_id", "low", "high")).alias("found"))
+    pieces = keep(pieces.join(spread.select("_of", "taken"), "_of"), "paragraph-pieces")
+    text_table = _table(pieces, "_of")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(text_table.value).view(bool)
+        for batch in batches:
+            of = [row_key(doc_id, text.as_py()) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])]
+            of = pa.array(of, pa.int64())
+            batch = pa.RecordBatch.from_arrays([of, batch["doc_id"], batch["text"]], names=["_of", "doc_id", "text"])
+            yield batch.filter(pa.array(wanted[_bits(of.to_numpy())]))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, found, taken in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "found", "taken"))):
+                spans = [match.span() for match in WORD.finditer(text)]
+                lines = [start for start, _, _ in paragraphs(text)]
+                used = _joined([tuple(t.values()) for t in taken or []])
+                by_first: dict[int, list[tuple[int, int]]] = {}
+                for first, low, high in (piece.values() for piece in found):
+                    by_first.setdefault(first, []).append((low, high))
+                # Words that are first seen here are kept, whatever else they are part of.
+                for first in sorted(by_first, key=lambda first: (first != doc_id, first)):
+                    for low, high in _without(_joined(by_first[first]), used):
+                        start, end = spans[low][0], spans[high - 1][1]
+                        rows.append((doc_id, bisect_right(lines, start) - 1, start, end, high - low, first, first != doc_id))
+                    used = _joined(used + by_first[first])
+            yield _arrays(rows, STRETCHES)
+
+    found = keep(docs.mapInArrow(texts, "_of long, doc_id long, text string"), "paragraph-stretch-texts")
+    return found.join(pieces, "_of").select("doc_id", "text", "found", "taken").mapInArrow(finish, STRETCHES)
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """``doc_id, paragraph, start, end, words, component_id, first_doc_id, removed``: the paragraphs
-    of ``docs`` (doc_id, text) that are part of a passage which repeats across documents.
+    of ``docs`` (doc_id, text) that are part of a passage which repeats across documents, and the
+    stretches of other lines that do.
 
     A paragraph is a line with words; it repeats if a paragraph of its component is in a document
     of another doc_id. A passage is a run of paragraphs of a document, nothing but repeated ones,
     of ``passage`` words or more together. Of every component the first paragraph (by doc_id and
     place) is kept, the others are ``removed``. ``start`` and ``end`` are code points in the text.
 
+    Every run of ``passage`` words that is equal, apart from case and white space, in documents of
+    different doc_ids is listed too, wherever in their lines it starts and ends: what no listed
+    paragraph covers is a row of its own, whose ``paragraph`` is the line that it starts in. Such a
+    row is ``removed`` if the run is in a document of a smaller doc_id; rows first seen in the same
+    document share a component, whose number is negative.
+
     Null and empty texts have no paragraphs. Rows without a doc_id are left out. Rows that share a
     doc_id are one document: repeats among them do not count. Paragraphs of fewer than five words
     repeat only as equal ones. An empty table gives no rows. Other columns are ignored.
@@ -299,13 +574,18 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     repeated = joined.groupBy("component").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
     repeated = keep(repeated.filter("_first.doc_id < _last"), "paragraph-repeated")
     named = keep(joined.select("text_id", "component").join(repeated.select("component", "_first"), "component"), "paragraph-named")
-    place = ["_row", "doc_id", "paragraph", "start", "end", "words"]
+    place = ["_row", "doc_id", "_of", "paragraph", "start", "end", "at", "words"]
     marked = keep(lines.select(*place, "text_id").join(named, "text_id").drop("text_id"), "paragraph-marked")
     island = F.col("paragraph") - F.row_number().over(Window.partitionBy("_row").orderBy("paragraph"))
     total = F.sum("words").over(Window.partitionBy("_row", "_island"))
     runs = marked.withColumn("_island", island).withColumn("_total", total).filter(F.col("_total") >= passage)
+    runs = keep(runs.drop("_island", "_total"), "paragraph-runs")
+    others = equal_stretches(docs, runs.selectExpr("_of", "at AS low", "at + words AS high"), passage)
+    other = F.xxhash64("first_doc_id").bitwiseOR(F.lit(-(1 << 63)).cast("long"))
+    others = others.select("doc_id", "paragraph", "start", "end", "words", other.alias("component_id"), "first_doc_id", "removed")
     first = F.struct("doc_id", "paragraph", "_row")
-    return runs.select(
+    runs = runs.select(
         "doc_id", "paragraph", "start", "end", "words", F.col("component").alias("component_id"),
         F.col("_first.doc_id").alias("first_doc_id"), (first != F.col("_first")).alias("removed"),
     )
+    return runs.unionByName(others)

@@ -186,3 +186,38 @@ def test_paragraph_classes_against_all_pairs(spark, monkeypatch, rounds, part):
     missed = sum(wanted[a] == wanted[b] and ours[a] != ours[b] for a, b in pairs)
     extra = sum(wanted[a] != wanted[b] and ours[a] == ours[b] for a, b in pairs)
     assert extra == 0 and missed <= 0.02 * sum(wanted[a] == wanted[b] for a, b in pairs)
+
+
+def test_every_repeated_window_is_listed(spark):
+    dice = random.Random(12)
+    shared = prose(dice, 70)
+    rows = [(i, " ".join(prose(dice, 90))) for i in range(20)]
+    for i in range(20, 32):
+        # Inside a longer line, across line ends that differ, next to words that repeat too.
+        part = shared[dice.randrange(15) : 70 - dice.randrange(6)]
+        words = prose(dice, 40) + [w.upper() if dice.random() < 0.1 else w for w in part] + prose(dice, 40)
+        rows.append((i, "".join(w + dice.choice([" "] * 30 + ["\n", "  ", "\n\n"]) for w in words)))
+    rows += [(50, "filler " * 200), (51, "filler " * 120), (52, rows[0][1] + "\n" + rows[1][1] + " end")]
+    words = {i: [(m.group().lower(), *m.span()) for m in paragraphs.WORD.finditer(text)] for i, text in rows}
+    seen = {}
+    for i, of in words.items():
+        for at in range(len(of) - 49):
+            seen.setdefault(tuple(w for w, _, _ in of[at : at + 50]), set()).add(i)
+    wanted = {i: set() for i in words}
+    for i, of in words.items():
+        for at in range(len(of) - 49):
+            if len(seen[tuple(w for w, _, _ in of[at : at + 50])]) > 1:
+                wanted[i].update(range(at, at + 50))
+    found = paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(map(len, wanted.values())) > 700
+    for i, of in words.items():
+        spans = sorted((r.start, r.end) for r in found if r.doc_id == i)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        covered = {at for at, (_, start, end) in enumerate(of) if any(a <= start and end <= b for a, b in spans)}
+        assert wanted[i] <= covered
+    for r in found:
+        text = dict(rows)[r.doc_id]
+        assert r.words == len(text[r.start : r.end].split())
+        assert r.removed == (r.first_doc_id != r.doc_id) or r.doc_id == 50
+        lines = list(paragraphs.paragraphs(text))
+        assert lines[r.paragraph][0] <= r.start + len(text[r.start :]) - len(text[r.start :].lstrip()) < lines[r.paragraph][1]
