@@ -307,9 +307,6 @@ def _document_features(spark, folder):
     )
 
 
-# Grids for the registered searches; the operators' defaults are the full ones.
-SMALL_FOREST = {"numTrees": [10, 20], "maxDepth": [3, 5]}
-SMALL_BOOST = {"maxIter": [5], "stepSize": [0.1, 0.2], "maxDepth": [3]}
 CATEGORIES, AMOUNTS = ["lang", "source"], ["n_chars", "n_words", "n_lines"]
 
 
@@ -317,7 +314,7 @@ CATEGORIES, AMOUNTS = ["lang", "source"], ["n_chars", "n_words", "n_lines"]
 def rf_cv(spark, folder):
     """Random forest for document quality: scores of the test rows."""
     train, test = C.hash_split(_document_features(spark, folder), "doc_id")
-    model = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS, SMALL_FOREST, folds=3)
+    model = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS)
     return C.score(model, test, "quality", ["doc_id"])
 
 
@@ -325,7 +322,7 @@ def rf_cv(spark, folder):
 def gbt_cv(spark, folder):
     """Boosted trees for document quality: scores of the test rows."""
     train, test = C.hash_split(_document_features(spark, folder), "doc_id")
-    model = C.fit_boosted(train, "quality", AMOUNTS, SMALL_BOOST, folds=3)
+    model = C.fit_boosted(train, "quality", AMOUNTS)
     return C.score(model, test, "quality", ["doc_id"])
 
 
@@ -333,5 +330,5 @@ def gbt_cv(spark, folder):
 def importances(spark, folder):
     """What the forest for document quality looks at."""
     train, test = C.hash_split(_document_features(spark, folder), "doc_id")
-    model = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS, {"numTrees": [20], "maxDepth": [5]}, folds=2)
+    model = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS)
     return C.importances(model, test, CATEGORIES, AMOUNTS)

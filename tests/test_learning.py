@@ -182,3 +182,19 @@ def test_entity_features(spark):
     assert (v["code"], v["sus"]) == (8, True)
     assert (got["w"]["first_year"], got["w"]["repairs"], got["w"]["days"]) == (0, 0, 0.0)
     assert {r["k"]: r["s"] for r in any_per_entity(calls, "k", "sus", "s").collect()} == {"v": True, "w": False}
+
+
+@pytest.mark.parametrize(("name", "grid"), [("rf_cv", C.FOREST_GRID), ("importances", C.FOREST_GRID), ("gbt_cv", C.BOOST_GRID)])
+def test_registered_searches_are_whole(spark, monkeypatch, name, grid):
+    from catalog import learning
+
+    class Asked(Exception):
+        pass
+
+    def search(train, stages, estimator, grid, folds, *rest):
+        raise Asked(dict(grid), folds)
+
+    monkeypatch.setattr(C, "_search", search)
+    with pytest.raises(Asked) as asked:
+        getattr(learning, name)(spark, "/root/testdata/sf0.001")
+    assert asked.value.args == (grid, 5)
