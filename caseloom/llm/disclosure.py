@@ -22,8 +22,9 @@ WINDOW, REACH = 8, 256
 #: A term near personal data discloses it by the share of the data's information that it carries:
 #: from the first share on it is generalised, from the second on removed.
 GENERALISE, REMOVE = 0.8, 0.95
-#: Occurrences near personal data that a term needs for its counts to mean something.
-SUPPORT = 20
+#: A term's share of occurrences near personal data counts at its lower bound, this many standard
+#: errors down (one-sided 95 %), so that few occurrences say less than many.
+CONFIDENCE = 1.645
 #: Bits of the table that tells which words may be candidates, when all words are counted.
 TABLE_BITS = 22
 
@@ -106,85 +107,120 @@ def _contexts(text: str, spans) -> list[dict]:
 
 
 FOUND = (
-    "_row long, doc_id long, counts array<bigint>, base string, "
+    "_row long, doc_id long, text_id binary, counts array<bigint>, base string, "
     "contexts array<struct<kind: string, term: string, start: int, end: int>>"
 )
 CONTEXT = pa.struct([("kind", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
+def text_id(text: str) -> bytes:
+    """128 bits that name a text; copies share them."""
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, bases, contexts = [], [], []
+        names, counts, bases, contexts = [], [], [], []
         for text in batch["text"]:
             text = text.as_py() or ""
+            names.append(text_id(text))
             spans = base_spans(text)
             counts.append([len(spans[kind]) for kind in KINDS])
             bases.append(",".join(f"{kind}:{start}:{end}" for kind in KINDS for start, end in spans[kind]))
             contexts.append(_contexts(text, spans) if bases[-1] else [])
-        columns = [batch["_row"], batch["doc_id"], pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.string())]
+        columns = [batch["_row"], batch["doc_id"], pa.array(names, pa.binary()), pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.string())]
         columns.append(pa.array(contexts, pa.list_(CONTEXT)))
-        yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "counts", "base", "contexts"])
+        yield pa.RecordBatch.from_arrays(columns, names=["_row", "doc_id", "text_id", "counts", "base", "contexts"])
 
 
-def _bit(term: str) -> int:
+def _bit(term: str | bytes) -> int:
     return xxhash.xxh64_intdigest(term) >> (64 - TABLE_BITS)
 
 
-def term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, n): how often the terms occur in all documents; the term "" has the number of all words.
-
-    Tasks count all words, but hand on only those that a bit table of the candidates, whose size
-    is fixed, does not rule out. Terms that pass by chance are dropped by a later join.
-    """
+def _table(rows: DataFrame, column: str, bit) -> np.ndarray:
+    """A packed bit table, of fixed size, of the column's values; it never rules out one that occurs."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({_bit(term) for term in batch["term"].to_pylist()})
+            found = sorted({bit(value) for value in batch[column].to_pylist()})
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], names=["bit"])
 
-    set_bits = candidates.select("term").mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()
     table = np.zeros(1 << TABLE_BITS, bool)
-    table[set_bits] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    table[rows.select(column).mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True
+    return np.packbits(table)
+
+
+def term_counts(docs: DataFrame, candidates: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, n): how often the terms occur in all distinct texts; the term "" has the number of all words.
+
+    Tasks count all words, but hand on only those that a bit table of the candidates, whose size
+    is fixed, does not rule out. Terms that pass by chance are dropped by a later join. Texts
+    that a second such table takes for one of ``copied`` (text_id) are handed on by themselves,
+    so that copies count once.
+    """
+    tables = _table(candidates, "term", _bit), _table(copied, "text_id", _bit)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            words: Counter[str] = Counter()
-            for text in batch["text"]:
-                words.update(TERM.findall(text.as_py() or ""))
+        wanted, shares = (np.unpackbits(table).view(bool) for table in shared.value)
+
+        def rows(name, words):
             totals = Counter({"": words.total()})
             for word, n in words.items():
                 term = word.lower()
                 if wanted[_bit(term)]:
                     totals[term] += n
-            columns = [pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "n"])
-
-    return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            columns = [pa.array([name] * len(totals), pa.binary()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["text_id", "term", "n"])
 
-
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+        for batch in batches:
+            words: Counter[str] = Counter()
+            seen = set()
+            for text in batch["text"]:
+                text = text.as_py() or ""
+                name = text_id(text)
+                if not shares[_bit(name)]:
+                    words.update(TERM.findall(text))
+                elif name not in seen:
+                    seen.add(name)
+                    yield rows(name, Counter(TERM.findall(text)))
+            yield rows(None, words)
+
+    found = docs.select("text").mapInArrow(count, "text_id binary, term string, n long")
+    once = F.when(F.col("text_id").isNull(), F.sum("n")).otherwise(F.max("n"))
+    return found.groupBy("text_id", "term").agg(once.alias("n")).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosing_terms(
+    docs: DataFrame, contexts: DataFrame, copied: DataFrame, generalise: float = GENERALISE, confidence: float = CONFIDENCE
+) -> DataFrame:
     """(kind, term, disclosure) of the terms that give away that personal data of the kind is near.
 
     Of all words of the corpus, a share p(c) lies near data of kind c; its information is
     -log p(c). A term's pointwise mutual information with the kind, log p(c|t) / p(c), is the
     part of that which the term gives away. Disclosure is the ratio of the two: 1 for a term
     that occurs only near such data, 0 for one that occurs there as often as anywhere.
+
+    For p(c|t) stands the lower Wilson bound of what was counted, so a term of any number of
+    occurrences can be listed, but a rare one only if it is exclusive. All counts are over
+    distinct texts: copies of a text (``copied`` has the text_id of those) add nothing.
     """
-    near = keep(contexts.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("near")), "disclosure-near")
-    candidates = near.filter(F.col("near") >= support)
-    counts = keep(term_counts(docs, candidates), "disclosure-counts")
+    places = contexts.select("text_id", "kind", "term", "start", "end").distinct()
+    near = keep(places.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("near")), "disclosure-near")
+    counts = keep(term_counts(docs, near, copied), "disclosure-counts")
     every = counts.filter("term = ''").select("n").scalar()
     kinds = near.groupBy("kind").agg((F.sum("near") / every).alias("_share"))
-    known, share = F.col("near") / F.col("n"), F.col("_share")
+    n, share, square = F.col("n"), F.col("_share"), confidence**2
+    seen = F.least(F.col("near") / n, F.lit(1.0))
+    error = F.sqrt(seen * (1 - seen) / n + square / (4 * n * n))
+    known = (seen + square / (2 * n) - confidence * error) / (1 + square / n)
     # One row per kind of personal data.
-    rated = candidates.join(counts, "term").join(F.broadcast(kinds), "kind")
+    rated = near.join(counts, "term").join(F.broadcast(kinds), "kind")
     rated = rated.withColumn("disclosure", F.log(known / share) / -F.log(share))
     return rated.filter(F.col("disclosure") >= generalise).select("kind", "term", "disclosure")
 
 
-def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, confidence: float = CONFIDENCE) -> DataFrame:
     """``doc_id, counts, base, spans`` of every row of ``docs`` (doc_id, text).
 
     ``counts`` numbers the personal data per kind of ``KINDS``; ``base`` lists it as
@@ -192,14 +228,15 @@ def find(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE
     near it, as ``term`` (to be generalised) or ``removed``. A term is listed only near data of the
     kind that it discloses, so texts without personal data stay as they are.
 
-    Counts cover all words of all documents. Null and empty texts have no spans. Null and
+    Counts cover all words of all distinct texts. Null and empty texts have no spans. Null and
     repeated doc_ids are kept, a row for each row. An empty table gives no rows. Other columns
     are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = keep(rows.mapInArrow(_scan, FOUND), "disclosure-found")
-    contexts = found.select("_row", F.explode("contexts").alias("c")).select("_row", "c.*")
-    terms = keep(disclosing_terms(docs, contexts, generalise, support), "disclosure-terms")
+    contexts = found.select("_row", "text_id", F.explode("contexts").alias("c")).select("_row", "text_id", "c.*")
+    copied = found.groupBy("text_id").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    terms = keep(disclosing_terms(docs, contexts, copied, generalise, confidence), "disclosure-terms")
     label = F.when(F.col("disclosure") >= remove, "removed").otherwise("term")
     # A place near data of two kinds is listed once.
     marks = contexts.join(terms, ["kind", "term"]).groupBy("_row", "start", "end").agg(F.max(F.struct("disclosure", label.alias("label"))).alias("_m"))

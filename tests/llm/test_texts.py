@@ -55,6 +55,22 @@ def test_disclosure(spark, messy, nothing):
     assert disclosure.find(messy).count() == 10 and disclosure.find(nothing).count() == 0
 
 
+def test_disclosure_of_rare_terms_and_copies(spark):
+    dice = random.Random(5)
+    pool = [f"{chr(97 + dice.randrange(26))}{chr(97 + dice.randrange(26))}" for _ in range(60)]
+    rows = [(i, " ".join(dice.choice(pool) for _ in range(400))) for i in range(200)]
+    # A name that occurs once, only near an address; a word that is as frequent elsewhere, in copies.
+    rows.append((300, f"{rows[0][1]} zaphod a.b@c.org {rows[1][1]}"))
+    rows += [(400 + i, f"{rows[2][1]} harbour a.b@d.org {rows[3][1]}") for i in range(40)]
+    rows += [(500 + i, f"{rows[i][1]} harbour {rows[i + 1][1]}") for i in range(10, 30)]
+    found = {r.doc_id: r for r in disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[200][1].index("zaphod")
+    listed = found[300].spans.split(",")
+    assert f"term:{at}:{at + 6}" in listed or f"removed:{at}:{at + 6}" in listed
+    assert len(listed) == 2
+    assert all(found[i].spans == found[i].base for i in range(400, 440))
+
+
 def test_sanitise_overlaps():
     assert disclosure.sanitise("0123456789", "email:2:5,term:4:6,removed:7:9") == "01<EMAIL>569"
 
