@@ -31,22 +31,33 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select("doc.*")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """The rows with a key; rows that are equal in every column share it."""
+    return docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document of the smallest doc_id.
+    """Of every group of near duplicates the row of the smallest doc_id.
 
-    Rows that share a doc_id are one document, one of them stays. Rows without a doc_id stay.
+    Rows are decided on by themselves, also those that share a doc_id or have none, which come
+    last. Of rows with the same doc_id the one of the smallest key stays; equal rows are one.
     """
-    found = simhash.near_duplicates(docs)
-    first = keep(found.filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    keyed = row_keys(docs)
+    found = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keep(keyed.select("_key", "doc_id").distinct(), "pipeline-ids")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = keep(found, "pipeline-components").join(ids, "_key").groupBy("component_id").agg(F.min(place).alias("first"))
+    first = keep(first.select("first._key"), "pipeline-first")
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with the benchmark; rows without a doc_id stay."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
-    leaked = keep(found.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without an overlap with the benchmark, whether or not they have a doc_id or share it."""
+    keyed = row_keys(docs)
+    found = decontaminate.contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    leaked = keep(found.select(F.col("doc_id").alias("_key")).distinct(), "pipeline-leaked")
+    return keyed.join(leaked, "_key", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,15 @@ def test_stages_messy(spark, messy, nothing):
             assert docs.columns == messy.columns
         shards = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
         assert shards.count() == docs.count()
+
+
+def test_stages_decide_on_rows(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").filter("length(text) > 60").first()["text"]
+    texts = [" ".join(f"{word}{i}" for i in range(80)) for word in ("ape", "bee", "cat", "dog")]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[0]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in left) == [(texts[0], 1), (texts[1], 1), (texts[2], 0), (texts[3], 0)]
+    docs = spark.createDataFrame([(1, texts[0]), (1, item), (None, item), (None, texts[1])], "doc_id long, text string")
+    left = corpus_pipeline.decontamination_stage(spark, docs, FOLDER).collect()
+    assert sorted((r.text, r.doc_id or 0) for r in left) == [(texts[0], 1), (texts[1], 0)]
