@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import decontaminate, language, mixing, packing, simhash
-from caseloom.llm.queries import held_out
 from caseloom.llm.tables import keep, read
 
 #: Probability of its language from which a document stays.
@@ -22,10 +21,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language can be told.
 
     Those without a letter, or without a language of probability ``MIN_SCORE``, go. The model
-    learns from the documents at hand, by the split of the registered query. If no document
+    learns from all documents at hand that have a language, for nothing is held out here. If no document
     has a language to learn from, none can be told and all go.
     """
-    model = language.train(docs.filter(~held_out(4, 2)).select("text", "lang"))
+    model = language.train(docs.filter("lang IS NOT NULL").select("text", "lang"))
     told = language.predict(docs.select(F.struct("*").alias("doc"), "text"), model)
     kept = told.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
     return kept.select("doc.*")

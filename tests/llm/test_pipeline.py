@@ -1,5 +1,6 @@
 """The registered queries and the pipeline over the smallest tables."""
 
+import zlib
 from pathlib import Path
 
 import pytest
@@ -60,3 +61,16 @@ def test_stages_decide_on_rows(spark):
     docs = spark.createDataFrame([(1, texts[0]), (1, item), (None, item), (None, texts[1])], "doc_id long, text string")
     left = corpus_pipeline.decontamination_stage(spark, docs, FOLDER).collect()
     assert sorted((r.text, r.doc_id or 0) for r in left) == [(texts[0], 1), (texts[1], 0)]
+
+
+def test_language_stage_learns_from_all(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2][:30]
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:30]
+    rows = [(i, "zut qwx vrr kzz yyx jqq wvv", "xx") for i in held] + [(i, "the cat and the dog ran home", "en") for i in free]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    train = corpus_pipeline.language.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline.language, "train", lambda rows: seen.append(rows) or train(rows))
+        assert corpus_pipeline.language_stage(spark, docs, FOLDER).count() == 60
+    assert seen[0].count() == 60
