@@ -148,11 +148,13 @@ def top_products(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     Null vectors, vectors that hold null or a number that is not finite, and rows without an id
     take no part; vectors meet those of their own length only. Rows that share a vec_id are all
-    candidates of others and not of each other; as a query, the smallest of their vectors counts.
+    candidates of others and not of each other; as a query, the smallest of their valid vectors counts.
     No vectors or no queries give no rows. Other columns are ignored.
     """
     stored = keep(blocks(rows, BLOCK), "vafile-vectors")
-    asked = rows.filter(is_query & F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # An invalid vector may sort first, so it must not stand for a valid one of its id.
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    asked = rows.filter(is_query & F.col("embedding").isNotNull() & finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = keep(blocks(asked.repartition("vec_id"), QUERIES), "vafile-queries")
     edges = stored.select("dim", F.posexplode(F.arrays_zip("low", "high")).alias("place", "range"))
     edges = edges.groupBy("dim", "place").agg(F.min("range.low").alias("low"), F.max("range.high").alias("high"))

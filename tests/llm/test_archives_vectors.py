@@ -73,3 +73,10 @@ def test_round_trip(spark, monkeypatch):
     keys = [warc.order((r.url_key, r.stamp, r.page_id)) for r in ordered]
     assert keys == sorted(keys) and [r.capture_no for r in ordered] == list(range(len(rows)))
     assert warc.archive(pages.filter("false")).count() == 0
+
+
+def test_invalid_vector_does_not_hide_a_valid_query(spark):
+    rows = [(1, [None, 1.0]), (1, [float("-inf"), 2.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, [2.0, 5.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vafile.top_products(vectors, vectors["vec_id"] == 1, k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(1, 1, 2), (1, 2, 3)]
