@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from caseloom.llm.tables import keep
 
 #: Masks over eight token positions. A 0 is a position whose token is ignored.
-MASKS = ("11101001", "11010011", "10110101", "11111111")
+#: Together they meet every overlap of 8 to 29 tokens at the limit of similarity, all placements enumerated.
+MASKS = ("11101001", "11010011", "10110101", "11111111", "10011100", "01111000")
 #: Tokens an overlap has at least (all of a shorter item's), and the share of them that agree.
 MIN_TOKENS, MIN_SIMILARITY = 13, 0.8
 #: Seeds of the benchmark that are held by every task (16 bytes each); more are joined by a shuffle.
@@ -38,25 +41,36 @@ def tokens(text: str | None) -> np.ndarray:
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 
 
-def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def masks_for(length: int) -> list[str]:
+    """Masks that keep the tokens of a whole item of fewer tokens than a window, but for as many as may differ."""
+    spare = length - math.ceil(length * round(100 * MIN_SIMILARITY) / 100)
+    return ["".join("0" if at in out else "1" for at in range(length)) for out in combinations(range(length), spare)]
+
+
+def seeds(hashes: np.ndarray, short=()) -> tuple[np.ndarray, np.ndarray]:
     """(seed, position) of every window under every mask: a hash of the tokens that the mask keeps.
 
-    Texts of fewer tokens than a window are padded with zero at the end.
+    ``short`` has the lengths below a window's of which every stretch gets seeds of its own.
     """
-    if len(hashes) == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(hashes) < SPAN:
-        hashes = np.concatenate([hashes, np.zeros(SPAN - len(hashes), np.uint64)])
-    count = len(hashes) - SPAN + 1
-    found = []
-    for number, mask in enumerate(MASKS):
+    found, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    masks = [*enumerate(MASKS), *((SPAN * 100 + length * 10 + n, m) for length in short for n, m in enumerate(masks_for(length)))]
+    for number, mask in masks:
+        count = len(hashes) - len(mask) + 1
+        if count < 1:
+            continue
         mixed = np.full(count, number + 1, np.uint64)
         for at, kept in enumerate(mask):
             if kept == "1":
                 mixed = (mixed ^ hashes[at : at + count]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
         found.append(mixed)
-    return np.concatenate(found), np.tile(np.arange(count), len(MASKS))
+        places.append(np.arange(count))
+    return np.concatenate(found), np.concatenate(places)
+
+
+def item_seeds_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of a benchmark item; one shorter than a window has those of its length only."""
+    return seeds(hashes, [len(hashes)] if 0 < len(hashes) < SPAN else [])
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, at: int) -> tuple[int, int, int] | None:
@@ -90,7 +104,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
-        found = [seeds(hashes) for _, hashes in items]
+        found = [item_seeds_of(hashes) for _, hashes in items]
+        self.short = sorted({len(hashes) for _, hashes in items if 0 < len(hashes) < SPAN})
         every = np.concatenate([s for s, _ in found]) if found else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(found)), [len(s) for s, _ in found]) if found else np.empty(0, np.int64)
         place = np.concatenate([p for _, p in found]) if found else np.empty(0, np.int64)
@@ -103,7 +118,7 @@ class Index:
         """Distinct (item number, shift, position) rows of the seeds found in a document."""
         out = []
         for start in range(0, max(1, len(hashes) - SPAN + 1), CHUNK):
-            found, at = seeds(hashes[start : start + CHUNK + SPAN - 1])
+            found, at = seeds(hashes[start : start + CHUNK + SPAN - 1], self.short)
             maybe = self.present[(found >> np.uint64(64 - PREFIX)).astype(np.int64)]
             found, at = found[maybe], at[maybe] + start
             low, high = np.searchsorted(self.seeds, found, "left"), np.searchsorted(self.seeds, found, "right")
@@ -160,12 +175,27 @@ def _in_tasks(docs: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFrame
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Joins the documents' seeds with the items' by a shuffle, then verifies each pair of texts."""
 
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {len(tokens(text.as_py())) for text in batch["text"]}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(n for n in found if 0 < n < SPAN), pa.int32())], names=["n"])
+
+    # At most one row per length below a window's.
+    short = sorted(row.n for row in items.select("text").mapInArrow(lengths, "n int").distinct().collect())
+
+    def item_spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch["key"].to_pylist(), batch["text"]):
+                found, at = item_seeds_of(tokens(text.as_py()))
+                columns = [found.view(np.int64), np.full(len(found), key), at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["seed", "key", "at"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(batch["key"].to_pylist(), batch["text"]):
                 hashes = tokens(text.as_py())
                 for start in range(0, max(1, len(hashes) - SPAN + 1), CHUNK):
-                    found, at = seeds(hashes[start : start + CHUNK + SPAN - 1])
+                    found, at = seeds(hashes[start : start + CHUNK + SPAN - 1], short)
                     columns = [found.view(np.int64), np.full(len(found), key), at + start]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["seed", "key", "at"])
 
@@ -173,7 +203,7 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = keep(docs.withColumn("_doc", F.monotonically_increasing_id()), "decontaminate-docs")
     doc_seeds = keyed.select(F.col("_doc").alias("key"), "text").mapInArrow(spread, schema)
     doc_seeds = keep(doc_seeds.withColumnRenamed("key", "_doc"), "decontaminate-doc-seeds")
-    item_seeds = items.select(F.col("_item").alias("key"), "text").mapInArrow(spread, schema)
+    item_seeds = items.select(F.col("_item").alias("key"), "text").mapInArrow(item_spread, schema)
     item_seeds = item_seeds.select("seed", F.col("key").alias("_item"), F.col("at").alias("_place"))
     item_seeds = keep(item_seeds, "decontaminate-seeds")
     shift = F.col("at") - F.col("_place")
@@ -210,8 +240,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEE
     where they are. Beyond that, both sides' seeds are joined by a shuffle, with the same result.
 
     Null, empty and wordless texts overlap with nothing. Null ids are kept. Repeated items and
-    documents give a row each. An item of fewer than eight tokens fills no window and is found
-    only in documents that are as short. Empty tables give no rows. Other columns are ignored.
+    documents give a row each. An item of fewer than eight tokens fills no window and is
+    looked up as a whole, with as many tokens substituted as the share allows. Empty tables give no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)

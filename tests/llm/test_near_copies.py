@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -221,3 +222,24 @@ def test_every_repeated_window_is_listed(spark):
         assert r.removed == (r.first_doc_id != r.doc_id) or r.doc_id == 50
         lines = list(paragraphs.paragraphs(text))
         assert lines[r.paragraph][0] <= r.start + len(text[r.start :]) - len(text[r.start :].lstrip()) < lines[r.paragraph][1]
+
+
+def test_decontaminate_at_the_limit_of_similarity():
+    dice = np.random.default_rng(9)
+    for size in range(1, 21):
+        item = dice.integers(1, 1 << 63, size, np.uint64)
+        index = decontaminate.Index([(1, item)])
+        for out in itertools.combinations(range(size), size - -(-4 * size // 5)):
+            copy = item.copy()
+            copy[list(out)] = 0
+            doc = np.concatenate([dice.integers(1, 1 << 63, 9, np.uint64), copy, dice.integers(1, 1 << 63, 9, np.uint64)])
+            assert decontaminate.best_overlaps(doc, index.hits(doc), index.items), (size, out)
+
+
+def test_decontaminate_short_items(spark):
+    items = spark.createDataFrame([(1, "red fox"), (2, "one two three four five six"), (3, "alone")], "item_id long, text string")
+    docs = [(1, "see the red fox run over the far hill today"), (2, "count one two other four five six and so on again"), (3, "alone"), (4, "red hot fox")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (1 << 20, 0):
+        found = decontaminate.contaminated(docs, items, max_seeds=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.start, r.tokens) for r in found) == [(1, 1, 2, 2), (2, 2, 1, 6), (3, 3, 0, 1)]
