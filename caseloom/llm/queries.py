@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, toxicity, vafile, warc
+from caseloom.llm import decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, subvectors, toxicity, vafile, warc
 from caseloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,35 @@ def op3_warc_index(spark, folder):
 def op6_minhash_passages(spark, folder):
     """Paragraphs of passages that repeat across documents."""
     return paragraphs.repeated_passages(read(spark, folder, "documents"))
+
+
+def _rounds_sql(rounds: int, k: int) -> str:
+    """Centroids by exact whole-number rounds, one set of tables per round."""
+    assign = """
+a{r} AS (
+  SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{r})
+  GROUP BY vec_id, v)"""
+    update = """,
+c{n} AS (
+  SELECT c{r}.c, coalesce(m.w, c{r}.w) AS w FROM c{r} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM (
+      SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) m ON m.c = c{r}.c)"""
+    steps = ",".join(assign.format(r=r) + update.format(r=r, n=r + 1) for r in range(rounds)) + "," + assign.format(r=rounds)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY digest) - 1 AS c, v AS w FROM (
+    SELECT sha256('2:' || vec_id) AS digest, v FROM kept ORDER BY digest LIMIT {k})),{steps}
+SELECT vec_id, CAST(a{rounds}.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
+
+
+@query(_rounds_sql(5, 40))
+def op11_subvector_clusters(spark, folder):
+    """Cluster of every vector after five rounds from forty centroids."""
+    return subvectors.cluster(read(spark, folder, "embeddings"), k=40, rounds=5, seed=2, dim=64)
