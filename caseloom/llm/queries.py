@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, subvectors, toxicity, vafile, warc
+from caseloom.llm import alignment, decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, subvectors, toxicity, vafile, warc
 from caseloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,9 @@ FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""
 def op11_subvector_clusters(spark, folder):
     """Cluster of every vector after five rounds from forty centroids."""
     return subvectors.cluster(read(spark, folder, "embeddings"), k=40, rounds=5, seed=2, dim=64)
+
+
+@query()
+def op13_token_links(spark, folder):
+    """Groups and links of the tokens of two tokenizers in every document."""
+    return alignment.align(read(spark, folder, "documents"))
