@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import alignment, decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, subvectors, toxicity, vafile, warc
+from caseloom.llm import alignment, article, decontaminate, disclosure, language, mixing, packing, paragraphs, simhash, subvectors, toxicity, vafile, warc
 from caseloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,10 @@ def op11_subvector_clusters(spark, folder):
 def op13_token_links(spark, folder):
     """Groups and links of the tokens of two tokenizers in every document."""
     return alignment.align(read(spark, folder, "documents"))
+
+
+@query()
+def op12_crf_article_text(spark, folder):
+    """Main text of every page."""
+    pages = read(spark, folder, "pages")
+    return article.extract(pages, article.train(pages))
