@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.clean import as_column
 from caseloom.operators.aggregate import known_rows, unpivot
 from caseloom.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
+from caseloom.session import scratch_path
 
 LABEL, FEATURES, PREDICTION, PROBABILITY = "_label", "_features", "prediction", "probability"
 
+#: Rows per partition of a table that fits pass over.
+FIT_ROWS = 200_000
+
 # Parameter grids searched by default.
 FOREST_GRID = {"numTrees": [100, 200, 300, 500], "maxDepth": [3, 5, 7, 9, 12, 15]}
 BOOST_GRID = {
@@ -108,26 +113,85 @@ def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled")
     )
 
 
-def _search(train, stages, estimator, grid: Mapping[str, Sequence], folds: int, parallelism: int, seed: int):
-    params = ParamGridBuilder()
-    for name, values in grid.items():
-        params = params.addGrid(estimator.getParam(name), list(values))
-    judge = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="accuracy")
+def some_trees(model, start: int, stop: int):
+    """The ensemble of some of a fitted model's trees, with their weights, as a JVM model."""
+    java, context = model._java_obj, SparkContext.getOrCreate()
+    of = context._jvm.org.apache.spark.ml
+
+    def part(array, kind):
+        found = context._gateway.new_array(kind, stop - start)
+        context._jvm.java.lang.System.arraycopy(array, start, found, 0, stop - start)
+        return found
+
+    if isinstance(model, GBTClassificationModel):
+        trees = part(java.trees(), of.regression.DecisionTreeRegressionModel)
+        return of.classification.GBTClassificationModel(java.uid(), trees, part(java.treeWeights(), context._jvm.double))
+    trees = part(java.trees(), of.classification.DecisionTreeClassificationModel)
+    return of.classification.RandomForestClassificationModel(java.uid(), trees, java.numFeatures(), java.numClasses())
+
+
+def staged_accuracy(model, rows: DataFrame, stages: Sequence[int]) -> list[float]:
+    """Share of ``rows`` that the first so many trees call right, for all stages in one pass.
+
+    What trees say adds up, so each tree is asked once: the trees between two stages speak
+    together, and a stage is the sum of those before it. Labels are 0 and 1.
+    """
+    votes, right, start = F.lit(0.0), {}, 0
+    for n in sorted(stages):
+        part = some_trees(model, start, n)
+        part.setFeaturesCol(FEATURES)
+        part.setRawPredictionCol(f"_raw_{n}")
+        part.setProbabilityCol("")
+        part.setPredictionCol("")
+        rows = DataFrame(part.transform(rows._jdf), rows.sparkSession)
+        raw = vector_to_array(f"_raw_{n}")
+        votes, start = votes + raw[1] - raw[0], n
+        right[n] = F.avg(((votes > 0) == (F.col(LABEL) == 1)).cast("double")).alias(f"right_{n}")
+    return [value or 0.0 for value in rows.agg(*[right[n] for n in stages]).first()]
+
+
+def _search(train, stages, make: Callable, size: str, grid: Mapping[str, Sequence], folds: int, parallelism: int, seed: int):
+    """Cross-validated search in which one ensemble serves all settings that differ in its size only.
+
+    ``size`` names the parameter that counts trees. An ensemble of the most trees is fitted per
+    fold and combination of the others, and its first trees are judged for every size.
+    """
     # The preparation does not depend on the grid: fit it once, search the classifier only.
     prepared = Pipeline(stages=stages).fit(train)
-    rows = prepared.transform(train).select(FEATURES, LABEL).persist()
+    path = scratch_path(train.sparkSession, "search")
+    # Folds are drawn once and written. Fits pass over the rows very often, so these lie in as few partitions as hold them well.
+    found = prepared.transform(train).select(FEATURES, LABEL).withColumn("_fold", F.floor(F.rand(seed) * folds).cast("int"))
+    found.write.parquet(path)
+    rows = train.sparkSession.read.parquet(path)
+    parts = max(1, -(-rows.count() // FIT_ROWS))
+    rows = rows.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = list(grid[size])
+    others = [name for name in grid if name != size]
+    settings = [dict(zip(others, values)) for values in itertools.product(*(grid[name] for name in others))]
+
+    @inheritable_thread_target(train.sparkSession)
+    def judge(job):
+        fold, setting = job
+        fitted = make(**setting, **{size: max(sizes)}).fit(rows.filter(F.col("_fold") != fold))
+        return staged_accuracy(fitted, rows.filter(F.col("_fold") == fold), sizes)
+
     try:
-        search = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=params.build(),
-            evaluator=judge,
-            numFolds=folds,
-            parallelism=parallelism,
-            seed=seed,
-        ).fit(rows)
+        jobs = [(fold, setting) for setting in settings for fold in range(folds)]
+        # Deep ensembles take longest; started first, they do not run on alone at the end.
+        order = sorted(range(len(jobs)), key=lambda i: -jobs[i][1].get("maxDepth", 0))
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = dict(zip(order, pool.map(judge, [jobs[i] for i in order])))
+        means = {
+            (at, n): sum(scores[at * folds + fold][place] for fold in range(folds)) / folds
+            for at in range(len(settings))
+            for place, n in enumerate(sizes)
+        }
+        # Of equally good settings the first in the order of the grid.
+        at, n = max(means, key=lambda key: (means[key], -key[0], -sizes.index(key[1])))
+        best = make(**settings[at], **{size: n}).fit(rows)
     finally:
         rows.unpersist()
-    return PipelineModel(stages=[*prepared.stages, search.bestModel])
+    return PipelineModel(stages=[*prepared.stages, best])
 
 
 def with_label(df: DataFrame, label: str) -> DataFrame:
@@ -142,13 +206,20 @@ def fit_forest(
     numbers: Sequence[str],
     grid: Mapping[str, Sequence] | None = None,
     folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = 42,
 ) -> PipelineModel:
-    """Random forest chosen by cross-validated accuracy over a grid."""
-    forest = RandomForestClassifier(labelCol=LABEL, featuresCol=FEATURES, seed=seed)
+    """Random forest chosen by cross-validated accuracy over a grid.
+
+    The first trees of a forest are a forest of their number, drawn like one fitted by itself, so one
+    fit per fold and depth serves all numbers of trees.
+    """
     rows = with_label(train, label)
-    return _search(rows, preparation(rows, categories, numbers), forest, grid or FOREST_GRID, folds, parallelism, seed)
+    # Each row keeps its node, so tasks do not get all trees grown so far with every level.
+    make = lambda **setting: RandomForestClassifier(
+        labelCol=LABEL, featuresCol=FEATURES, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **setting
+    )
+    return _search(rows, preparation(rows, categories, numbers), make, "numTrees", grid or FOREST_GRID, folds, parallelism, seed)
 
 
 def fit_boosted(
@@ -157,13 +228,17 @@ def fit_boosted(
     numbers: Sequence[str],
     grid: Mapping[str, Sequence] | None = None,
     folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees chosen by cross-validated accuracy over a grid."""
-    trees = GBTClassifier(labelCol=LABEL, featuresCol=FEATURES, seed=seed)
+    """Boosted trees chosen by cross-validated accuracy over a grid.
+
+    Boosting adds tree after tree, so the first trees of a long run are those of a shorter one, and one
+    fit per fold and setting serves all numbers of steps.
+    """
+    make = lambda **setting: GBTClassifier(labelCol=LABEL, featuresCol=FEATURES, seed=seed, **setting)
     assembler = VectorAssembler(inputCols=list(numbers), outputCol=FEATURES)
-    return _search(with_label(train, label), [assembler], trees, grid or BOOST_GRID, folds, parallelism, seed)
+    return _search(with_label(train, label), [assembler], make, "maxIter", grid or BOOST_GRID, folds, parallelism, seed)
 
 
 def score(model: PipelineModel, df: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -310,11 +310,23 @@ def _document_features(spark, folder):
 CATEGORIES, AMOUNTS = ["lang", "source"], ["n_chars", "n_words", "n_lines"]
 
 
+_FORESTS: dict[tuple[str, str], str] = {}
+
+
+def _forest(spark, folder):
+    """The forest for document quality; searched for once per session and stored for those that follow."""
+    train, test = C.hash_split(_document_features(spark, folder), "doc_id")
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FORESTS:
+        found = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS)
+        _FORESTS[key] = S.save_model(found, scratch_path(spark, "forest"))
+    return S.load_model(_FORESTS[key]), test
+
+
 @query()
 def rf_cv(spark, folder):
     """Random forest for document quality: scores of the test rows."""
-    train, test = C.hash_split(_document_features(spark, folder), "doc_id")
-    model = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS)
+    model, test = _forest(spark, folder)
     return C.score(model, test, "quality", ["doc_id"])
 
 
@@ -329,6 +341,5 @@ def gbt_cv(spark, folder):
 @query()
 def importances(spark, folder):
     """What the forest for document quality looks at."""
-    train, test = C.hash_split(_document_features(spark, folder), "doc_id")
-    model = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS)
+    model, test = _forest(spark, folder)
     return C.importances(model, test, CATEGORIES, AMOUNTS)
