@@ -14,7 +14,7 @@ from caseloom.functions.text import tokens
 from caseloom.operators.quantiles import MAX_DISTINCT, quantiles
 from caseloom.operators.skew import spread_join
 
-#: Levels that become columns of a wide table; long tables have no such limit.
+#: Found levels that become columns of a wide table; more are counted as sparse vectors.
 MAX_LEVELS = 10_000
 #: Parts that a crosstab deals the levels of its columns into.
 GRID_PARTS = 64
@@ -33,6 +33,12 @@ def levels(df: DataFrame, col: str, limit: int = MAX_LEVELS) -> list:
     return sorted(r["level"] for r in found)
 
 
+def wide_levels(df: DataFrame, col: str) -> list | None:
+    """Sorted distinct values of a category, or nothing if there are too many for columns."""
+    found = known_rows(df.select(as_column(col).alias("level")), ["level"]).distinct().limit(MAX_LEVELS + 1).collect()
+    return sorted(r["level"] for r in found) if len(found) <= MAX_LEVELS else None
+
+
 def joint_counts(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame:
     """Rows per combination of categories, missing ones included.
 
@@ -227,9 +233,18 @@ def profile_nominal(df: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:
 def pivot_counts(
     df: DataFrame, key: str, col: str, col_levels: Sequence[str] | None = None, prefix: str = ""
 ) -> DataFrame:
-    """One count column per level of a category, one row per entity."""
+    """One count column per level of a category, one row per entity.
+
+    Levels are found if none are given. If more than ``MAX_LEVELS`` are found, there is one column
+    instead, ``{prefix}counts``: sparse vectors with a place per level in sorted order, and one more.
+    """
     rows = known_rows(df, [key, col])
-    col_levels = col_levels if col_levels is not None else levels(rows, col)
+    col_levels = col_levels if col_levels is not None else wide_levels(rows, col)
+    if col_levels is None:
+        from caseloom.operators.features import sparse_counts, sparse_vectors
+
+        counts, codes = sparse_counts(rows, key, col)
+        return sparse_vectors(counts, key, codes, f"{prefix}counts")
     return rows.groupBy(key).agg(*[F.count_if(as_column(col) == level).alias(f"{prefix}{level}") for level in col_levels])
 
 

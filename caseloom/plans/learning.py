@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +14,15 @@ from caseloom.functions.clean import as_column
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
 from caseloom.operators.skew import spread_join
-from caseloom.operators.features import any_per_entity, entity_features, label_encode
+from caseloom.operators.features import any_per_entity, encode_labels, entity_features, label_codes
 from caseloom.plans.names import SERVICES
 
 ENTITY = "VIN"
 PIVOTED = ("Outcome Description", "Component")
 
+# Fixed value: what a missing model line is called.
+UNKNOWN_MODEL = "Nicht definiert"
+
 # Feature names, and columns that already take part in the score.
 FEATURE_NAMES = {
     "calls": "Anzahl_Anrufe",
@@ -39,18 +43,27 @@ MERGED_CATEGORIES = ("Country Of Incident", "Handling Call Center", "Baureihe",
 MERGED_NUMBERS = ("Anzahl Q-Line",)
 
 
+def model_codes(calls: DataFrame) -> DataFrame:
+    """Numbers of the model lines, ``label, code``: part of what a fitted model relies on."""
+    return label_codes(calls.select(F.coalesce("Modellreihe", F.lit(UNKNOWN_MODEL)).alias("line")), "line")
+
+
 def vehicle_features(
     calls: DataFrame,
     repairs: DataFrame,
     pivots: Mapping[str, Sequence[str] | None] | None = None,
     suspect: str = "first",
+    codes: DataFrame | None = None,
 ) -> DataFrame:
     """One row of numbers per vehicle, with its label ``Suspect``.
 
+    ``codes`` are the :func:`model_codes` that a model was fitted with; without them, those of ``calls``.
+
     The label is that of the call with the earliest registration date, or with
     ``suspect="any"`` whether any call is suspect.
     """
-    coded, _ = label_encode(calls, "Modellreihe", "Modellreihe_Encoded", missing="Nicht definiert")
+    codes = model_codes(calls) if codes is None else codes
+    coded = encode_labels(calls, "Modellreihe", "Modellreihe_Encoded", codes, UNKNOWN_MODEL)
     coded = coded.withColumns({c: to_flag(c) for c in ("Telephone Help", "Service Paid By Customer")})
     order = ["Incident Date", "Case Number"]
     features = entity_features(
@@ -79,8 +92,9 @@ def vehicle_features(
 
 
 def numeric_features(features: DataFrame) -> list[str]:
-    """Feature columns: everything but the vehicle, its model name and the label."""
-    return [c for c in features.columns if c not in (ENTITY, "Modellreihe", "Suspect", K.CLUSTER)]
+    """Feature columns: all numbers but the vehicle, its model name and the label."""
+    apart = (ENTITY, "Modellreihe", "Suspect", K.CLUSTER)
+    return [f.name for f in features.schema.fields if f.name not in apart and not isinstance(f.dataType, VectorUDT)]
 
 
 def align(features: DataFrame, known: Sequence[str]) -> DataFrame:

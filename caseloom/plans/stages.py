@@ -97,13 +97,16 @@ def learn(
     interim, output = Folder(spark, f"{output_dir}/interim"), Folder(spark, f"{output_dir}/output/learning")
     models = f"{output_dir}/models"
     calls, repairs = interim.read("assistance"), interim.read("workshop")
-    features, contract = learning.vehicle_features(calls, repairs), Folder(spark, models)
+    contract = Folder(spark, models)
+    if not train_model:
+        # A missing model is named before anything else is read.
+        load_model(f"{models}/clusters")
+    # A model line that is new would shift the numbers of those after it under a loaded model.
+    codes = contract.keep("model_codes", learning.model_codes(calls)) if train_model else contract.read("model_codes")
+    features = learning.vehicle_features(calls, repairs, codes=codes)
     if train_model:
         columns = list(enumerate(learning.numeric_features(features)))
         contract.keep("features", spark.createDataFrame(columns, "place int, feature string"))
-    else:
-        # A missing model is named before anything else is read.
-        load_model(f"{models}/clusters")
     # Levels found in other data would shift the columns under a loaded model.
     known = [row["feature"] for row in contract.read("features").orderBy("place").collect()]
     features = interim.keep("features", learning.align(features, known))

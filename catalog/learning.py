@@ -91,6 +91,35 @@ def label_encode(spark, folder):
     return M.label_decode(coded, "code", "decoded", model)
 
 
+@query(
+    """
+    WITH k AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (
+                 SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'AUTOMOBILE'))
+    SELECT c_custkey, c_mktsegment AS segment, coalesce(code, (SELECT count(*) FROM k)) AS code FROM customer LEFT JOIN k USING (c_mktsegment)
+    """
+)
+def encode_saved(spark, folder):
+    """Segments numbered by saved codes, which lack the first one in sorted order."""
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    known = customers.filter((F.col("c_custkey") % 2 == 0) & (F.col("segment") != "AUTOMOBILE"))
+    path = S.write_table(M.label_codes(known, "segment"), scratch_path(spark, "saved-codes"))
+    return M.encode_labels(customers, "segment", "code", spark.read.parquet(path))
+
+
+@query(
+    """
+    WITH p AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS code FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+    c AS (SELECT l_suppkey, code, count(*) AS n FROM lineitem JOIN p USING (l_partkey) GROUP BY ALL)
+    SELECT l_suppkey, string_agg(code, ',' ORDER BY code) AS codes, string_agg(n, ',' ORDER BY code) AS counts FROM c GROUP BY l_suppkey
+    """
+)
+def sparse_pivot(spark, folder):
+    """Lines of every part per supplier, as sparse rows."""
+    counts, _ = M.sparse_counts(table(spark, folder, "lineitem"), "l_suppkey", "l_partkey")
+    spelled = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("codes", "counts")}
+    return counts.withColumns(spelled)
+
+
 @query(
     """
     SELECT o_orderkey, CAST(('0x' || substr(md5('42-' || o_orderkey), 1, 8)) AS BIGINT) % 100 < 70 AS training FROM orders

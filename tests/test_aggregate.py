@@ -39,6 +39,14 @@ def test_crosstab_takes_any_number_of_levels(spark):
     assert A.crosstab(df, "a", "b", ["3", "none"]).count() == 2
 
 
+def test_pivot_of_very_many_levels_is_sparse(spark):
+    n = A.MAX_LEVELS + 1
+    df = spark.range(n).select((F.col("id") % 2).alias("k"), F.format_string("l%05d", "id").alias("level"))
+    found = A.pivot_counts(df, "k", "level", prefix="is_")
+    assert found.columns == ["k", "is_counts"]
+    assert {(r["k"], r["is_counts"].size, r["is_counts"].numNonzeros()) for r in found.collect()} == {(0, n + 1, n // 2 + 1), (1, n + 1, n // 2)}
+
+
 def test_levels_are_bounded(spark):
     with pytest.raises(ValueError):
         A.levels(_cells([(str(i), "1") for i in range(5)], spark), "a", limit=4)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
-from caseloom.operators.features import any_per_entity, entity_features, label_decode, label_encode
+from caseloom.operators.features import any_per_entity, encode_labels, entity_features, label_decode, label_encode, sparse_counts, sparse_vectors
 from caseloom.plans import learning
 from caseloom.sources import load_model, save_model
 
@@ -191,10 +191,46 @@ def test_registered_searches_are_whole(spark, monkeypatch, name, grid):
     class Asked(Exception):
         pass
 
-    def search(train, stages, estimator, grid, folds, *rest):
+    def search(train, stages, make, size, grid, folds, *rest):
         raise Asked(dict(grid), folds)
 
+    monkeypatch.setattr(learning, "_FORESTS", {})
     monkeypatch.setattr(C, "_search", search)
     with pytest.raises(Asked) as asked:
         getattr(learning, name)(spark, "/root/testdata/sf0.001")
     assert asked.value.args == (grid, 5)
+
+
+def test_saved_codes_stay(spark, tmp_path):
+    rows = [("v1", "golf"), ("v2", "up"), ("v3", None)]
+    df = spark.createDataFrame(rows, "id string, m string")
+    coded, codes = label_encode(df, "m", "code", missing="none")
+    codes.write.parquet(f"{tmp_path}/codes")
+    before = {r["id"]: r["code"] for r in coded.collect()}
+    more = df.unionByName(spark.createDataFrame([("v4", "amarok"), ("v5", "zoe")], "id string, m string"))
+    after = {r["id"]: r["code"] for r in encode_labels(more, "m", "code", spark.read.parquet(f"{tmp_path}/codes"), "none").collect()}
+    assert after == before | {"v4": 3, "v5": 3}
+    assert encode_labels(df, "m", "code", codes).filter("m IS NULL").first()["code"] == 3
+
+
+def test_sparse_counts_of_any_width(spark):
+    n = 20_000
+    df = spark.range(3 * n).select((F.col("id") % 7).alias("k"), F.format_string("l%05d", F.col("id") % n).alias("level"))
+    counts, codes = sparse_counts(df, "k", "level")
+    vectors = {r["k"]: r["v"] for r in sparse_vectors(counts, "k", codes, "v").collect()}
+    assert len(vectors) == 7 and all(v.size == n + 1 for v in vectors.values())
+    assert sum(v.values.sum() for v in vectors.values()) == 3 * n
+    assert vectors[3][3] == 1.0 and vectors[3][n] == 0.0
+    # Levels that the codes lack meet in the last place; rows without a level or entity count for nothing.
+    odd = spark.createDataFrame([(1, "l00001"), (1, "x"), (1, "y"), (1, None), (None, "x")], "k long, level string")
+    again, _ = sparse_counts(odd, "k", "level", codes)
+    assert tuple(again.first()) == (1, [1, n], [1, 2])
+
+
+def test_staged_accuracy_is_that_of_smaller_ensembles(spark, blobs):
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = K.assemble(blobs.withColumn(C.LABEL, F.col("flag").cast("double")), COLS).select(F.col(K.FEATURES).alias(C.FEATURES), C.LABEL).cache()
+    make = lambda n: GBTClassifier(labelCol=C.LABEL, featuresCol=C.FEATURES, seed=1, maxIter=n, maxDepth=1, subsamplingRate=0.6).fit(rows)
+    alone = [make(n).transform(rows).filter(F.col("prediction") == F.col(C.LABEL)).count() / rows.count() for n in (1, 4)]
+    assert C.staged_accuracy(make(4), rows, [4, 1]) == pytest.approx(alone[::-1])
