@@ -150,7 +150,8 @@ def pack(docs: DataFrame, shards: int | None = 16, capacity: int | None = None)
 
     With ``shards``, the capacity is the least one tried (the mean plus a slack that starts at
     ``FIRST_SLACK`` and doubles) for which best fit decreasing needs no more bins; sizes come
-    out near equal. With ``capacity`` instead, as many shards as it needs.
+    out near equal. A document or group above the mean of all smaller ones has a shard of its own,
+    and the others share those left. With ``capacity`` instead, as many shards as it needs.
 
     Rows with equal texts are a group and stay together unless the group alone exceeds a shard;
     such a group is cut into full shards and a rest. A document is never cut.
@@ -182,22 +183,44 @@ def pack(docs: DataFrame, shards: int | None = 16, capacity: int | None = None)
         "pack-groups",
     )
     total, rows, largest = groups.agg(F.sum("_class"), F.sum("_count"), F.max(_nominal(F.col("_size")))).first()
-    total, digits = total or 0, digits_for(rows or 0)
-    least = max(capacity or -(-total // shards), largest or 1)
+    total, digits, bins, alone = total or 0, digits_for(rows or 0), shards, 0
+    if capacity is not None:
+        least = max(capacity, largest or 1)
+    else:
+        # What exceeds the mean of all others has shards to itself, else the others would all fit into few.
+        mean = max(-(-total // bins), 1)
+        needs = F.when(F.col("_bytes") <= mean, F.lit(1)).otherwise(F.col("_count"))
+        while True:
+            least = max(-(-total // bins), 1)
+            over = F.when(F.col("_bytes") <= mean, F.col("_bytes")).otherwise(F.col("_size")) > least
+            found, rest = groups.agg(F.sum(F.when(over, needs)), F.sum(F.when(~over, F.col("_class")))).first()
+            if (found or 0) == alone:
+                break
+            alone, total, bins = found, rest or 0, max(shards - found, 1)
     giants = [tuple(row) for row in groups.filter(F.col("_bytes") > least).select("_text", "_count", "_size").collect()]
     small = groups.filter(F.col("_bytes") <= least)
     classes = [tuple(row) for row in small.groupBy("_class").agg(F.count(F.lit(1))).collect()]
     giants.sort()
+    lonely = []
+    if capacity is None:
+        lonely = [group for group in giants if group[1] * group[2] <= mean or group[2] > least]
+        giants = [group for group in giants if group not in lonely]
     room, slack, plan = least, FIRST_SLACK, None
     while plan is None:
         if capacity is None:
-            room = max(int(total / shards * (1 + slack)) + 1, least)
+            room = max(int(total / bins * (1 + slack)) + 1, least)
             slack *= 2
-        plan = _plan(classes, giants, room, None if capacity else shards)
+        plan = _plan(classes, giants, room, None if capacity else bins)
 
     spark = docs.sparkSession
     class_runs = [(key, *_ends(runs)) for (kind, key), runs in plan.items() if kind == "class"]
     giant_runs = [(giants[key][0], *_ends(runs)) for (kind, key), runs in plan.items() if kind == "giant"]
+    first = shards - alone if capacity is None else 0
+    for text, count, each in lonely:
+        per = count if count * each <= mean else 1
+        ends = list(range(per, count + 1, per))
+        giant_runs.append((text, ends, list(range(first, first + len(ends)))))
+        first += len(ends)
     runs_of = "array<bigint>, _bins array<int>"
     by_class = spark.createDataFrame(class_runs, f"_class bigint, _ends {runs_of}")
     by_giant = spark.createDataFrame(giant_runs, f"_text string, _ends {runs_of}")
@@ -210,7 +233,7 @@ def pack(docs: DataFrame, shards: int | None = 16, capacity: int | None = None)
     )
     columns = ["doc_id", "size", "text_crc32", "_order", "shard"]
     placed = marks.join(homes, "_text").select(columns)
-    if giants:
+    if giant_runs:
         cut = marks.join(F.broadcast(by_giant), "_text").withColumn("_one", F.lit(1))
         cut = running(cut, ["_text"], ["_order", "doc_id"], "_one", "_rank", digits)
         placed = placed.unionByName(cut.withColumn("shard", _bin_at("_rank")).select(columns))

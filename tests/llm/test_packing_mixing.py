@@ -1,3 +1,4 @@
+import pytest
 import random
 import zlib
 
@@ -54,6 +55,23 @@ def test_pack_near_equal_and_splits_giants(spark):
     assert len(found) == 2500
 
 
+@pytest.mark.parametrize("long, others", [([1_000_000], 2000), ([900_000, 90_000, 90_000], 2000), ([500 * 2**i for i in range(12)], 300), ([7000] * 3, 0)])
+def test_pack_long_documents(spark, long, others):
+    texts = [("x" if i % 2 else "y") * n for i, n in enumerate(long)] + [f"{i:0100d}" for i in range(others)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(df, shards=16).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    size = {}
+    for r in rows:
+        size.setdefault(r["shard"], []).append(r["size"])
+    assert set(size) <= set(range(16)) and len(size) == min(16, len(texts))
+    mean = sum(map(sum, size.values())) / 16
+    shared = [sum(s) for s in size.values() if len(s) > 1]
+    # What is above the mean is one document; the others are level.
+    assert all(len(s) == 1 for s in size.values() if sum(s) > 1.05 * mean)
+    assert not shared or max(shared) - min(shared) <= 0.1 * max(shared) + 101
+
+
 def test_pack_capacity_and_empty(spark, nothing):
     rows = spark.createDataFrame([(i, "a" * 9) for i in range(10)], "doc_id long, text string")
     found = packing.pack(rows, capacity=30).collect()
