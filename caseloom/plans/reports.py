@@ -12,6 +12,7 @@ from caseloom.functions.clean import as_column
 from caseloom.operators import aggregate as A
 from caseloom.operators import stats as S
 from caseloom.operators.quantiles import box_stats
+from caseloom.operators.rows import drop_incomplete
 from caseloom.plans.names import COUNTRIES
 
 # Columns the reports look at.
@@ -93,7 +94,10 @@ def analyse(df: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda
     answered = df.filter(damage.isNotNull()).withColumn(
         "Damage During Assistance", F.when(damage == "YES", True).when(damage == "NO", False)
     )
-    tables["correlation"] = S.corr_matrix(answered, CORRELATED, complete=[c for c in CORRELATED if c not in MAPPED])
+    needed = [c for c in CORRELATED if c not in MAPPED]
+    # What the correlation leaves out, and for want of which column.
+    tables["correlation_rows"] = drop_incomplete(answered, needed)[1]
+    tables["correlation"] = S.corr_matrix(answered, CORRELATED, complete=needed)
     rental = df.select(to_number("Rental Car Days").alias("Rental Car Days"))
     tables["rental_days"] = S.summary_stats(rental, "Rental Car Days")
     tables["rental_histogram"] = A.histogram(rental, "Rental Car Days", maxbins=20)

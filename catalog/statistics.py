@@ -83,17 +83,17 @@ def chi_square_two_by_two(spark, folder):
     SELECT n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(slope_se, 4) AS slope_se,
            round(intercept_se, 4) AS intercept_se, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2,
            round(slope / slope_se, 3) AS slope_t, round(intercept / intercept_se, 3) AS intercept_t,
-           round(r2 / (1 - r2) * (n - 2), 2) AS f_statistic
-    FROM errors
+           round(r2 / (1 - r2) * (n - 2), 2) AS f_statistic, round(ll, 2) AS log_likelihood, round(4 - 2 * ll, 2) AS aic, round(2 * ln(n) - 2 * ll, 2) AS bic
+    FROM (SELECT *, -n / 2 * (ln(2 * pi()) + 1 + ln((1 - r2) * syy / n)) AS ll FROM errors)
     """
 )
 def ols_summary(spark, folder):
-    """Line of price on quantity with its standard errors."""
+    """Line of price on quantity with its standard errors and how well it fits."""
     lines = table(spark, folder, "lineitem").withColumn("l_quantity", unless(F.col("l_orderkey") % 7 == 0, "l_quantity"))
     summary, _ = S.ols(lines, "l_quantity", "l_extendedprice")
     digits = {
         "slope": 4, "intercept": 4, "slope_se": 4, "intercept_se": 4, "r2": 6, "adj_r2": 6, "slope_t": 3,
-        "intercept_t": 3, "f_statistic": 2,
+        "intercept_t": 3, "f_statistic": 2, "log_likelihood": 2, "aic": 2, "bic": 2,
     }
     return summary.select("n", *[F.round(c, d).alias(c) for c, d in digits.items()])
 

@@ -296,6 +296,8 @@ def test_reports_are_written(run):
     assert table("output/analysis/timeline").agg(F.sum("n")).first()[0] == total
     assert table("output/analysis/countries_Country_Of_Origin").count() == 4
     assert table("output/analysis/correlation").count() == 64
+    left = table("output/analysis/correlation_rows").first()
+    assert left["kept"] + left["dropped"] == table("interim/assistance").filter("`Damage During Assistance` IS NOT NULL").count()
     assert table("output/analysis/chi_square_Component_Reason_Of_Call").first()["dof"] == 4
     counted = table("output/analysis/counts_Component").agg(F.sum("n")).first()[0]
     assert counted == table("interim/assistance").filter("Component IS NOT NULL").count()
