@@ -30,33 +30,38 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select("doc.*")
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """The rows with a key; rows that are equal in every column share it."""
-    return docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """(row, doc): every row as a struct, with a number of its own.
+
+    The table is written, so that all later scans see the same numbers. Columns keep to the
+    struct: none clashes with ``row``, and maps or other types that cannot be hashed do no harm.
+    """
+    return keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), label)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the row of the smallest doc_id.
 
     Rows are decided on by themselves, also those that share a doc_id or have none, which come
-    last. Of rows with the same doc_id the one of the smallest key stays; equal rows are one.
+    last. Of rows with the same doc_id the one with the smallest digest of its columns stays, so a
+    rerun keeps the same; equal rows are one.
     """
-    keyed = row_keys(docs)
-    found = simhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    found = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = keep(keyed.select("_key", "doc_id").distinct(), "pipeline-ids")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    first = keep(found, "pipeline-components").join(ids, "_key").groupBy("component_id").agg(F.min(place).alias("first"))
-    first = keep(first.select("first._key"), "pipeline-first")
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    rows = numbered(docs, "pipeline-rows")
+    found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"))
+    found = keep(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "pipeline-components")
+    ids = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.md5(F.to_json("doc")).alias("digest"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
+    first = found.join(keep(ids, "pipeline-ids"), "row").groupBy("component").agg(F.min(place).alias("first"))
+    first = keep(first.select("first.row"), "pipeline-first")
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an overlap with the benchmark, whether or not they have a doc_id or share it."""
-    keyed = row_keys(docs)
-    found = decontaminate.contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    leaked = keep(found.select(F.col("doc_id").alias("_key")).distinct(), "pipeline-leaked")
-    return keyed.join(leaked, "_key", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "pipeline-rows")
+    found = decontaminate.contaminated(rows.select(F.col("row").alias("doc_id"), "doc.text"), read(spark, sf_dir, "benchmark"))
+    leaked = keep(found.select(F.col("doc_id").alias("row")).distinct(), "pipeline-leaked")
+    return rows.join(leaked, "row", "left_anti").select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
