@@ -87,6 +87,11 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _matrix(data: bytes, kind, rows: int, dim: int) -> np.ndarray:
+    """The bytes as rows of ``dim`` numbers, which may be none."""
+    return np.frombuffer(data, kind).reshape(rows, dim) if dim else np.empty((rows, 0), kind)
+
+
 class Grid:
     """Equal cells of one component each: 2 ** BITS of them between its least and greatest value."""
 
@@ -149,6 +154,7 @@ def top_products(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     Null vectors, vectors that hold null or a number that is not finite, and rows without an id
     take no part; vectors meet those of their own length only. Rows that share a vec_id are all
     candidates of others and not of each other; as a query, the smallest of their valid vectors counts.
+    Vectors without components meet each other with score 0.
     No vectors or no queries give no rows. Other columns are ignored.
     """
     stored = keep(blocks(rows, BLOCK), "vafile-vectors")
@@ -168,9 +174,9 @@ def top_products(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
-            for dim, width, data in zip(*(batch[c].to_pylist() for c in ("dim", "width", "vectors"))):
+            for dim, width, ids, data in zip(*(batch[c].to_pylist() for c in ("dim", "width", "ids", "vectors"))):
                 of = shared.value.get(dim, empty)
-                vectors = np.frombuffer(data, f"i{width}").reshape(-1, dim) if dim else np.empty((0, 0))
+                vectors = _matrix(data, f"i{width}", len(ids) // 8, dim)
                 cells.append(Grid(of[:, 1], of[:, 2]).cells(vectors.astype(np.int64)).tobytes())
             columns = [*batch.columns, pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cells"])
@@ -179,16 +185,16 @@ def top_products(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 dim, width, ids, data, cells, q_width, q_ids, q_data = (c[row].as_py() for c in batch.columns)
-                of = shared.value[dim]
+                of = shared.value.get(dim, empty)
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                vectors = np.frombuffer(data, f"i{width}").reshape(-1, dim)
-                queries = np.frombuffer(q_data, f"i{q_width}").reshape(-1, dim).astype(np.int64)
-                cells = np.frombuffer(cells, np.uint8).reshape(-1, dim)
+                vectors = _matrix(data, f"i{width}", len(ids), dim)
+                queries = _matrix(q_data, f"i{q_width}", len(q_ids), dim).astype(np.int64)
+                cells = _matrix(cells, np.uint8, len(ids), dim)
                 found = list(search(ids, cells, vectors, q_ids, queries, Grid(of[:, 1], of[:, 2]), k))
                 yield _rows(found, result)
 
     result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    stored = stored.filter("dim > 0").select("block", "dim", "width", "ids", "vectors").mapInArrow(
+    stored = stored.select("block", "dim", "width", "ids", "vectors").mapInArrow(
         approximate, "block long, dim int, width int, ids binary, vectors binary, cells binary"
     )
     # Every pair of a query block and a vector block of the same length, dealt by the pair.

@@ -28,7 +28,7 @@ def test_top_products_against_all(spark, monkeypatch):
     rows = [(i, [dice.gauss(0, 0.2) for _ in range(12)]) for i in range(400)]
     rows += [(400 + i, rows[i][1]) for i in range(40)]
     rows += [(500, None), (501, [None] * 12), (502, [math.nan] * 12), (503, [math.inf] * 12), (None, rows[0][1])]
-    rows += [(504, [0.5] * 3), (510, [0.25] * 3), (520, [900.0] * 5)]
+    rows += [(504, [0.5] * 3), (510, [0.25] * 3), (520, [900.0] * 5), (530, []), (531, []), (532, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     single = [(r.vec_id, r.embedding) for r in frame.collect()]
     found = vafile.top_products(frame.repartition(3), F.col("vec_id") % 10 == 0, 5).collect()

@@ -74,3 +74,23 @@ def test_language_stage_learns_from_all(spark):
         patch.setattr(corpus_pipeline.language, "train", lambda rows: seen.append(rows) or train(rows))
         assert corpus_pipeline.language_stage(spark, docs, FOLDER).count() == 60
     assert seen[0].count() == 60
+
+
+def test_stages_keep_any_columns(spark):
+    texts = [" ".join(f"{word}{i}" for i in range(80)) for word in ("ape", "bee", "cat")]
+    rows = [(1, texts[0], None, "web", "k1", {"a": 1}, 5), (2, texts[1], "web", None, "k2", {}, 6), (2, texts[2], None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _key string, doc map<string,int>, row long")
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.decontamination_stage):
+        left = stage(spark, docs, FOLDER)
+        assert left.columns == docs.columns
+        assert sorted(map(str, left.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_near_duplicates_tell_nulls_apart(spark):
+    text = " ".join(f"ape{i}" for i in range(80))
+    rows = [(None, text, "web", None), (None, text, None, "web"), (7, text, None, None), (7, text, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()
+    assert [tuple(r) for r in left] == [(7, text, None, None)]
+    left = corpus_pipeline.decontamination_stage(spark, docs, FOLDER).collect()
+    assert sorted(map(str, left)) == sorted(map(str, docs.collect()))
