@@ -203,7 +203,8 @@ def link_cases(
         [calls.entity],
         right_order=list(repairs.tie),
         max_group_rows=max_group_rows,
-        sizes_from=df.select(calls.entity),
+        # An entity may be hot by its stays alone.
+        sizes_from=df.select(calls.entity).unionByName(stays.select(as_column(repairs.entity).alias(calls.entity))),
     )
     days = F.floor(micros_between("_day", repairs.start) / F.lit(DAY_MICROS)).cast("bigint")
     joined = joined.withColumn("link_days", F.when(F.col("link_part").isin("tow", "last_call"), days))

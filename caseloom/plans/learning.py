@@ -126,6 +126,13 @@ def with_clusters(model: PipelineModel, features: DataFrame) -> DataFrame:
     return predicted.select(*kept, *[as_column(p).alias(m) for m, p in zip(meant, plain)])
 
 
+def vehicle_silhouettes(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """Cluster and silhouette of each vehicle, by the components that the clusters were found with."""
+    frame, _, _ = safe_names(features)
+    placed = K.predict_clusters(model, frame, keep_components=True)
+    return K.sample_silhouette(placed.select(ENTITY, K.CLUSTER, K.COMPONENTS), K.COMPONENTS, K.CLUSTER).drop(K.COMPONENTS)
+
+
 def describe(clustered: DataFrame) -> dict[str, DataFrame]:
     """The tables that describe the clusters."""
     meant = numeric_features(clustered)

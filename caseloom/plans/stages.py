@@ -120,7 +120,9 @@ def learn(
         output.keep("explained_variance", fitted.variance)
         output.keep("silhouette_scores", fitted.silhouettes)
         output.keep("top_loadings", cluster.top_loadings(loadings))
-    clustered = interim.keep("clustered", learning.with_clusters(load_model(f"{models}/clusters"), features))
+    clusters = load_model(f"{models}/clusters")
+    clustered = interim.keep("clustered", learning.with_clusters(clusters, features))
+    output.keep("vehicle_silhouettes", learning.vehicle_silhouettes(clusters, features))
     for name, table in learning.describe(clustered).items():
         output.keep(name.replace(" ", "_").replace(">", "over"), table)
 

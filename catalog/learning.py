@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import sources as S
+from caseloom.operators import aggregate as A
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
 from caseloom.operators import features as M
@@ -53,7 +57,7 @@ def _counts_sql(col: str, levels: list[str]) -> str:
     return ", ".join(f"count(*) FILTER (WHERE {col} = '{level}') AS \"{col}: {level}\"" for level in levels)
 
 
-@query(
+FEATURES_SQL = (
     "WITH"
     + CASES_SQL
     + ","
@@ -73,6 +77,9 @@ def _counts_sql(col: str, levels: list[str]) -> str:
     FROM c JOIN codes USING (c_mktsegment) JOIN firsts USING (o_custkey) LEFT JOIN r USING (o_custkey) GROUP BY o_custkey
     """
 )
+
+
+@query(FEATURES_SQL)
 def entity_features(spark, folder):
     """Counts, sums, first values, pivots and repairs per customer."""
     return _features(spark, folder).withColumns({"mean_gap": F.round("mean_gap", 6), "first_year": F.col("first_year").cast("bigint")})
@@ -315,6 +322,65 @@ def cluster_profile(spark, folder):
     return _named(K.profile_groups(clustered, K.CLUSTER, names))
 
 
+MEASURES = [n for n in NUMBERS if n != "segment_code"]
+
+DESCRIPTION_SQL = f"""
+WITH f AS ({FEATURES_SQL}),
+long AS (SELECT segment_code AS cluster, unnest({MEASURES!r}) AS feature,
+                unnest([{", ".join(f'CAST("{n}" AS DOUBLE)' for n in MEASURES)}]) AS value FROM f),
+q AS (SELECT segment_code AS cluster, quantile_cont(calls, 0.25) AS q1, median(calls) AS m, quantile_cont(calls, 0.75) AS q3 FROM f GROUP BY 1),
+box AS (SELECT cluster, any_value(q1) AS q1, any_value(m) AS median, any_value(q3) AS q3, min(calls) AS whisker_low, max(calls) AS whisker_high
+        FROM f JOIN q ON segment_code = cluster WHERE calls BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1),
+years AS (SELECT segment_code AS cluster, CAST(first_year AS VARCHAR) AS level, count(*) AS n FROM f GROUP BY ALL),
+described AS (
+  SELECT 'box' AS part, cluster, unnest(['q1', 'median', 'q3', 'whisker_low', 'whisker_high']) AS name,
+         unnest([q1, median, q3, whisker_low, whisker_high]) AS value FROM box
+  UNION ALL SELECT 'scatter', segment_code, repairs || ', ' || stays, count(*) FROM f GROUP BY segment_code, repairs, stays
+  UNION ALL SELECT 'profile', cluster, feature || ': Mean', avg(value) FROM long GROUP BY ALL
+  UNION ALL SELECT 'profile', cluster, feature || ': Median', median(value) FROM long GROUP BY ALL
+  UNION ALL SELECT 'nominal', cluster, level, n / sum(n) OVER (PARTITION BY cluster) FROM years
+  UNION ALL SELECT 'counts_first_year', cluster, level, n FROM years
+  UNION ALL SELECT 'histogram_mean_gap', cluster, CAST(CAST(floor(value / 30) * 30 AS BIGINT) AS VARCHAR), count(*)
+            FROM long WHERE feature = 'mean_gap' GROUP BY cluster, floor(value / 30)
+  UNION ALL SELECT 'histogram_rental_days', cluster, CAST(CAST(floor(value / 5) * 5 AS BIGINT) AS VARCHAR), count(*)
+            FROM long WHERE feature = 'rental_days' GROUP BY cluster, floor(value / 5)
+  UNION ALL SELECT 'sum_' || split_part(feature, ': ', 1), cluster, feature, sum(value) FROM long
+            WHERE feature LIKE 'o_order%: %' AND value > 0 GROUP BY cluster, feature)
+SELECT part, cluster, name, round(value, 4) AS value FROM described
+"""
+
+
+@query(DESCRIPTION_SQL)
+def cluster_description(spark, folder):
+    """Every table that describes clusters, stacked; the segments stand for the clusters here, so that SQL knows them."""
+    rows = _features(spark, folder).withColumn("mean_gap", F.round("mean_gap", 6))
+    rows = rows.withColumn(K.CLUSTER, F.col("segment_code").cast("bigint")).withColumn("first_year", F.col("first_year").cast("bigint"))
+    rows = spark.read.parquet(S.write_table(rows, scratch_path(spark, "described")))
+    pivots = {col: [n for n in MEASURES if n.startswith(f"{col}: ")] for col in ("o_orderstatus", "o_orderpriority")}
+    tables = K.describe_clusters(
+        rows, MEASURES, "calls", {"mean_gap": 30.0, "rental_days": 5.0}, ("repairs", "stays"), ["first_year"], pivots
+    )
+    bounds = ["q1", "median", "q3", "whisker_low", "whisker_high"]
+    box = tables["box"].select(K.CLUSTER, *[F.col(c).cast("double").alias(c) for c in bounds])
+    level, start = F.col("first_year").cast("string"), F.col("bin_start").cast("bigint").cast("string")
+    parts = {
+        "box": A.unpivot(box, [K.CLUSTER], bounds, "name", "value"),
+        "scatter": tables["scatter"].select(K.CLUSTER, F.concat_ws(", ", "repairs", "stays").alias("name"), F.col("n").alias("value")),
+        "profile": tables["profile"].select(K.CLUSTER, F.concat_ws(": ", "feature", "kind").alias("name"), "value"),
+        "nominal": tables["nominal"].select(K.CLUSTER, F.col("level").alias("name"), F.col("share").alias("value")),
+        "counts_first_year": tables["counts_first_year"].select(K.CLUSTER, level.alias("name"), F.col("n").alias("value")),
+    }
+    for name in ("histogram_mean_gap", "histogram_rental_days"):
+        parts[name] = tables[name].select(K.CLUSTER, start.alias("name"), F.col("n").alias("value"))
+    for col in pivots:
+        parts[f"sum_{col}"] = tables[f"sum_{col}"].select(K.CLUSTER, F.col(col).alias("name"), F.col("total").alias("value"))
+    stacked = [
+        df.select(F.lit(part).alias("part"), K.CLUSTER, "name", F.round(F.col("value").cast("double"), 4).alias("value"))
+        for part, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, stacked)
+
+
 @query()
 def cluster_projection(spark, folder):
     """Customers on the first two components of the centred features."""

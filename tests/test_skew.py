@@ -8,7 +8,10 @@ from caseloom.operators.joins import flag_exists
 from caseloom.operators.ordered import SLICE, OrderedGroups
 from caseloom.operators.quantiles import flag_top_quantile
 from caseloom.operators.sessions import assign_cases
+from caseloom.operators import ordered
 from caseloom.operators.skew import spread_join
+from caseloom.plans import cases
+from caseloom.plans.names import Calls, Repairs
 
 ROWS = 60_000
 
@@ -103,3 +106,26 @@ def test_points_meet_no_pairs(spark, skewed):
     assert got[0] == points.count()
     assert got[1] > 0.99 * got[0]
     assert got[2] == first
+
+
+def test_entity_hot_by_its_stays_only_is_sliced(spark, monkeypatch):
+    calls = Calls(entity="k", case_number="id", at="ts", outcome="outcome", tows=("tow",), tie=("id",), case_id="case_id")
+    repairs = Repairs(entity="car", line="line", start="start", tie=("line",), stay_id="stay_id")
+    day = F.date_add(F.lit("2021-01-01").cast("date"), (F.col("id") % 700).cast("int"))
+    few = spark.range(400).select(
+        "id", F.concat(F.lit("k"), F.col("id") % 40).alias("k"), day.cast("timestamp_ntz").alias("ts"), F.lit("tow").alias("outcome")
+    ).withColumn("case_id", F.concat_ws("_", "k", "id"))
+    car = F.when(F.col("id") % 3 > 0, "k1").otherwise(F.concat(F.lit("k"), F.col("id") % 40))
+    stays = spark.range(6000).select(car.alias("car"), F.col("id").alias("line"), day.alias("start"), F.col("id").cast("string").alias("stay_id"))
+    seen, hot_keys = [], ordered.hot_keys
+
+    def watched(*args):
+        seen.append(hot_keys(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(ordered, "hot_keys", watched)
+    split = cases.link_cases(few, stays, calls, repairs, max_group_rows=500)
+    assert [[r["k"] for r in hot.collect()] if hot is not None else None for hot, _ in seen] == [None, ["k1"]]
+    whole = cases.link_cases(few, stays, calls, repairs)
+    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+    assert whole.filter("stay_id IS NOT NULL AND k = 'k1'").count() > 0

@@ -312,6 +312,11 @@ def test_learning_outputs(run):
     for name in ("suspect", "merged"):
         assert 0 <= table(f"output/learning/{name}_auc").first()["auc"] <= 1
         assert table(f"output/learning/{name}_importances").agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+    silhouettes = table("output/learning/vehicle_silhouettes")
+    assert silhouettes.join(table("interim/clustered"), ["VIN", "cluster"]).count() == vehicles
+    # Only a model that was fitted here has the scores it was chosen by.
+    chosen = table("output/learning/silhouette_scores").agg(F.max("silhouette")).first()[0]
+    assert silhouettes.agg(F.avg("silhouette")).first()[0] == pytest.approx(chosen, abs=1e-6)
     assert table("output/learning/profile").filter("feature = 'Anzahl_Anrufe'").count() > 0
 
 
