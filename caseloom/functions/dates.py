@@ -15,14 +15,17 @@ DAY_MICROS = 86_400_000_000
 # Range of dates a 64-bit nanosecond clock can hold; dates beyond it are typing errors.
 FIRST_DATE = dt.date(1677, 9, 22)
 LAST_DATE = dt.date(2262, 4, 11)
+# How the inputs write times of day and dates.
+TIME_PATTERN = r"^(\d{1,2}):(\d{2})$"
+DATE_FORMATS = ("d/M/yyyy", "yyyyMMdd")
 
 
 def normalise_time(column: ColumnLike) -> Column:
     """``H:MM`` or ``HH:MM`` to ``HH:MM:00``; anything else is null."""
     column = as_column(column)
-    pattern = r"^(\d{1,2}):(\d{2})$"
-    hours = F.lpad(F.regexp_extract(column, pattern, 1), 2, "0")
-    return F.when(column.rlike(pattern), F.concat(hours, F.lit(":"), F.regexp_extract(column, pattern, 2), F.lit(":00")))
+    hours = F.lpad(F.regexp_extract(column, TIME_PATTERN, 1), 2, "0")
+    minutes = F.regexp_extract(column, TIME_PATTERN, 2)
+    return F.when(column.rlike(TIME_PATTERN), F.concat(hours, F.lit(":"), minutes, F.lit(":00")))
 
 
 def at_time(day: ColumnLike, time: ColumnLike) -> Column:
@@ -33,7 +36,7 @@ def at_time(day: ColumnLike, time: ColumnLike) -> Column:
     return as_column(day).cast("timestamp_ntz") + span
 
 
-def parse_date(column: ColumnLike, formats: Sequence[str] = ("d/M/yyyy", "yyyyMMdd")) -> Column:
+def parse_date(column: ColumnLike, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Date by the first format that fits, null if none does or the date is impossible."""
     column = as_column(column)
     trials = [F.try_to_date(column, f) for f in formats]
