@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by MinHash banding of paragraphs and by equal stretches of words."""
+"""Passages that repeat across documents, by MinHash banding of paragraphs, spans between anchors and equal stretches of words."""
 
 from __future__ import annotations
 
@@ -23,8 +23,12 @@ BANDS, ROWS = 14, 4
 PASSAGE = 50
 #: Times that colliding paragraphs are compared with one of them, before the rest is compared in pairs.
 ROUNDS = 2
-#: Shingles hashed at a time, and bits of the table that tells candidates from other paragraphs.
-CHUNK, TABLE_BITS = 1 << 17, 24
+#: Words hashed before rows are handed on.
+CHUNK = 1 << 17
+#: Least hashes of a paragraph of which a near copy has one: at the limit with probability 1 - 0.2**4 = 0.9984.
+MARKS = 4
+#: Least and most bits, as powers of two, of a shared table; in between it has eight per value or more.
+LEAST_BITS, MOST_BITS = 20, 28
 #: Words of 64 bits in a set's parity sketch.
 SKETCH = 4
 #: Members of a bucket that one slice of it compares with all others.
@@ -63,10 +67,10 @@ def _mixers() -> tuple[np.ndarray, np.ndarray]:
     return dice.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1), dice.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def band_keys(sets: list[list[int]], mixers) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], mixers) -> np.ndarray:
     """(paragraph, band) keys: the MinHash values of a band's rows, hashed together."""
     sizes = np.array([len(of) for of in sets])
-    hashes = np.array([value for of in sets for value in of], np.uint64)
+    hashes = np.concatenate(sets)
     starts = np.cumsum(sizes) - sizes
     keys = np.empty((len(sets), BANDS), np.uint64)
     for band in range(BANDS):
@@ -81,9 +85,11 @@ def band_keys(sets: list[list[int]], mixers) -> np.ndarray:
     return keys
 
 
-LINES = "_row long, doc_id long, _of long, paragraph int, start int, end int, at int, words int, text_id binary, bands binary"
-LINE_TYPES = [*[pa.int64()] * 3, *[pa.int32()] * 5, pa.binary(), pa.binary()]
-LINE_NAMES = [part.split()[0] for part in LINES.split(", ")]
+#: What a row of the table of units is.
+LINE, SPAN, RUNS = 0, 1, 2
+UNITS = "kind int, _row long, doc_id long, _of long, paragraph int, start int, end int, at int, words int, text_id binary, bands binary, windows binary"
+UNIT_TYPES = [pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 5, *[pa.binary()] * 3]
+UNIT_NAMES = [part.split()[0] for part in UNITS.split(", ")]
 
 
 def text_id(words: list[bytes]) -> bytes:
@@ -91,70 +97,154 @@ def text_id(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def row_key(doc_id: int, text: str | None) -> int:
-    """A hash of doc_id and text, the same in every scan; rows that are equal share it."""
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), doc_id & ((1 << 64) - 1)) - (1 << 63)
+class Words:
+    """The lines of a text that have words, and all words with their hashes."""
+
+    def __init__(self, text: str | None):
+        self.places, counts, self.words = [], [], []
+        for start, end, words in paragraphs(text or ""):
+            self.places.append((start, end))
+            counts.append(len(words))
+            self.words += words
+        self.counts = np.array(counts, np.int64)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+
+    def marks(self, mixers) -> np.ndarray:
+        """(line, mark): the least hashes of its shingles, in several orders; of all words if there are fewer."""
+        found = np.empty((len(self.counts), MARKS), np.uint64)
+        for count in range(1, SHINGLE):
+            of = np.flatnonzero(self.counts == count)
+            whole = self.hashes[self.starts[of]] + np.uint64(count)
+            for at in range(1, count):
+                whole = _mix(whole, self.hashes[self.starts[of] + at])
+            found[of] = whole[:, None]
+        of = np.flatnonzero(self.counts >= SHINGLE)
+        if len(of):
+            every = np.append(stretches(self.hashes, SHINGLE), np.uint64(0))
+            edges = np.stack([self.starts[of], self.starts[of] + self.counts[of] - SHINGLE + 1], axis=1).ravel()
+            for mark in range(MARKS):
+                values = (every ^ mixers[0][mark]) * mixers[1][mark]
+                values ^= values >> np.uint64(32)
+                found[of, mark] = np.minimum.reduceat(values, edges)[::2]
+        return found
+
+
+def _shared(docs: DataFrame, passage: int):
+    """A table of the anchors of stretches and of the marks of lines that are in documents of more than one doc_id."""
+    mixers, part = _mixers(), _part(passage)
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ids, waiting = [], [], 0
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                text = Words(text.as_py())
+                if not text.words:
+                    continue
+                values = [text.marks(mixers).ravel()]
+                if len(text.words) >= part:
+                    of = anchors(text.hashes, part)
+                    values.append(of[np.concatenate([[True], of[1:] != of[:-1]])])
+                found.append(np.unique(np.concatenate(values)).view(np.int64))
+                ids.append(np.full(len(found[-1]), doc_id))
+                waiting += len(found[-1])
+                if waiting >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, ids)], names=["anchor", "doc_id"])
+                    found, ids, waiting = [], [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, ids)], names=["anchor", "doc_id"])
+
+    marked = docs.select("doc_id", "text").mapInArrow(mark, "anchor long, doc_id long")
+    seen = marked.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    return _table(keep(seen.filter("_low < _high").select("anchor"), "paragraph-shared"), "anchor")
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """A row per paragraph, with its band keys if it is long enough to have near copies."""
-    mixers = _mixers()
+
+def spans(hashes: np.ndarray, wanted: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, words, keys) of the stretches of 1 to 1.5 times ``passage`` words between two of the wanted anchors.
+
+    Both ends depend on the words there alone, so altered copies are cut alike, wherever in their
+    lines they are. A key is a hash of both anchors and of as many words as half a shortest span has
+    between them, behind the first anchor or before the second: one edit leaves one of the keys.
+    """
+    short = _short(_part(passage))
+    power = stretches(hashes, short)
+    here = np.flatnonzero(np.isin(power, wanted))
+    here = here[np.concatenate([[True], (np.diff(here) > 1) | (power[here[1:]] != power[here[:-1]])])] if len(here) else here
+    half = max(1, (passage - 2 * short) // 2)
+    low = np.searchsorted(here, here + max(passage - short, short + half))
+    high = np.maximum(low, np.searchsorted(here, here + passage + passage // 2 - short))
+    many = high - low
+    first = np.repeat(here, many)
+    if not len(first):
+        return first, first, np.empty((0, 2), np.uint64)
+    last = here[np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(first))]
+    ends, between = _mix(power[first], power[last]), stretches(hashes, half)
+    keys = np.stack([_mix(ends, between[first + short]), _mix(ends, between[last - half])], axis=1)
+    return first, last + short - first, keys
+
+
+def _units(rows: DataFrame, table, passage: int) -> DataFrame:
+    """``UNITS`` of the rows (_row, doc_id, _of, text), those only that share a value of the table with another document:
+
+    lines with their band keys if they are long enough to have near copies, spans between anchors
+    with theirs, and runs of neighbouring stretches of ``passage`` words with their hashes.
+    All stretches that are in documents of more than one doc_id are among the last, for the anchors of
+    their first and of their last two thirds are in several documents.
+    """
+    mixers, part = _mixers(), _part(passage)
 
     def finish(rows, sets):
-        keys = band_keys([of for of in sets if of], mixers) if any(sets) else np.empty((0, BANDS), np.uint64)
-        bands = iter(keys)
-        rows = [(*row, next(bands).tobytes() if of else None) for row, of in zip(rows, sets)]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), LINE_TYPES)], names=LINE_NAMES)
+        keys = band_keys([of for of in sets if of is not None], mixers) if any(of is not None for of in sets) else ()
+        keys = iter(keys)
+        lines = [(*row, next(keys).tobytes() if of is not None else None, None) for row, of in zip(rows[LINE], sets)]
+        every = lines + rows[SPAN] + rows[RUNS]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*every), UNIT_TYPES)], names=UNIT_NAMES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, sets, waiting = [], [], 0
+        rows, sets, waiting = ([], [], []), [], 0
         for batch in batches:
-            for row, doc_id, text in zip(batch["_row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
-                at, of = 0, row_key(doc_id, text.as_py())
-                for number, (start, end, words) in enumerate(paragraphs(text.as_py() or "")):
-                    rows.append((row, doc_id, of, number, start, end, at, len(words), text_id(words)))
-                    at += len(words)
-                    sets.append(shingles(words) if len(words) >= SHINGLE else [])
-                    waiting += len(words)
-                    if waiting >= CHUNK:
-                        yield finish(rows, sets)
-                        rows, sets, waiting = [], [], 0
-        if rows:
+            for row, doc_id, of, text in zip(*(batch[c].to_pylist() for c in ("_row", "doc_id", "_of")), batch["text"]):
+                text = Words(text.as_py())
+                if not text.words:
+                    continue
+                name = (row, doc_id, of)
+                lines = np.flatnonzero(_in(table, text.marks(mixers)).any(axis=1))
+                every = stretches(text.hashes, SHINGLE) if len(lines) and len(text.words) >= SHINGLE else None
+                for line in lines.tolist():
+                    at, count = int(text.starts[line]), int(text.counts[line])
+                    rows[LINE].append((LINE, *name, line, *text.places[line], at, count, text_id(text.words[at : at + count])))
+                    sets.append(every[at : at + count - SHINGLE + 1] if count >= SHINGLE else None)
+                    waiting += count
+                if len(text.words) >= part:
+                    least = anchors(text.hashes, part)
+                    shared = _in(table, least)
+                    for at, count, keys in zip(*spans(text.hashes, np.unique(least[shared]), passage) if shared.any() else ([],) * 3):
+                        span = xxhash.xxh3_128_digest(text.hashes[at : at + count].tobytes())
+                        rows[SPAN].append((SPAN, *name, None, None, None, int(at), int(count), span, keys.tobytes(), None))
+                        waiting += 8
+                    runs = _runs(np.flatnonzero(shared[: len(text.words) - passage + 1] & shared[passage - part :])) if len(text.words) >= passage else []
+                    hashes = stretches(text.hashes, passage) if runs else None
+                    for run in runs:
+                        data = hashes[run[0] : run[-1] + 1].tobytes()
+                        rows[RUNS].append((RUNS, *name, None, None, None, int(run[0]), len(run), None, None, data))
+                        waiting += len(run)
+                if waiting >= CHUNK:
+                    yield finish(rows, sets)
+                    rows, sets, waiting = ([], [], []), [], 0
+        if waiting:
             yield finish(rows, sets)
 
-    return rows.mapInArrow(scan, LINES)
-
+    return rows.select("_row", "doc_id", "_of", "text").mapInArrow(scan, UNITS)
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text): the words of the wanted paragraphs (node, text_id), found by a second scan.
 
-    A bit table of the wanted ids, whose size is fixed, keeps most others out of the join.
-    """
+def _only(rows: DataFrame, table, column: str = "_of") -> DataFrame:
+    """The rows whose value of a column may be in the table."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sorted({int.from_bytes(name[:3]) for name in batch["text_id"].to_pylist()})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], names=["bit"])
-
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[wanted.select("text_id").mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).view(bool)
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {}
-            for text in batch["text"]:
-                for _, _, words in paragraphs(text.as_py() or ""):
-                    name = text_id(words)
-                    if wanted[int.from_bytes(name[:3])]:
-                        found[name] = b" ".join(words)
-            columns = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["text_id", "text"])
+            yield batch.filter(pa.array(_in(table, batch[column].to_numpy())))
 
-    found = docs.select("text").mapInArrow(scan, "text_id binary, text binary")
-    joined = keep(found.join(wanted, "text_id").select("node", "text"), "paragraph-found")
-    return keep(joined.groupBy("node").agg(F.first("text").alias("text")), "paragraph-texts")
+    return rows.mapInArrow(only, rows.schema)
 
 
 SKETCHED = ["size", *(f"s{number}" for number in range(SKETCH))]
@@ -169,19 +259,31 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(node, size, s0.., set): the distinct shingle hashes of the texts (node, text), their number and sketch."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, size, s0.., set): the distinct shingle hashes of the units (node, place), their number and sketch.
+
+    ``place`` (_of, at, words) is where one of the equal units is. Texts without any are left out by a table before the join.
+    """
+    places = wanted.select("place._of", F.struct("node", "place.at", "place.words").alias("unit"))
+    places = keep(places.groupBy("_of").agg(F.collect_list("unit").alias("units")), "paragraph-places")
+    texts = _only(docs.select("_of", "text"), _table(places, "_of")).groupBy("_of").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.array(shingles(text.as_py().split()), np.uint64)) for text in batch["text"]]
+            nodes, found = [], []
+            for text, units in zip(batch["text"], batch["units"]):
+                hashes = word_hashes(text.as_py())
+                for node, at, count in (unit.values() for unit in units.as_py()):
+                    nodes.append(node)
+                    found.append(np.unique(stretches(hashes[at : at + count], SHINGLE)))
             marks = np.array([sketch(of) for of in found], np.int64).reshape(-1, SKETCH)
-            columns = [batch["node"], pa.array([len(of) for of in found], pa.int32()), *map(pa.array, marks.T)]
+            columns = [pa.array(nodes, pa.int64()), pa.array([len(of) for of in found], pa.int32()), *map(pa.array, marks.T)]
             columns.append(pa.array([of.view(np.int64) for of in found], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=["node", *SKETCHED, "set"])
 
     marks = ", ".join(f"{name} long" for name in SKETCHED[1:])
-    return keep(texts.mapInArrow(cut, f"node long, size int, {marks}, set array<bigint>"), "paragraph-sets")
+    joined = texts.join(places, "_of").select("text", "units")
+    return keep(joined.mapInArrow(cut, f"node long, size int, {marks}, set array<bigint>"), "paragraph-sets")
 
 
 def _may_be_alike(one: str, two: str):
@@ -194,7 +296,7 @@ def _may_be_alike(one: str, two: str):
 
 
 def _first_common(one: str, two: str):
-    """The first band in which two paragraphs collide: of all buckets that a pair shares, one has to name it."""
+    """The first band in which two units collide: of all buckets that a pair shares, one has to name it."""
     keys = [[F.substring(bands, 1 + 8 * band, 8) for bands in (one, two)] for band in range(BANDS)]
     return F.coalesce(*[F.when(a == b, F.lit(band)) for band, (a, b) in enumerate(keys)])
 
@@ -215,10 +317,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(half.join(right, (half["b"] == right["b"]) & _alike("_one", "_two")).select("a", half["b"]), "paragraph-links")
 
 
-def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(text_id, component): paragraphs that are equal, or connected by near copies, share a component.
+def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(text_id, component): units, which are lines and spans of the texts of ``docs`` (_of, text), that are equal, or connected by near copies, share a component.
 
-    Equal paragraphs are one node. Nodes that collide in a band are compared with one of them,
+    Equal units are one node. Nodes that collide in a band are compared with one of them,
     then with another, as long as they are not all connected. What is still apart after
     ``ROUNDS`` is compared in pairs, except with what it is already connected to: sketches
     within the join, sliced for large buckets, then the sets of the pairs that the sketches
@@ -226,18 +328,20 @@ def classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     sets each, and no link between components is lost.
     """
     nodes = keep(
-        lines.groupBy("text_id").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
+        units.groupBy("text_id")
+        .agg(F.min(F.struct("_of", "at", "words")).alias("place"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "paragraph-nodes",
     )
     keyed = nodes.filter("bands IS NOT NULL").selectExpr(
-        "node", f"posexplode(transform(sequence(0, {BANDS - 1}), n -> substring(bands, 1 + 8 * n, 8))) AS (band, key)"
+        "node", "posexplode(transform(sequence(0, int(length(bands) / 8) - 1), n -> substring(bands, 1 + 8 * n, 8))) AS (band, key)"
     )
     keyed = keyed.select("node", "band", F.xxhash64("band", "key").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     members = keep(keyed.join(keep(sizes, "paragraph-buckets"), "key"), "paragraph-members")
     central = members.groupBy("node").agg(F.sum("_size").alias("_company"))
     central = keep(central, "paragraph-central")
-    sets = _sets(_texts(docs, central.join(nodes.select("node", "text_id"), "node").select("node", "text_id")))
+    sets = _sets(docs, central.join(nodes.select("node", "place"), "node").select("node", "place"))
     known = sets.select("node", F.struct(*SKETCHED).alias("mark")).join(central, "node")
     members = keep(members.select("key", "band", "node").join(keep(known, "paragraph-known"), "node"), "paragraph-company")
 
@@ -308,17 +412,27 @@ def stretches(words: np.ndarray, count: int) -> np.ndarray:
     return found
 
 
-def anchors(words: np.ndarray, passage: int) -> np.ndarray:
-    """For every stretch of ``passage`` words the least hash of the shorter ones in it.
+def _part(passage: int) -> int:
+    """Words of the stretches that have an anchor."""
+    return max(1, 2 * passage // 3)
+
+
+def _short(part: int) -> int:
+    """Words of an anchor."""
+    return max(1, part // 3)
+
+
+def anchors(words: np.ndarray, part: int) -> np.ndarray:
+    """For every stretch of ``part`` words the least hash of the shorter ones in it.
 
     It depends on the stretch alone, so equal stretches have the same anchor, and neighbours mostly share one.
     """
-    short = max(1, passage // 3)
-    power, size, width = stretches(words, short), 1, passage - short + 1
+    short = _short(part)
+    power, size, width = stretches(words, short), 1, part - short + 1
     while 2 * size <= width:
         power = np.minimum(power[:-size], power[size:])
         size *= 2
-    places = len(words) - passage + 1
+    places = len(words) - part + 1
     return np.minimum(power[:places], power[width - size : width - size + places])
 
 
@@ -327,20 +441,37 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return (values & ((1 << TABLE_BITS) - 1)).astype(np.int64)
-
-
 def _table(rows: DataFrame, column: str):
-    """A shared bit table, of fixed size, of the column's values; it never rules out one that occurs."""
+    """A shared table of bits for the column's values; it never rules out one that occurs.
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    It grows with the number of rows, which are of a written table, up to 32 MB. Slices of it are packed by the tasks.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * rows.count()).bit_length()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(batch[column].to_numpy())), pa.int32())], names=["bit"])
+            values = batch["bit"].to_numpy()
+            for part in np.unique(values >> 16).tolist():
+                flags = np.zeros(1 << 16, bool)
+                flags[values[values >> 16 == part] & 0xFFFF] = True
+                slices[part] = slices.get(part, 0) | np.packbits(flags)
+        columns = [pa.array(list(slices), pa.int64()), pa.array([of.tobytes() for of in slices.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "slice"])
+
+    places = rows.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("bit"))
+    packed = places.repartition(F.shiftright("bit", 16)).mapInArrow(pack, "part long, slice binary").toArrow()
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for part, of in zip(packed["part"].to_pylist(), packed["slice"].to_pylist()):
+        table[part << 13 : (part + 1) << 13] = np.frombuffer(of, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(table)
+
 
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[rows.select(column).mapInArrow(bits, "bit int").distinct().toArrow()["bit"].to_numpy()] = True
-    return rows.sparkSession.sparkContext.broadcast(np.packbits(table))
+def _in(table, values: np.ndarray) -> np.ndarray:
+    """Whether the values may be in the table."""
+    packed = table.value
+    places = (values & values.dtype.type(8 * len(packed) - 1)).astype(np.int64)
+    return (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).view(bool)
 
 
 def _runs(places: np.ndarray) -> list[np.ndarray]:
@@ -349,56 +480,6 @@ def _runs(places: np.ndarray) -> list[np.ndarray]:
     return [run[at : at + RUN] for run in whole for at in range(0, len(run), RUN)]
 
 
-def _windows(docs: DataFrame, passage: int) -> DataFrame:
-    """(_of, doc_id, at, n, windows): hashes of ``n`` neighbouring stretches of ``passage`` words, from word
-    ``at`` on, that may be in documents of more than one doc_id. All that are, are among them: the
-    anchors of their first and of their last two thirds are in several documents."""
-    part = max(1, 2 * passage // 3)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, ids = [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                words = word_hashes(text.as_py())
-                if len(words) >= passage:
-                    of = anchors(words, part)
-                    found.append(of[np.concatenate([[True], of[1:] != of[:-1]])].view(np.int64))
-                    ids.append(np.full(len(found[-1]), doc_id))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, ids)], names=["anchor", "doc_id"])
-
-    marked = docs.mapInArrow(mark, "anchor long, doc_id long")
-    shared = marked.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).filter("_low < _high")
-    table = _table(shared, "anchor")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(table.value).view(bool)
-        rows = []
-
-        def finish():
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["_of", "doc_id", "at", "n", "windows"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                text = text.as_py()
-                words = word_hashes(text)
-                if len(words) < passage:
-                    continue
-                shared = wanted[_bits(anchors(words, part).view(np.int64))]
-                runs = _runs(np.flatnonzero(shared[: len(words) - passage + 1] & shared[passage - part :]))
-                if runs:
-                    of, hashes = row_key(doc_id, text), stretches(words, passage)
-                    rows += [(of, doc_id, int(run[0]), len(run), hashes[run[0] : run[-1] + 1].tobytes()) for run in runs]
-                    if len(rows) >= CHUNK // RUN:
-                        yield finish()
-                        rows = []
-        if rows:
-            yield finish()
-
-    return keep(docs.mapInArrow(scan, "_of long, doc_id long, at int, n int, windows binary"), "paragraph-windows")
-
-
 def _joined(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The intervals in order, those that touch as one."""
     out: list[tuple[int, int]] = []
@@ -435,19 +516,20 @@ def _arrays(of: list, type_: str) -> pa.RecordBatch:
 STRETCHES = "doc_id long, paragraph int, start int, end int, words int, first_doc_id long, removed boolean"
 
 
-def equal_stretches(docs: DataFrame, listed: DataFrame, passage: int) -> DataFrame:
+def equal_stretches(docs: DataFrame, windows: DataFrame, listed: DataFrame, near: DataFrame, passage: int) -> DataFrame:
     """``STRETCHES`` of all runs of ``passage`` or more words that are equal in documents of
-    different doc_ids, as far as the words ``low`` to ``high`` of ``listed`` (_of, low, high) leave them.
+    different doc_ids, and of the spans ``near`` (_of, first_doc_id, low, high) that have an altered copy in
+    another document, as far as the words ``low`` to ``high`` of ``listed`` (_of, low, high) leave them.
 
     Words of runs whose first document is this one are kept, the others are ``removed``.
     Stretches that listed words cover are looked up for others, but not themselves, so the join
     has those only that the paragraphs miss.
     """
-    docs = docs.select("doc_id", "text")
-    windows = _windows(docs, passage)
+    docs = docs.select("_of", "doc_id", "text")
     taken = listed.groupBy("_of").agg(F.collect_set(F.struct("low", "high")).alias("taken"))
     spread = windows.select("_of", "at", "n").distinct().groupBy("_of").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    spread = keep(spread.join(keep(taken, "paragraph-taken"), "_of", "left"), "paragraph-spread")
+    taken = keep(taken, "paragraph-taken")
+    spread = keep(spread.join(taken, "_of", "left"), "paragraph-spread")
 
     def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -461,12 +543,6 @@ def equal_stretches(docs: DataFrame, listed: DataFrame, passage: int) -> DataFra
             yield _arrays(rows, "_of long, low int, high int")
 
     open_runs = keep(spread.mapInArrow(uncovered, "_of long, low int, high int"), "paragraph-open")
-    rows_table = _table(open_runs, "_of")
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(rows_table.value).view(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(wanted[_bits(batch["_of"].to_numpy())]))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,19 +553,18 @@ def equal_stretches(docs: DataFrame, listed: DataFrame, passage: int) -> DataFra
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["_of", "at", "window"])
 
-    mine = windows.select("_of", "at", "n", "windows").mapInArrow(only, "_of long, at int, n int, windows binary")
+    mine = _only(windows.select("_of", "at", "n", "windows"), _table(open_runs, "_of"))
     mine = mine.dropDuplicates(["_of", "at"]).join(open_runs, "_of").filter("low >= at AND high <= at + n")
     asked = keep(mine.mapInArrow(ask, "_of long, at int, window long"), "paragraph-asked")
     asked_table = _table(asked, "window")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(asked_table.value).view(bool)
         for batch in batches:
             hashes = [np.frombuffer(data.as_buffer(), np.int64) for data in batch["windows"]]
             if hashes:
                 ids = np.repeat(batch["doc_id"].to_numpy(), [len(of) for of in hashes])
                 every = np.concatenate(hashes)
-                found = wanted[_bits(every)]
+                found = _in(asked_table, every)
                 yield pa.RecordBatch.from_arrays([pa.array(every[found]), pa.array(ids[found])], names=["window", "doc_id"])
 
     answers = windows.select("doc_id", "windows").mapInArrow(answer, "window long, doc_id long")
@@ -509,17 +584,20 @@ def equal_stretches(docs: DataFrame, listed: DataFrame, passage: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_of", "first_doc_id", "low", "high"])
 
     pieces = found.repartition("_of").sortWithinPartitions("_of", "at").mapInArrow(merge, "_of long, first_doc_id long, low int, high int")
-    pieces = pieces.groupBy("_of").agg(F.collect_list(F.struct("first_doc_id", "low", "high")).alias("found"))
-    pieces = keep(pieces.join(spread.select("_of", "taken"), "_of"), "paragraph-pieces")
-    text_table = _table(pieces, "_of")
+    pieces = pieces.unionByName(near)
+    pieces = keep(pieces.groupBy("_of").agg(F.collect_list(F.struct("first_doc_id", "low", "high")).alias("found")), "paragraph-found")
+    pieces = pieces.join(taken, "_of", "left")
+    columns = pieces.schema
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(text_table.value).view(bool)
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = [row_key(doc_id, text.as_py()) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])]
-            of = pa.array(of, pa.int64())
-            batch = pa.RecordBatch.from_arrays([of, batch["doc_id"], batch["text"]], names=["_of", "doc_id", "text"])
-            yield batch.filter(pa.array(wanted[_bits(of.to_numpy())]))
+            open_ = []
+            for found, taken in zip(batch["found"].to_pylist(), batch["taken"].to_pylist()):
+                used = _joined([tuple(t.values()) for t in taken or []])
+                open_.append(bool(_without(_joined([(p["low"], p["high"]) for p in found]), used)))
+            yield batch.filter(pa.array(open_, pa.bool_()))
+
+    pieces = keep(pieces.mapInArrow(left, columns), "paragraph-pieces")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -539,7 +617,7 @@ def equal_stretches(docs: DataFrame, listed: DataFrame, passage: int) -> DataFra
                     used = _joined(used + by_first[first])
             yield _arrays(rows, STRETCHES)
 
-    found = keep(docs.mapInArrow(texts, "_of long, doc_id long, text string"), "paragraph-stretch-texts")
+    found = keep(_only(docs, _table(pieces, "_of")), "paragraph-stretch-texts")
     return found.join(pieces, "_of").select("doc_id", "text", "found", "taken").mapInArrow(finish, STRETCHES)
 
 
@@ -555,7 +633,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     Every run of ``passage`` words that is equal, apart from case and white space, in documents of
     different doc_ids is listed too, wherever in their lines it starts and ends: what no listed
-    paragraph covers is a row of its own, whose ``paragraph`` is the line that it starts in. Such a
+    paragraph covers is a row of its own, whose ``paragraph`` is the line that it starts in. So are spans
+    of 1 to 1.5 times ``passage`` words between two anchors that have a near copy in another document. Such a
     row is ``removed`` if the run is in a document of a smaller doc_id; rows first seen in the same
     document share a component, whose number is negative.
 
@@ -564,23 +643,32 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     repeat only as equal ones. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    lines = keep(_lines(docs.withColumn("_row", F.monotonically_increasing_id())), "paragraph-lines")
-    classed = keep(classes(docs, lines), "paragraph-classes")
-    of_text = lines.groupBy("text_id").agg(
+    # Equal rows share a name.
+    docs = docs.withColumn("_of", F.xxhash64("doc_id", "text"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    every = keep(_units(rows, _shared(docs, passage), passage), "paragraph-units")
+    units, lines, spanned = (every.filter(F.col("kind").isin(*kinds)) for kinds in ((LINE, SPAN), (LINE,), (SPAN,)))
+    classed = keep(classes(docs, units), "paragraph-classes")
+    of_text = units.groupBy("text_id").agg(
         F.min(F.struct("doc_id", "paragraph", "_row")).alias("_first"), F.max("doc_id").alias("_last")
     )
     of_text = keep(of_text, "paragraph-seen")
     joined = keep(classed.join(of_text, "text_id"), "paragraph-joined")
-    repeated = joined.groupBy("component").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    repeated = joined.groupBy("component").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.count(F.lit(1)).alias("_texts"))
     repeated = keep(repeated.filter("_first.doc_id < _last"), "paragraph-repeated")
-    named = keep(joined.select("text_id", "component").join(repeated.select("component", "_first"), "component"), "paragraph-named")
+    named = keep(joined.select("text_id", "component").join(repeated.select("component", "_first", "_texts"), "component"), "paragraph-named")
     place = ["_row", "doc_id", "_of", "paragraph", "start", "end", "at", "words"]
-    marked = keep(lines.select(*place, "text_id").join(named, "text_id").drop("text_id"), "paragraph-marked")
+    marked = keep(lines.select(*place, "text_id").join(named, "text_id").drop("text_id", "_texts"), "paragraph-marked")
+    # Spans that are equal only are among the equal stretches.
+    altered = named.filter("_texts > 1").select("text_id", F.col("_first.doc_id").alias("first_doc_id"))
+    near = spanned.select("_of", F.col("at").alias("low"), (F.col("at") + F.col("words")).alias("high"), "text_id")
+    near = keep(near.join(altered, "text_id").select("_of", "first_doc_id", "low", "high").distinct(), "paragraph-near")
+    windows = every.filter(F.col("kind") == RUNS).select("_of", "doc_id", "at", F.col("words").alias("n"), "windows")
     island = F.col("paragraph") - F.row_number().over(Window.partitionBy("_row").orderBy("paragraph"))
     total = F.sum("words").over(Window.partitionBy("_row", "_island"))
     runs = marked.withColumn("_island", island).withColumn("_total", total).filter(F.col("_total") >= passage)
     runs = keep(runs.drop("_island", "_total"), "paragraph-runs")
-    others = equal_stretches(docs, runs.selectExpr("_of", "at AS low", "at + words AS high"), passage)
+    others = equal_stretches(docs, windows, runs.selectExpr("_of", "at AS low", "at + words AS high"), near, passage)
     other = F.xxhash64("first_doc_id").bitwiseOR(F.lit(-(1 << 63)).cast("long"))
     others = others.select("doc_id", "paragraph", "start", "end", "words", other.alias("component_id"), "first_doc_id", "removed")
     first = F.struct("doc_id", "paragraph", "_row")
