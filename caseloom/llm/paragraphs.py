@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.components import components
-from caseloom.llm.tables import keep
+from caseloom.llm.tables import keep, release
 
 #: Words per shingle, and the Jaccard similarity from which paragraphs are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -156,7 +156,10 @@ def _shared(docs: DataFrame, passage: int):
 
     marked = docs.select("doc_id", "text").mapInArrow(mark, "anchor long, doc_id long")
     seen = marked.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
-    return _table(keep(seen.filter("_low < _high").select("anchor"), "paragraph-shared"), "anchor")
+    shared = keep(seen.filter("_low < _high").select("anchor"), "paragraph-shared")
+    table = _table(shared, "anchor")
+    release(shared)
+    return table
 
 
 def spans(hashes: np.ndarray, wanted: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,7 +286,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     marks = ", ".join(f"{name} long" for name in SKETCHED[1:])
     joined = texts.join(places, "_of").select("text", "units")
-    return keep(joined.mapInArrow(cut, f"node long, size int, {marks}, set array<bigint>"), "paragraph-sets")
+    sets = keep(joined.mapInArrow(cut, f"node long, size int, {marks}, set array<bigint>"), "paragraph-sets")
+    release(places)
+    return sets
 
 
 def _may_be_alike(one: str, two: str):
@@ -314,7 +319,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("_one"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("_two"))
     half = keep(pairs.join(left, "a"), "paragraph-half")
-    return keep(half.join(right, (half["b"] == right["b"]) & _alike("_one", "_two")).select("a", half["b"]), "paragraph-links")
+    links = keep(half.join(right, (half["b"] == right["b"]) & _alike("_one", "_two")).select("a", half["b"]), "paragraph-links")
+    release(half)
+    return links
 
 
 def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
@@ -338,12 +345,16 @@ def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
     )
     keyed = keyed.select("node", "band", F.xxhash64("band", "key").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
-    members = keep(keyed.join(keep(sizes, "paragraph-buckets"), "key"), "paragraph-members")
-    central = members.groupBy("node").agg(F.sum("_size").alias("_company"))
+    sizes = keep(sizes, "paragraph-buckets")
+    together = keep(keyed.join(sizes, "key"), "paragraph-members")
+    release(sizes)
+    central = together.groupBy("node").agg(F.sum("_size").alias("_company"))
     central = keep(central, "paragraph-central")
     sets = _sets(docs, central.join(nodes.select("node", "place"), "node").select("node", "place"))
     known = sets.select("node", F.struct(*SKETCHED).alias("mark")).join(central, "node")
-    members = keep(members.select("key", "band", "node").join(keep(known, "paragraph-known"), "node"), "paragraph-company")
+    known = keep(known, "paragraph-known")
+    members = keep(together.select("key", "band", "node").join(known, "node"), "paragraph-company")
+    release(together, known, central)
 
     found, homes = None, None
     for attempt in range(ROUNDS + 1):
@@ -351,6 +362,7 @@ def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
         if homes is not None:
             placed = members.join(homes, "node", "left").withColumn("home", F.coalesce("root", "node")).drop("root")
         placed = keep(placed, "paragraph-placed")
+        used = [placed]
         # The first to be compared with has the most company in its buckets, as an original among
         # its altered copies has; the others are picked by hash.
         turn = -F.col("_company") if attempt == 0 else F.xxhash64("node", F.lit(attempt))
@@ -360,6 +372,7 @@ def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
             F.min(F.struct(turn.alias("turn"), "node", "home", "mark")).alias("_head"), F.count(F.lit(1)).alias("_size"),
         )
         split = keep(span.filter("_low < _high"), "paragraph-split")
+        used.append(split)
         if attempt < ROUNDS:
             other = placed.join(split, "key").filter((F.col("home") != F.col("_head.home")) & _may_be_alike("mark", "_head.mark"))
             pairs = other.select(F.least("node", "_head.node").alias("a"), F.greatest("node", "_head.node").alias("b"))
@@ -367,7 +380,9 @@ def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
             slices = F.ceil(F.col("_size") / SLICE).cast("int")
             apart = placed.join(split.select("key", slices.alias("_slices")), "key")
             apart = keep(apart.select("key", "band", "node", "home", "mark", "_slices"), "paragraph-apart")
+            used.append(apart)
             apart = keep(apart.join(nodes.select("node", "bands"), "node"), "paragraph-apart-bands")
+            used.append(apart)
             here = apart.select(
                 "key", F.pmod(F.xxhash64("node"), "_slices").cast("int").alias("_slice"), "band",
                 F.col("node").alias("a"), F.col("home").alias("_home_a"), F.col("mark").alias("_one"), F.col("bands").alias("_bands_a"),
@@ -382,11 +397,14 @@ def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
             met = met & (_first_common("_bands_a", "_bands_b") == F.col("band"))
             pairs = here.join(twin, met).select("a", "b")
         pairs = keep(pairs.distinct(), "paragraph-pairs")
+        release(*used)
         if pairs.isEmpty():
             continue
         links = _verified(pairs, sets)
+        release(pairs)
         found = links if found is None else keep(found.unionByName(links), "paragraph-all")
         homes = components(found, "paragraph-components")
+    release(members, sets)
     if homes is None:
         return nodes.select("text_id", F.col("node").alias("component"))
     return nodes.join(homes, "node", "left").select("text_id", F.coalesce("root", "node").alias("component"))
@@ -543,6 +561,7 @@ def equal_stretches(docs: DataFrame, windows: DataFrame, listed: DataFrame, near
             yield _arrays(rows, "_of long, low int, high int")
 
     open_runs = keep(spread.mapInArrow(uncovered, "_of long, low int, high int"), "paragraph-open")
+    release(spread)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -557,6 +576,7 @@ def equal_stretches(docs: DataFrame, windows: DataFrame, listed: DataFrame, near
     mine = mine.dropDuplicates(["_of", "at"]).join(open_runs, "_of").filter("low >= at AND high <= at + n")
     asked = keep(mine.mapInArrow(ask, "_of long, at int, window long"), "paragraph-asked")
     asked_table = _table(asked, "window")
+    release(open_runs)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -585,8 +605,9 @@ def equal_stretches(docs: DataFrame, windows: DataFrame, listed: DataFrame, near
 
     pieces = found.repartition("_of").sortWithinPartitions("_of", "at").mapInArrow(merge, "_of long, first_doc_id long, low int, high int")
     pieces = pieces.unionByName(near)
-    pieces = keep(pieces.groupBy("_of").agg(F.collect_list(F.struct("first_doc_id", "low", "high")).alias("found")), "paragraph-found")
-    pieces = pieces.join(taken, "_of", "left")
+    gathered = keep(pieces.groupBy("_of").agg(F.collect_list(F.struct("first_doc_id", "low", "high")).alias("found")), "paragraph-found")
+    release(asked, firsts)
+    pieces = gathered.join(taken, "_of", "left")
     columns = pieces.schema
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,6 +619,7 @@ def equal_stretches(docs: DataFrame, windows: DataFrame, listed: DataFrame, near
             yield batch.filter(pa.array(open_, pa.bool_()))
 
     pieces = keep(pieces.mapInArrow(left, columns), "paragraph-pieces")
+    release(gathered, taken)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -654,21 +676,26 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     )
     of_text = keep(of_text, "paragraph-seen")
     joined = keep(classed.join(of_text, "text_id"), "paragraph-joined")
+    release(classed, of_text)
     repeated = joined.groupBy("component").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.count(F.lit(1)).alias("_texts"))
     repeated = keep(repeated.filter("_first.doc_id < _last"), "paragraph-repeated")
     named = keep(joined.select("text_id", "component").join(repeated.select("component", "_first", "_texts"), "component"), "paragraph-named")
+    release(joined, repeated)
     place = ["_row", "doc_id", "_of", "paragraph", "start", "end", "at", "words"]
     marked = keep(lines.select(*place, "text_id").join(named, "text_id").drop("text_id", "_texts"), "paragraph-marked")
     # Spans that are equal only are among the equal stretches.
     altered = named.filter("_texts > 1").select("text_id", F.col("_first.doc_id").alias("first_doc_id"))
     near = spanned.select("_of", F.col("at").alias("low"), (F.col("at") + F.col("words")).alias("high"), "text_id")
     near = keep(near.join(altered, "text_id").select("_of", "first_doc_id", "low", "high").distinct(), "paragraph-near")
+    release(named)
     windows = every.filter(F.col("kind") == RUNS).select("_of", "doc_id", "at", F.col("words").alias("n"), "windows")
     island = F.col("paragraph") - F.row_number().over(Window.partitionBy("_row").orderBy("paragraph"))
     total = F.sum("words").over(Window.partitionBy("_row", "_island"))
     runs = marked.withColumn("_island", island).withColumn("_total", total).filter(F.col("_total") >= passage)
     runs = keep(runs.drop("_island", "_total"), "paragraph-runs")
+    release(marked)
     others = equal_stretches(docs, windows, runs.selectExpr("_of", "at AS low", "at + words AS high"), near, passage)
+    release(every, near)
     other = F.xxhash64("first_doc_id").bitwiseOR(F.lit(-(1 << 63)).cast("long"))
     others = others.select("doc_id", "paragraph", "start", "end", "words", other.alias("component_id"), "first_doc_id", "removed")
     first = F.struct("doc_id", "paragraph", "_row")

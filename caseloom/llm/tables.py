@@ -26,7 +26,21 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``keep`` from the scratch folder.
+
+    Only for tables that nothing reads any more: what was made of them has been written itself, so
+    a lost executor never asks for them again.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def digits_for(rows: int) -> int:
