@@ -1,9 +1,11 @@
 """Points inside intervals, by key.
 
 Joining points with intervals on the key alone pairs every point of a key with every
-interval of it. Here time is a grid of cells. An interval covers few cells, because long
-stretches use coarse ones; per cell only the earliest and the latest interval matter, an
-aggregate Spark starts before the shuffle. A point then meets at most one row per level.
+interval of it. Here time is cut into buckets. Of the intervals that start on one day the longest
+stands for all; intervals are cut at the ends of the buckets, and of pieces that cover the same stretch only the
+earliest start and the latest interval matter. So a key has at most 2 * ``BUCKET`` pieces and
+``BUCKET`` points that differ in a bucket, however many rows it has, and only these meet. Rows are
+shuffled once per piece, hot keys are aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.skew import MAX_GROUP_ROWS, spread_join
 
-# Cells per coarser cell as a power of two, and number of levels: half days, 4 days, 32 days, 256 days.
-FAN_OUT_BITS = 3
-LEVELS = 4
+# Half days of a bucket, as a power of two.
+BUCKET_BITS = 8
+BUCKET = 2**BUCKET_BITS
 
 # Every date of a calendar of 9999 years fits into these.
 _SHIFT, _SPAN = 2**23, 2**24
@@ -39,31 +41,8 @@ def _packed_end(packed: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), (packed % _SPAN - _SHIFT).cast("int"))
 
 
-def _coded(cell: Column, level: int) -> Column:
-    return cell * LEVELS + level
-
-
-def _run(level: int, lo: Column, hi: Column) -> Column:
-    cells = F.sequence(_coded(lo, level), _coded(hi, level), F.lit(LEVELS).cast("bigint"))
-    return F.when(lo <= hi, cells).otherwise(F.array().cast("array<bigint>"))
-
-
-def _whole_cells(level: int) -> tuple[Column, Column]:
-    """First and last cell of a level that lies within ``_lo``..``_hi``."""
-    bits = FAN_OUT_BITS * level
-    return F.shiftright(F.col("_lo") + (2**bits - 1), bits), F.shiftright(F.col("_hi") + 1, bits) - 1
-
-
-def _cover() -> Column:
-    """Disjoint cells of all levels that make up ``_lo``..``_hi``."""
-    runs = [_run(LEVELS - 1, *_whole_cells(LEVELS - 1))]
-    for level in range(LEVELS - 1):
-        lo, hi = _whole_cells(level)
-        first, last = _whole_cells(level + 1)
-        # Cells before and after those that a coarser level covers.
-        runs.append(_run(level, lo, F.least(hi, F.shiftleft(first, FAN_OUT_BITS) - 1)))
-        runs.append(_run(level, F.shiftleft(F.greatest(first, last + 1), FAN_OUT_BITS), hi))
-    return F.concat(*runs)
+def _bucket(half_day: Column) -> Column:
+    return F.shiftright(half_day, BUCKET_BITS)
 
 
 def point_in_interval(
@@ -87,14 +66,18 @@ def point_in_interval(
     spans = (
         intervals.select(F.col(key).alias("_key"), F.col(start).cast("date").alias("_s"), F.col(end).cast("date").alias("_e"))
         .filter(F.col("_key").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull())
-        # Both bounds are exclusive.
-        .withColumn("_lo", _half_day(F.col("_s")) + F.lit(2 * start_shift_days + 1))
-        .withColumn("_hi", _half_day(F.col("_e")) - 1)
-        .filter("_lo <= _hi")
+        .groupBy("_key", "_s")
+        .agg(F.max("_e").alias("_e"))
     )
-    covered = (
-        spans.select("_key", "_s", "_e", F.explode(_cover()).alias("_cell"))
-        .groupBy("_key", "_cell")
+    # Both bounds are exclusive.
+    lo, hi = _half_day(F.col("_s")) + F.lit(2 * start_shift_days + 1), _half_day(F.col("_e")) - 1
+    first = F.shiftleft("_bucket", BUCKET_BITS)
+    pieces = (
+        spans.filter(lo <= hi)
+        .select("_key", "_s", "_e", F.explode(F.sequence(_bucket(lo), _bucket(hi))).alias("_bucket"))
+        .repartition("_key", "_bucket")
+        .withColumns({"_lo": F.greatest(lo, first), "_hi": F.least(hi, first + (BUCKET - 1))})
+        .groupBy("_key", "_bucket", "_lo", "_hi")
         .agg(F.min("_s").alias("_s"), F.max(_pack(F.col("_s"), F.col("_e"))).alias("_top"))
     )
 
@@ -103,17 +86,16 @@ def point_in_interval(
     point = _half_day(moment) + F.when(moment > midnight, 1).otherwise(0)
     placed = points.withColumns({"_key": F.col(key), "_point": point})
     base = points if sizes_from is None else sizes_from
-    cells = F.array(
-        *[_coded(F.shiftright("_point", FAN_OUT_BITS * level), level) for level in range(LEVELS)]
-    )
     found = (
         placed.filter(F.col(key).isNotNull() & F.col("_point").isNotNull())
-        .select(F.col(key).alias("_key"), "_point")
+        .select(F.col(key).alias("_key"), _bucket(F.col("_point")).alias("_bucket"), "_point")
         .distinct()
-        .select("_key", "_point", F.explode(cells).alias("_cell"))
-        .join(covered, ["_key", "_cell"])
-        .groupBy("_key", "_point")
+        .repartition("_key", "_bucket")
+        .join(pieces, ["_key", "_bucket"])
+        .filter(F.col("_point").between(F.col("_lo"), F.col("_hi")))
+        .groupBy("_key", "_bucket", "_point")
         .agg(F.min("_s").alias("_s"), F.max("_top").alias("_top"))
+        .select("_key", "_point", "_s", "_top")
     )
     placed_keys = base.select(F.col(key).alias("_key"), point.alias("_point"))
     joined = spread_join(placed, found, ["_key", "_point"], "left", max_group_rows, placed_keys)
