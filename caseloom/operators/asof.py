@@ -46,7 +46,8 @@ def asof_join(
     if clash:
         raise ValueError(f"columns in both tables: {sorted(clash)}")
 
-    ties = [f"_tie{i}" for i in range(len(right_order))]
+    # Columns of the key are the same in a whole group; the others lie in the match, so they are not sent twice.
+    ties = [f"_match.`{o}`" for o in right_order if o not in by]
     match_type = right.select(F.struct(*added).alias("m")).schema["m"].dataType
     here_type = left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType
     # At one time, the scan has to meet right rows before left rows.
@@ -54,7 +55,6 @@ def asof_join(
         *by,
         F.col(left_time).cast("timestamp_ntz").alias("_at"),
         F.lit(0 if forward else 1).alias("_side"),
-        *[F.lit(None).cast(right.schema[o].dataType).alias(t) for o, t in zip(right_order, ties)],
         F.struct(*left.columns).alias("_here"),
         F.lit(None).cast(match_type).alias("_match"),
     )
@@ -62,7 +62,6 @@ def asof_join(
         *by,
         F.col(right_time).cast("timestamp_ntz").alias("_at"),
         F.lit(1 if forward else 0).alias("_side"),
-        *[F.col(o).alias(t) for o, t in zip(right_order, ties)],
         F.lit(None).cast(here_type).alias("_here"),
         F.struct(*added).alias("_match"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.operators.skew import MAX_GROUP_ROWS, NULL_PARTS, hot_keys
+from caseloom.operators.skew import MAX_GROUP_ROWS, NULL_PARTS, Sizes, hot_keys
 
 SAMPLES_PER_SLICE = 200
 BLOCK = 32
@@ -40,7 +40,7 @@ def _position_type(df: DataFrame, order: Sequence[str]) -> T.StructType:
     fields = []
     for i, name in enumerate(order):
         fields.append(T.StructField(f"n{i}", T.BooleanType()))
-        fields.append(T.StructField(f"v{i}", df.schema[name].dataType))
+        fields.append(T.StructField(f"v{i}", df.select(F.col(name)).schema[0].dataType))
     return T.StructType(fields)
 
 
@@ -95,7 +95,7 @@ class OrderedGroups:
         order: Sequence[str],
         descending: bool = False,
         max_group_rows: int = MAX_GROUP_ROWS,
-        sizes_from: DataFrame | None = None,
+        sizes_from: DataFrame | Sizes | None = None,
     ):
         self.keys, self.order, self.descending = list(keys), list(order), descending
         self.columns = list(df.columns)

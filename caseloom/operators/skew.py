@@ -13,7 +13,8 @@ how the work is split, never the result, so an estimate will do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +27,35 @@ NULL_PARTS = 4096
 SAMPLED_ROWS = 1_000
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame | None, int]:
+@dataclass(frozen=True)
+class Sizes:
+    """Where the sizes of groups come from if the rows are costly to derive.
+
+    ``rows`` has about as many rows and is cheap to count; ``sample`` gives the key columns of
+    about a share of them, drawn before the costly steps.
+    """
+
+    rows: DataFrame
+    sample: Callable[[float], DataFrame]
+
+
+def hot_keys(rows: DataFrame | Sizes, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame | None, int]:
     """Keys with too many rows, each with the number of parts it makes, and the limit.
 
     Nothing if no group is too large. A hot group without a key counts but is not listed.
     """
-    total = rows.count()
+    table = rows.rows if isinstance(rows, Sizes) else rows
+    total = table.count()
     limit = max(max_group_rows, -(-total // MAX_SLICES))
     if total <= limit:
         return None, limit
     share = min(1.0, SAMPLED_ROWS / limit)
-    seen = rows.select(*keys)
-    if share < 1.0:
-        seen = seen.sample(share, seed=17)
+    if isinstance(rows, Sizes):
+        seen = rows.sample(share).select(*keys)
+    else:
+        seen = rows.select(*keys)
+        if share < 1.0:
+            seen = seen.sample(share, seed=17)
     sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.filter(F.col("_rows") > limit * share).select(
         *keys, F.ceil(F.col("_rows") / F.lit(limit * share)).cast("int").alias("_parts")
@@ -47,7 +64,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple
     if not found:
         return None, limit
     known = [row for row in found if all(value is not None for value in row)]
-    return rows.sparkSession.createDataFrame(known, hot.schema), limit
+    return table.sparkSession.createDataFrame(known, hot.schema), limit
 
 
 def _hashable(df: DataFrame) -> list[str]:

@@ -35,7 +35,7 @@ from caseloom.operators.joins import anti, fallback_join, flag_exists
 from caseloom.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
 from caseloom.operators.quantiles import count_quantile
 from caseloom.operators.rows import reorder
-from caseloom.operators.skew import spread_join
+from caseloom.operators.skew import Sizes, spread_join
 from caseloom.plans.names import CALL_ORDER, FLAGS, REASONS, SERVICES, Calls, Repairs
 
 CALLS, REPAIRS = Calls(), Repairs()
@@ -135,23 +135,29 @@ def build_stays(
     line_order: Sequence[str] | None = None,
     gap_days: int = STAY_GAP_DAYS,
     max_group_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | Sizes | None = None,
+    opens: str | None = None,
 ) -> DataFrame:
     """Repair lines with their end, length in days and stay.
 
     Of lines with the same id the first in ``line_order`` counts; lines without an end are
-    dropped.
+    dropped. ``sizes_from`` may name something cheaper than ``lines`` to learn the sizes of entities from.
+    ``opens`` names a boolean column to add: is this the first line of its stay?
     """
     unique = first_per_key(lines, [repairs.line], list(line_order or [repairs.start, *repairs.tie]))
     joined = unique.join(ends.select(repairs.line, repairs.end), repairs.line)
-    joined = joined.withColumn(repairs.days, F.datediff(as_column(repairs.end), as_column(repairs.start)))
     order = [repairs.start, *repairs.tie]
-    scan = OrderedGroups(joined, [repairs.entity], order, max_group_rows=max_group_rows, sizes_from=lines)
+    sizes = lines if sizes_from is None else sizes_from
+    scan = OrderedGroups(joined, [repairs.entity], order, max_group_rows=max_group_rows, sizes_from=sizes)
     scan = scan.previous(_before=repairs.start, _same=repairs.stay_number)
     goes_on = holds(as_column(repairs.stay_number) == F.col("_same")) | holds(
         floor_days("_before", repairs.start) <= gap_days
     )
     scan = scan.running_sum("_number", (~goes_on).cast("bigint"))
-    scan = scan.with_columns(**{repairs.stay_id: numbered_id(repairs.entity, "_number")})
+    if opens is not None:
+        scan = scan.with_columns(**{opens: ~goes_on})
+    days = F.datediff(as_column(repairs.end), as_column(repairs.start))
+    scan = scan.with_columns(**{repairs.days: days, repairs.stay_id: numbered_id(repairs.entity, "_number")})
     return scan.result().drop("_before", "_same", "_number")
 
 
@@ -163,13 +169,15 @@ def link_cases(
     tow_tolerance: int = TOW_TOLERANCE,
     call_tolerance: int = CALL_TOLERANCE,
     max_group_rows: int = MAX_GROUP_ROWS,
+    opens: str | None = None,
 ) -> DataFrame:
     """All calls, each with the first line of the stay it led to, if any.
 
     Tows look for the next stay of their entity up to ``tow_tolerance`` days ahead. A case
     without a tow looks up to ``call_tolerance`` days ahead from its last call. Other calls
     stay unlinked. ``link_part`` says which of these a call is, ``link_days`` how far ahead
-    the next stay starts, whatever the tolerance. ``df`` comes from :func:`add_cases`.
+    the next stay starts, whatever the tolerance. ``df`` comes from :func:`add_cases`. ``opens`` is
+    the column of :func:`build_stays` that marks first lines, if the stays have it; else they are looked for.
     """
     # Seen backwards, a call closes its case if the case of the call after it is another one.
     # A tow ends its case, so a case contains a tow exactly if its closing call is one.
@@ -187,9 +195,11 @@ def link_cases(
     placed = placed.withColumn("link_part", part).withColumn("_day", F.to_date(as_column(calls.at)).cast("timestamp_ntz"))
     placed = placed.drop("_next_case", "_closed_by_tow")
 
-    first_lines = first_per_key(
-        stays.filter(F.col(repairs.stay_id).isNotNull()), [repairs.stay_id], [repairs.start, *repairs.tie]
-    )
+    known = stays.filter(F.col(repairs.stay_id).isNotNull())
+    if opens is None:
+        first_lines = first_per_key(known, [repairs.stay_id], [repairs.start, *repairs.tie])
+    else:
+        first_lines = known.filter(F.col(opens)).drop(opens)
     # A line may share names with the call, apart from the entity.
     right = first_lines.select(
         as_column(repairs.entity).alias(calls.entity),
@@ -370,6 +380,7 @@ def flag_stays(
     Case and stay ids are both an entity with a running number; the first flag compares
     them as they are, the second goes through the bridge.
     """
-    flagged = flag_exists(stays, unlinked, repairs.stay_id, "Unmerged_Towing_STowing_SUS", calls.case_id)
-    flagged = flag_exists(flagged, bridge, repairs.stay_id, "_linked")
+    flagged = flag_exists(stays, unlinked, repairs.stay_id, "Unmerged_Towing_STowing_SUS", calls.case_id, sizes_from=stays)
+    # The second join reads the sizes of its groups from the table, not from the join before it.
+    flagged = flag_exists(flagged, bridge, repairs.stay_id, "_linked", sizes_from=stays)
     return flagged.withColumn("Without_Case", ~F.col("_linked")).drop("_linked")

@@ -26,14 +26,14 @@ YEARS = ("2021", "2022", "2023")
 
 
 class Folder:
-    """Tables below one path."""
+    """Tables below one path, in the session's compression or the given one."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compression: str | None = None):
+        self.spark, self.path, self.compression = spark, path.rstrip("/"), compression
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """Write a table and return it as read back."""
-        write_table(df, f"{self.path}/{name}")
+        write_table(df, f"{self.path}/{name}", compression=self.compression)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

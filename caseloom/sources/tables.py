@@ -86,11 +86,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return df if schema is None else conform(df, schema)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), compression: str | None = None
+) -> str:
     """Write a table, replacing what is there, and return its path."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", "true").option("escape", '"')
+    if compression is not None:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -6,6 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators.intervals import point_in_interval
+from caseloom.operators.skew import Sizes, hot_keys
+from catalog import caseload
+from catalog.tables import repair_lines, repair_sizes
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def shuffled_records(df):
@@ -27,6 +32,10 @@ def shuffled_records(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.fixture
 def spans(spark):
     day = F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") * 37 % 700).cast("int"))
@@ -65,3 +74,28 @@ def test_pieces_of_long_and_nested_intervals(spark, start):
         hits = [(s, e) for _, s, e in spans if midnight(s) + day < row["at"] < midnight(e)]
         wanted = (min(hits)[0], max(hits)[1], True) if hits else (None, None, False)
         assert (row["s"], row["e"], row["inside"]) == wanted, row
+
+
+def test_sizes_come_from_a_sample_drawn_before_the_costly_steps(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"))
+    shares = []
+
+    def sample(share):
+        shares.append(share)
+        return rows.sample(share, seed=17)
+
+    found, limit = hot_keys(Sizes(rows, sample), ["k"], 5_000)
+    assert limit == 5_000 and shares == [0.2]
+    assert [r["k"] for r in found.collect()] == [7]
+
+
+def test_ends_of_repairs_need_no_join(spark):
+    lines, ends = repair_lines(spark, SMALL)
+    assert "Join" in plan_of(lines) and "Join" not in plan_of(ends)
+    assert ends.join(lines, "line_id").count() == lines.count()
+
+
+def test_stays_are_made_once(spark, monkeypatch):
+    assert "Join" in plan_of(repair_sizes(spark, SMALL).sample(0.5))
+    for linked in (caseload._linked(spark, SMALL), caseload._links(spark, SMALL)[1]):
+        assert "l_quantity" not in plan_of(linked)
