@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import decontaminate, language, mixing, packing, simhash
-from caseloom.llm.tables import keep, read
+from caseloom.llm.tables import keep, read, release
 
 #: Probability of its language from which a document stays.
 MIN_SCORE = 0.5
@@ -53,7 +53,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "row")
     first = found.join(keep(ids, "pipeline-ids"), "row").groupBy("component").agg(F.min(place).alias("first"))
     first = keep(first.select("first.row"), "pipeline-first")
-    return rows.join(first, "row", "left_semi").select("doc.*")
+    # By shuffle at every size: a broadcast would grow with the documents.
+    return rows.join(first.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,5 +91,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each written as Parquet and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(docs, "_scratch"):
+            # What the stage before wrote has been read for the last time.
+            release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -94,3 +94,19 @@ def test_near_duplicates_tell_nulls_apart(spark):
     assert [tuple(r) for r in left] == [(7, text, None, None)]
     left = corpus_pipeline.decontamination_stage(spark, docs, FOLDER).collect()
     assert sorted(map(str, left)) == sorted(map(str, docs.collect()))
+
+
+def test_rows_that_stay_are_found_by_shuffle_at_every_size(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stayed = corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER)
+    plan = stayed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [row" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_tables_of_earlier_stages_are_removed(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(corpus_pipeline, "release", lambda *tables: gone.extend(t._scratch for t in tables))
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    assert [name for path in gone for name, _ in corpus_pipeline.STAGES if f"/pipeline-{name}-" in path] == [
+        "language", "near_duplicates", "decontamination"
+    ]
