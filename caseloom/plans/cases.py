@@ -137,15 +137,18 @@ def build_stays(
     max_group_rows: int = MAX_GROUP_ROWS,
     sizes_from: DataFrame | Sizes | None = None,
     opens: str | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Repair lines with their end, length in days and stay.
 
     Of lines with the same id the first in ``line_order`` counts; lines without an end are
     dropped. ``sizes_from`` may name something cheaper than ``lines`` to learn the sizes of entities from.
     ``opens`` names a boolean column to add: is this the first line of its stay?
+    ``within`` names columns of both tables that a line's id determines and that are never missing; tables dealt by them are not shuffled by id.
     """
-    unique = first_per_key(lines, [repairs.line], list(line_order or [repairs.start, *repairs.tie]))
-    joined = unique.join(ends.select(repairs.line, repairs.end), repairs.line)
+    keys = [*within, repairs.line]
+    unique = first_per_key(lines, keys, list(line_order or [repairs.start, *repairs.tie]))
+    joined = unique.join(ends.select(*keys, repairs.end), keys)
     order = [repairs.start, *repairs.tie]
     sizes = lines if sizes_from is None else sizes_from
     scan = OrderedGroups(joined, [repairs.entity], order, max_group_rows=max_group_rows, sizes_from=sizes)

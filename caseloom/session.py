@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +39,21 @@ def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     return spark
 
 
+@contextmanager
+def joined_where_dealt(spark: SparkSession) -> Iterator[None]:
+    """Tables dealt by some of the keys of a join are joined as they lie, for what runs inside.
+
+    Only for keys none of which has very many rows.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 

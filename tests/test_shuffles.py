@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from caseloom.operators.intervals import point_in_interval
 from caseloom.operators.skew import Sizes, hot_keys
+from caseloom.plans import cases as C
+from caseloom.session import joined_where_dealt
 from catalog import caseload
-from catalog.tables import repair_lines, repair_sizes
+from catalog.tables import REPAIRS, orders_are_small, repair_lines, repair_sizes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -99,3 +101,29 @@ def test_stays_are_made_once(spark, monkeypatch):
     assert "Join" in plan_of(repair_sizes(spark, SMALL).sample(0.5))
     for linked in (caseload._linked(spark, SMALL), caseload._links(spark, SMALL)[1]):
         assert "l_quantity" not in plan_of(linked)
+
+
+def test_lines_dealt_by_order_meet_their_ends_there(spark):
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        stays = caseload._stays(spark, SMALL)
+        # By customer and by order; nothing by id. For links, lines and ends are dealt once for both.
+        with joined_where_dealt(spark):
+            assert shuffled_records(stays) <= 3 * n + orders
+            assert shuffled_records(stays.select(*caseload.LINK_COLUMNS)) <= 2 * n + orders
+    finally:
+        spark.conf.set(limit, before)
+    plain = C.build_stays(*repair_lines(spark, SMALL), REPAIRS, opens=caseload.OPENS)
+    assert sorted(stays.select(*plain.columns).collect()) == sorted(plain.collect())
+
+
+def test_lines_of_a_huge_order_are_not_dealt_by_it(spark, tmp_path):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    lines.withColumn("l_orderkey", F.when(F.col("l_linenumber") < 4, 1).otherwise(F.col("l_orderkey")).cast("bigint")).write.parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    assert orders_are_small(spark, SMALL, 1000) and not orders_are_small(spark, str(tmp_path), 1000)
