@@ -389,9 +389,9 @@ def cluster_projection(spark, folder):
 
 
 def _document_features(spark, folder):
-    """Labelled documents with simple attributes of the whole text."""
+    """Labelled documents with simple attributes of the whole text, as a written table: fits pass over it several times."""
     documents = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
-    return documents.select(
+    features = documents.select(
         "doc_id",
         "quality",
         "lang",
@@ -400,22 +400,24 @@ def _document_features(spark, folder):
         F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
     )
+    return spark.read.parquet(S.write_table(features, scratch_path(spark, "document-features")))
 
 
 CATEGORIES, AMOUNTS = ["lang", "source"], ["n_chars", "n_words", "n_lines"]
 
 
-_FORESTS: dict[tuple[str, str], str] = {}
+_FORESTS: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def _forest(spark, folder):
     """The forest for document quality; searched for once per session and stored for those that follow."""
-    train, test = C.hash_split(_document_features(spark, folder), "doc_id")
     key = (spark.sparkContext.applicationId, folder)
     if key not in _FORESTS:
+        train, test = C.hash_split(_document_features(spark, folder), "doc_id")
         found = C.fit_forest(train, "quality", CATEGORIES, AMOUNTS)
-        _FORESTS[key] = S.save_model(found, scratch_path(spark, "forest"))
-    return S.load_model(_FORESTS[key]), test
+        _FORESTS[key] = S.save_model(found, scratch_path(spark, "forest")), test
+    path, test = _FORESTS[key]
+    return S.load_model(path), test
 
 
 @query()

@@ -234,3 +234,22 @@ def test_staged_accuracy_is_that_of_smaller_ensembles(spark, blobs):
     make = lambda n: GBTClassifier(labelCol=C.LABEL, featuresCol=C.FEATURES, seed=1, maxIter=n, maxDepth=1, subsamplingRate=0.6).fit(rows)
     alone = [make(n).transform(rows).filter(F.col("prediction") == F.col(C.LABEL)).count() / rows.count() for n in (1, 4)]
     assert C.staged_accuracy(make(4), rows, [4, 1]) == pytest.approx(alone[::-1])
+
+
+def test_cut_forests_are_those_fitted_by_themselves(spark, blobs):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    named = blobs.withColumn(C.LABEL, (F.col("flag") != (F.rand(2) < 0.1)).cast("double"))
+    rows = C.Pipeline(stages=C.preparation(named, ["model"], COLS)).fit(named).transform(named).select(C.FEATURES, C.LABEL).cache()
+    make = lambda n, depth: RandomForestClassifier(labelCol=C.LABEL, featuresCol=C.FEATURES, seed=1, numTrees=n, maxDepth=depth).fit(rows)
+    depths, found = [2, 1, 4, 6], C.forest_accuracy(make(25, 6), rows, [25, 3], [2, 1, 4, 6])
+    for depth, (whole, first) in zip(depths, found):
+        alone = make(25, depth).transform(rows).filter(F.col("prediction") == F.col(C.LABEL)).count() / rows.count()
+        assert whole == pytest.approx(alone) and 0 < first <= 1
+
+
+def test_one_fit_serves_all_depths_of_a_fold(spark, blobs, monkeypatch):
+    fits, fit = [], C.RandomForestClassifier.fit
+    monkeypatch.setattr(C.RandomForestClassifier, "fit", lambda self, rows: fits.append(self.getMaxDepth()) or fit(self, rows))
+    C.fit_forest(blobs, "flag", ["model"], COLS, {"numTrees": [2, 4], "maxDepth": [1, 3, 2]}, folds=2)
+    assert fits[:-1] == [3, 3] and fits[-1] in (1, 2, 3)
