@@ -349,12 +349,15 @@ def fit_forest(
     The first trees of a forest are a forest of their number, drawn like one fitted by itself, and the
     upper levels of a tree are one of less depth, so one fit per fold serves all numbers of trees and depths.
     """
+    grid = grid or FOREST_GRID
+    # Without a choice of depths Spark ML's own.
+    grid = {**grid, "maxDepth": grid.get("maxDepth", [5])}
     rows = with_label(train, label)
     # Each row keeps its node, so tasks do not get all trees grown so far with every level.
     make = lambda **setting: RandomForestClassifier(
         labelCol=LABEL, featuresCol=FEATURES, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **setting
     )
-    return _search(rows, preparation(rows, categories, numbers), make, "numTrees", grid or FOREST_GRID, folds, parallelism, seed, "maxDepth")
+    return _search(rows, preparation(rows, categories, numbers), make, "numTrees", grid, folds, parallelism, seed, "maxDepth")
 
 
 def fit_boosted(

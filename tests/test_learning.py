@@ -253,3 +253,8 @@ def test_one_fit_serves_all_depths_of_a_fold(spark, blobs, monkeypatch):
     monkeypatch.setattr(C.RandomForestClassifier, "fit", lambda self, rows: fits.append(self.getMaxDepth()) or fit(self, rows))
     C.fit_forest(blobs, "flag", ["model"], COLS, {"numTrees": [2, 4], "maxDepth": [1, 3, 2]}, folds=2)
     assert fits[:-1] == [3, 3] and fits[-1] in (1, 2, 3)
+
+
+def test_forest_without_choice_of_depth(spark, blobs):
+    model = C.fit_forest(blobs, "flag", [], ["a", "b"], {"numTrees": [2]}, folds=2)
+    assert model.stages[-1].getNumTrees == 2 and model.stages[-1].getMaxDepth() == 5
