@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.sql import functions as F
 
+from caseloom.operators import boost as B
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
 from caseloom.operators.features import any_per_entity, encode_labels, entity_features, label_decode, label_encode, sparse_counts, sparse_vectors
@@ -112,6 +113,52 @@ def test_boosted(spark, blobs):
     assert C.importances(model, blobs).count() == 3
 
 
+@pytest.fixture(scope="module")
+def folded(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        a, b, c = rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((a, b, c, float(a * b + 0.5 * c + rng.gauss(0, 0.6) > 0), i % 3))
+    df = spark.createDataFrame(rows, "a double, b double, c double, _label double, _fold int")
+    return C.VectorAssembler(inputCols=COLS, outputCol=C.FEATURES).transform(df).repartition(3).cache()
+
+
+@pytest.mark.parametrize("slice_rows", [10**6, 300])
+def test_runs_side_by_side_are_the_boosted_trees_of_spark(folded, monkeypatch, slice_rows):
+    monkeypatch.setattr(B, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(B, "WRITE_EVERY", 2)
+    settings = [{"maxDepth": 2, "stepSize": 0.3}, {"maxDepth": 4, "featureSubsetStrategy": "0.9"}]
+    got = B.boosted_accuracy(folded, C.FEATURES, C.LABEL, settings, [5, 2], 3)
+    assert len(got) == 6
+    for (at, fold), found in got.items():
+        fitted = C.GBTClassifier(labelCol=C.LABEL, featuresCol=C.FEATURES, seed=42, maxIter=5, **settings[at])
+        model = fitted.fit(folded.filter(F.col("_fold") != fold))
+        assert found == pytest.approx(C.staged_accuracy(model, folded.filter(F.col("_fold") == fold), [5, 2]))
+
+
+def test_runs_side_by_side_draw_rows_and_features(folded):
+    whole = {"maxDepth": 3, "stepSize": 0.3}
+    settings = [whole, {**whole, "subsamplingRate": 0.6}, {**whole, "featureSubsetStrategy": "0.6"}, {**whole, "featureSubsetStrategy": "0.8"}]
+    got = B.boosted_accuracy(folded, C.FEATURES, C.LABEL, settings, [6], 3)
+    assert got == B.boosted_accuracy(folded, C.FEATURES, C.LABEL, settings, [6], 3)
+    shares = [[got[at, fold][0] for fold in range(3)] for at in range(4)]
+    assert shares[0] == shares[3] and shares[1] != shares[0] != shares[2]
+    assert all(min(of) > 0.65 for of in shares)
+    assert [B.features_per_node(of, 10) for of in ("0.6", "1.0", "all", "sqrt", "log2", "onethird", "3", "20")] == [6, 10, 10, 4, 4, 4, 3, 10]
+
+
+def test_boosted_search_fits_the_chosen_setting_only(spark, blobs, monkeypatch):
+    fits = []
+    fit = C.GBTClassifier._fit
+    monkeypatch.setattr(C.GBTClassifier, "_fit", lambda self, df: fits.append(self.getMaxDepth()) or fit(self, df))
+    C.fit_boosted(blobs, "flag", COLS, {"maxIter": [2, 3], "maxDepth": [2, 3], "subsamplingRate": [0.6, 1.0]}, folds=2)
+    assert len(fits) == 1
+    # Parameters that the runs do not know are searched by Spark ML's own fits.
+    C.fit_boosted(blobs, "flag", COLS, {"maxIter": [2], "minInstancesPerNode": [1, 2]}, folds=2)
+    assert len(fits) == 1 + 4 + 1
+
+
 @pytest.mark.parametrize("limit", [10**6, 5])
 def test_roc_against_evaluator(spark, limit):
     rng = random.Random(6)
