@@ -108,14 +108,18 @@ def draw(*of: int) -> np.random.Generator:
 
 def leaves(trees: Trees, bins: np.ndarray, levels: int) -> np.ndarray:
     """(run, row): the node that a row has come to after so many levels."""
-    runs, nodes = trees.feature.shape
-    base, each = (np.arange(runs) * nodes)[:, None], np.arange(bins.shape[1])
-    feature, cut, bins = trees.feature.ravel(), trees.bin.ravel(), bins.ravel()
+    runs = len(trees.feature)
+    each, bins = np.arange(bins.shape[1]), bins.ravel()
+    # Where a node's feature begins among the bins; places there need 64 bits.
+    begins = trees.feature.astype(np.int64) * len(each)
     at = np.zeros((runs, len(each)), np.int64)
-    for _ in range(levels):
-        of = feature[base + at]
-        right = bins[of * len(each) + each] > cut[base + at]
-        at = np.where(of >= 0, 2 * at + 1 + right, at)
+    for run in range(runs):
+        here = at[run]
+        for _ in range(levels):
+            begin = begins[run].take(here)
+            right = bins.take(begin + each) > trees.bin[run].take(here)
+            here = np.where(begin >= 0, 2 * here + 1 + right, here)
+        at[run] = here
     return at
 
 
@@ -214,7 +218,7 @@ def _together(
         ranks = draw(seed, tree).random((2**depth - 1, features)).argsort(axis=1).argsort(axis=1)
         nodes = 2 ** (depth + 1) - 1
         trees = [
-            Trees(np.full((len(runs), nodes), -1, np.int16), np.zeros((len(runs), nodes), np.int16), np.zeros((len(runs), nodes)))
+            Trees(np.full((len(runs), nodes), -1), np.zeros((len(runs), nodes), np.int16), np.zeros((len(runs), nodes)))
             for _, runs in groups
         ]
         for level in range(depth):

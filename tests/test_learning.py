@@ -137,6 +137,21 @@ def test_runs_side_by_side_are_the_boosted_trees_of_spark(folded, monkeypatch, s
         assert found == pytest.approx(C.staged_accuracy(model, folded.filter(F.col("_fold") == fold), [5, 2]))
 
 
+def test_rows_walk_to_their_leaves_in_large_slices():
+    dice = np.random.default_rng(0)
+    bins = dice.integers(0, 32, (5, 20_000)).astype(np.int16)
+    feature = np.array([[4, 3, -1, 2, 1, -1, -1]], np.int16)
+    trees = B.Trees(feature, np.array([[9, 20, 0, 5, 17, 0, 0]], np.int16), np.zeros((1, 15)))
+    want = []
+    for row in bins.T:
+        node = 0
+        for _ in range(2):
+            if feature[0, node] >= 0:
+                node = 2 * node + 1 + int(row[feature[0, node]] > trees.bin[0, node])
+        want.append(node)
+    assert B.leaves(trees, bins, 2)[0].tolist() == want
+
+
 def test_runs_side_by_side_draw_rows_and_features(folded):
     whole = {"maxDepth": 3, "stepSize": 0.3}
     settings = [whole, {**whole, "subsamplingRate": 0.6}, {**whole, "featureSubsetStrategy": "0.6"}, {**whole, "featureSubsetStrategy": "0.8"}]
