@@ -25,6 +25,8 @@ PASSAGE = 50
 ROUNDS = 2
 #: Words hashed before rows are handed on.
 CHUNK = 1 << 17
+#: Characters of the neighbouring texts that are hashed together.
+BUNDLE = 1 << 17
 #: Least hashes of a paragraph of which a near copy has one: at the limit with probability 1 - 0.2**4 = 0.9984.
 MARKS = 4
 #: Least and most bits, as powers of two, of a shared table; in between it has eight per value or more.
@@ -98,14 +100,16 @@ def text_id(words: list[bytes]) -> bytes:
 
 
 class Words:
-    """The lines of a text that have words, and all words with their hashes."""
-
-    def __init__(self, text: str | None):
-        self.places, counts, self.words = [], [], []
-        for start, end, words in paragraphs(text or ""):
-            self.places.append((start, end))
-            counts.append(len(words))
-            self.words += words
+    """The lines of texts that have words, and all words with their hashes; ``ends`` are the lines and words up to the end of each text."""
+
+    def __init__(self, *texts: str | None):
+        self.places, counts, self.words, self.ends = [], [], [], []
+        for text in texts:
+            for start, end, words in paragraphs(text or ""):
+                self.places.append((start, end))
+                counts.append(len(words))
+                self.words += words
+            self.ends.append((len(self.places), len(self.words)))
         self.counts = np.array(counts, np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
@@ -130,6 +134,19 @@ class Words:
         return found
 
 
+def bundles(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """Neighbouring texts, hashed together, and the place of the first: arrays of many words cost less than many of few."""
+    found, first, size = [], 0, 0
+    for text in texts:
+        found.append(text.as_py())
+        size += len(found[-1] or "")
+        if size >= BUNDLE:
+            yield first, Words(*found)
+            found, first, size = [], first + len(found), 0
+    if found:
+        yield first, Words(*found)
+
+
 def _shared(docs: DataFrame, passage: int):
     """A table of the anchors of stretches and of the marks of lines that are in documents of more than one doc_id."""
     mixers, part = _mixers(), _part(passage)
@@ -137,17 +154,21 @@ def _shared(docs: DataFrame, passage: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, ids, waiting = [], [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                text = Words(text.as_py())
-                if not text.words:
-                    continue
-                values = [text.marks(mixers).ravel()]
-                if len(text.words) >= part:
-                    of = anchors(text.hashes, part)
-                    values.append(of[np.concatenate([[True], of[1:] != of[:-1]])])
-                found.append(np.unique(np.concatenate(values)).view(np.int64))
-                ids.append(np.full(len(found[-1]), doc_id))
-                waiting += len(found[-1])
+            doc_ids = batch["doc_id"].to_pylist()
+            for first, texts in bundles(batch["text"]):
+                marks = texts.marks(mixers)
+                least = anchors(texts.hashes, part) if len(texts.words) >= part else None
+                line, word = 0, 0
+                for doc_id, (line_end, word_end) in zip(doc_ids[first:], texts.ends):
+                    if word_end > word:
+                        values = [marks[line:line_end].ravel()]
+                        if word_end - word >= part:
+                            of = least[word : word_end - part + 1]
+                            values.append(of[np.concatenate([[True], of[1:] != of[:-1]])])
+                        found.append(np.unique(np.concatenate(values)).view(np.int64))
+                        ids.append(np.full(len(found[-1]), doc_id))
+                        waiting += len(found[-1])
+                    line, word = line_end, word_end
                 if waiting >= CHUNK:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found, ids)], names=["anchor", "doc_id"])
                     found, ids, waiting = [], [], 0
@@ -206,34 +227,39 @@ def _units(rows: DataFrame, table, passage: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sets, waiting = ([], [], []), [], 0
         for batch in batches:
-            for row, doc_id, of, text in zip(*(batch[c].to_pylist() for c in ("_row", "doc_id", "_of")), batch["text"]):
-                text = Words(text.as_py())
-                if not text.words:
+            names = list(zip(*(batch[c].to_pylist() for c in ("_row", "doc_id", "_of"))))
+            for first, texts in bundles(batch["text"]):
+                if not texts.words:
                     continue
-                name = (row, doc_id, of)
-                lines = np.flatnonzero(_in(table, text.marks(mixers)).any(axis=1))
-                every = stretches(text.hashes, SHINGLE) if len(lines) and len(text.words) >= SHINGLE else None
-                for line in lines.tolist():
-                    at, count = int(text.starts[line]), int(text.counts[line])
-                    rows[LINE].append((LINE, *name, line, *text.places[line], at, count, text_id(text.words[at : at + count])))
-                    sets.append(every[at : at + count - SHINGLE + 1] if count >= SHINGLE else None)
-                    waiting += count
-                if len(text.words) >= part:
-                    least = anchors(text.hashes, part)
-                    shared = _in(table, least)
-                    for at, count, keys in zip(*spans(text.hashes, np.unique(least[shared]), passage) if shared.any() else ([],) * 3):
-                        span = xxhash.xxh3_128_digest(text.hashes[at : at + count].tobytes())
-                        rows[SPAN].append((SPAN, *name, None, None, None, int(at), int(count), span, keys.tobytes(), None))
-                        waiting += 8
-                    runs = _runs(np.flatnonzero(shared[: len(text.words) - passage + 1] & shared[passage - part :])) if len(text.words) >= passage else []
-                    hashes = stretches(text.hashes, passage) if runs else None
-                    for run in runs:
-                        data = hashes[run[0] : run[-1] + 1].tobytes()
-                        rows[RUNS].append((RUNS, *name, None, None, None, int(run[0]), len(run), None, None, data))
-                        waiting += len(run)
-                if waiting >= CHUNK:
-                    yield finish(rows, sets)
-                    rows, sets, waiting = ([], [], []), [], 0
+                marked = _in(table, texts.marks(mixers)).any(axis=1)
+                every = stretches(texts.hashes, SHINGLE) if marked.any() and len(texts.words) >= SHINGLE else None
+                least = anchors(texts.hashes, part) if len(texts.words) >= part else None
+                anchored = _in(table, least) if least is not None else None
+                line, word = 0, 0
+                for name, (line_end, word_end) in zip(names[first:], texts.ends):
+                    size, hashes = word_end - word, texts.hashes[word:word_end]
+                    for mark in np.flatnonzero(marked[line:line_end]).tolist():
+                        at, count = int(texts.starts[line + mark]), int(texts.counts[line + mark])
+                        rows[LINE].append((LINE, *name, mark, *texts.places[line + mark], at - word, count, text_id(texts.words[at : at + count])))
+                        sets.append(every[at : at + count - SHINGLE + 1] if count >= SHINGLE else None)
+                        waiting += count
+                    if size >= part:
+                        shared = anchored[word : word_end - part + 1]
+                        wanted = np.unique(least[word : word_end - part + 1][shared])
+                        for at, count, keys in zip(*spans(hashes, wanted, passage) if len(wanted) else ([],) * 3):
+                            span = xxhash.xxh3_128_digest(hashes[at : at + count].tobytes())
+                            rows[SPAN].append((SPAN, *name, None, None, None, int(at), int(count), span, keys.tobytes(), None))
+                            waiting += 8
+                        runs = _runs(np.flatnonzero(shared[: size - passage + 1] & shared[passage - part :])) if size >= passage else []
+                        windows = stretches(hashes, passage) if runs else None
+                        for run in runs:
+                            data = windows[run[0] : run[-1] + 1].tobytes()
+                            rows[RUNS].append((RUNS, *name, None, None, None, int(run[0]), len(run), None, None, data))
+                            waiting += len(run)
+                    line, word = line_end, word_end
+                    if waiting >= CHUNK:
+                        yield finish(rows, sets)
+                        rows, sets, waiting = ([], [], []), [], 0
         if waiting:
             yield finish(rows, sets)
 
@@ -411,10 +437,12 @@ def classes(docs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _mix(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    mixed = one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed ^= mixed >> np.uint64(29)
+    mixed, other = one * np.uint64(0x9E3779B97F4A7C15), two * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed += other
+    mixed ^= np.right_shift(mixed, np.uint64(29), out=other)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(32))
+    mixed ^= np.right_shift(mixed, np.uint64(32), out=other)
+    return mixed
 
 
 def stretches(words: np.ndarray, count: int) -> np.ndarray:

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -151,6 +152,24 @@ def test_passages(spark, messy, nothing):
     assert {r.doc_id for r in paragraphs.repeated_passages(messy, passage=5).collect()} == {1, 2}
 
 
+def test_texts_hashed_together_are_hashed_as_alone():
+    dice = random.Random(5)
+    texts = ["\n".join(" ".join(prose(dice, dice.choice([1, 3, 5, 40]))) for _ in range(dice.randrange(6))) for _ in range(40)]
+    texts[3:5] = [None, " \n\t"]
+    mixers, line, word = paragraphs._mixers(), 0, 0
+    together = paragraphs.Words(*texts)
+    marks, least = together.marks(mixers), paragraphs.anchors(together.hashes, 33)
+    for text, (line_end, word_end) in zip(texts, together.ends, strict=True):
+        alone = paragraphs.Words(text)
+        assert together.places[line:line_end] == alone.places and (marks[line:line_end] == alone.marks(mixers)).all()
+        assert (together.hashes[word:word_end] == alone.hashes).all()
+        if len(alone.words) >= 33:
+            assert (least[word : word_end - 32] == paragraphs.anchors(alone.hashes, 33)).all()
+        line, word = line_end, word_end
+    cut = [(first, len(of.ends)) for first, of in paragraphs.bundles(pa.array(["x" * paragraphs.BUNDLE, "a", None, "y" * paragraphs.BUNDLE, "b"]))]
+    assert cut == [(0, 1), (1, 3), (4, 1)]
+
+
 def test_sketches_never_hide_similar_sets():
     dice = np.random.default_rng(3)
     for size in (1, 5, 60, 900):
