@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.clean import as_column
 from caseloom.operators.aggregate import known_rows, unpivot
 from caseloom.operators.boost import SETTINGS, boosted_accuracy
+from caseloom.operators.forest import ForestGrower, GrownForest
 from caseloom.operators.ordered import MAX_GROUP_ROWS, OrderedGroups
 from caseloom.session import scratch_path
 
@@ -164,8 +165,11 @@ NODE = "tree int, id int, left int, right int, feature int, threshold double, pr
 
 def _nodes(model, spark) -> DataFrame:
     """``NODE`` of a forest's trees, ids from the root on; ``vote`` is the positive share of the rows at a node less the negative one."""
-    path = scratch_path(spark, "forest-nodes")
-    model.write().save(path)
+    if isinstance(model, GrownForest):
+        path = model.path
+    else:
+        path = scratch_path(spark, "forest")
+        model.write().save(path)
     node, split = "nodeData", "nodeData.split"
     positive, negative = (F.coalesce(F.get(f"{node}.impurityStats", F.lit(i)), F.lit(0.0)) for i in (1, 0))
     value, kinds = F.get(f"{split}.leftCategoriesOrThreshold", F.lit(0)), F.col(f"{split}.numCategories")
@@ -176,7 +180,7 @@ def _nodes(model, spark) -> DataFrame:
         F.col("treeID").alias("tree"), f"{node}.id", F.when(turned, right).otherwise(left).alias("left"),
         F.when(turned, left).otherwise(right).alias("right"), F.col(f"{split}.featureIndex").alias("feature"),
         F.when(kinds == -1, value).otherwise(0.5).alias("threshold"), f"{node}.prediction",
-        F.try_divide(positive - negative, positive + negative).alias("vote"),
+        F.coalesce(F.try_divide(positive - negative, positive + negative), F.lit(0.0)).alias("vote"),
     )
 
 
@@ -232,26 +236,30 @@ def forest_accuracy(model, rows: DataFrame, sizes: Sequence[int], depths: Sequen
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values, labels = batch["x"].flatten().to_numpy(), batch["label"].to_numpy()
+                # A feature's values lie side by side.
+                values, labels = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1).T, batch["label"].to_numpy()
                 columns = [pa.array([len(labels)], pa.int32()), *(pa.array([of.astype(float).tobytes()], pa.binary()) for of in (values, labels))]
                 yield pa.RecordBatch.from_arrays(columns, names=["n", "x", "label"])
 
     blocks = rows.select(vector_to_array(FEATURES).alias("x"), F.col(LABEL).alias("label")).mapInArrow(block, "n int, x binary, label binary")
-    blocks = blocks.withColumn("block", F.monotonically_increasing_id())
+    # Written, so that they are not made anew for each group of trees that they meet.
+    path = scratch_path(spark, "judged")
+    blocks.withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
+    blocks = spark.read.parquet(path)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x = np.frombuffer(row["x"]).reshape(row["n"], -1)
+                x, n, each = np.frombuffer(row["x"]), row["n"], np.arange(row["n"])
                 roots, feature, left, right = (np.frombuffer(row[n], np.int64) for n in ("roots", "feature", "left", "right"))
                 threshold, votes = np.frombuffer(row["threshold"]), np.frombuffer(row["votes"]).reshape(len(depths), -1)
-                total, each = np.zeros((len(depths), row["n"])), np.arange(row["n"])
+                total, begins, sides = np.zeros((len(depths), n)), feature * n, np.stack([left, right], axis=1).ravel()
                 for root in roots:
-                    at = np.full(row["n"], root)
+                    at = np.full(n, root)
                     for depth in range(max(depths) + 1):
                         for place in np.flatnonzero(np.equal(depths, depth)):
-                            total[place] += votes[place, at]
-                        at = np.where(x[each, feature[at]] <= threshold[at], left[at], right[at])
+                            total[place] += votes[place].take(at)
+                        at = sides.take(2 * at + ~(x.take(begins.take(at) + each) <= threshold.take(at)))
                 columns = [[row["block"]], [row["part"]], [row["label"]], [total.tobytes()]]
                 types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "part", "label", "votes"])
@@ -332,6 +340,8 @@ def _search(
         best = make(**settings[at], **{size: n}).fit(rows)
     finally:
         rows.unpersist()
+    if isinstance(best, GrownForest):
+        best = best.loaded(train.sparkSession)
     return PipelineModel(stages=[*prepared.stages, best])
 
 
@@ -359,8 +369,8 @@ def fit_forest(
     # Without a choice of depths Spark ML's own.
     grid = {**grid, "maxDepth": grid.get("maxDepth", [5])}
     rows = with_label(train, label)
-    # Each row keeps its node, so tasks do not get all trees grown so far with every level.
-    make = lambda **setting: RandomForestClassifier(
+    # If Spark ML fits, each row keeps its node, so tasks do not get all trees grown so far with every level.
+    make = lambda **setting: ForestGrower(
         labelCol=LABEL, featuresCol=FEATURES, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **setting
     )
     return _search(rows, preparation(rows, categories, numbers), make, "numTrees", grid, folds, parallelism, seed, "maxDepth")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.operators import boost as B
 from caseloom.operators import classify as C
 from caseloom.operators import cluster as K
+from caseloom.operators import forest as G
 from caseloom.operators.features import any_per_entity, encode_labels, entity_features, label_decode, label_encode, sparse_counts, sparse_vectors
 from caseloom.plans import learning
 from caseloom.sources import load_model, save_model
@@ -320,3 +321,63 @@ def test_one_fit_serves_all_depths_of_a_fold(spark, blobs, monkeypatch):
 def test_forest_without_choice_of_depth(spark, blobs):
     model = C.fit_forest(blobs, "flag", [], ["a", "b"], {"numTrees": [2]}, folds=2)
     assert model.stages[-1].getNumTrees == 2 and model.stages[-1].getMaxDepth() == 5
+
+
+def _nested(nodes, at=0):
+    """A tree as nested tuples, whatever the ids of its nodes."""
+    node = nodes[at]
+    said = (node.prediction, node.rawCount, list(node.impurityStats), pytest.approx(node.impurity))
+    if node.leftChild < 0:
+        return said
+    split = (node.split.featureIndex, node.split.leftCategoriesOrThreshold, pytest.approx(node.gain))
+    return said, split, _nested(nodes, node.leftChild), _nested(nodes, node.rightChild)
+
+
+def test_a_tree_grown_on_held_rows_is_that_of_spark(spark, folded, tmp_path, monkeypatch):
+    monkeypatch.setattr(G, "COUNT_BYTES", 4 * 3 * G.BINS * 16)
+    whole = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all", "maxDepth": 9}
+    C.RandomForestClassifier(labelCol=C.LABEL, featuresCol=C.FEATURES, **whole).fit(folded).write().save(f"{tmp_path}/model")
+    rows = folded.select(G.vector_to_array(C.FEATURES).alias("x"), F.col(C.LABEL).alias("label"))
+    cuts = [B.fold_bounds(rows.withColumn("_fold", F.lit(1)), 1, 1)[0, at] for at in range(3)]
+    codes = G.coded(rows, cuts)
+    tree = G.pruned(G.grow(codes, np.ones(900), 9, lambda nodes: np.tile(np.arange(3), (nodes, 1))))
+    spark.createDataFrame(G.pa.Table.from_batches([G.stored(0, tree, cuts)]), G.STORED).write.parquet(f"{tmp_path}/grown")
+    found, want = (
+        _nested([r.nodeData for r in spark.read.parquet(path).orderBy("nodeData.id").collect()]) for path in (f"{tmp_path}/grown", f"{tmp_path}/model/data")
+    )
+    assert len(tree.left) > 100 and found == want
+
+
+def test_forest_search_fits_no_rows_in_spark(spark, folded, monkeypatch):
+    fitted, fit = [], C.RandomForestClassifier._fit
+    monkeypatch.setattr(C.RandomForestClassifier, "_fit", lambda self, rows: fitted.append(rows.count()) or fit(self, rows))
+    rows = folded.select("a", "b", "c", F.col(C.LABEL).alias("flag"))
+    model = C.fit_forest(rows, "flag", [], COLS, {"numTrees": [30, 15], "maxDepth": [8, 2]}, folds=2)
+    assert max(fitted) == 2
+    assert C.score(model, rows, "flag").filter("label = prediction").count() > 800
+    assert sum(model.stages[-1].featureImportances) == pytest.approx(1.0)
+    # Too many rows for a task go to Spark ML's own fits, as before.
+    monkeypatch.setattr(G, "HELD_BYTES", 100)
+    C.fit_forest(rows, "flag", [], COLS, {"numTrees": [3], "maxDepth": [2]}, folds=2)
+    assert fitted[-1] == 900
+
+
+def test_a_grown_forest_speaks_like_the_model_loaded(spark, folded):
+    grower = G.ForestGrower(labelCol=C.LABEL, featuresCol=C.FEATURES, seed=5, numTrees=25, maxDepth=6)
+    grown = grower.fit(folded)
+    [[found]] = C.forest_accuracy(grown, folded, [25], [6])
+    model = grown.loaded(spark)
+    assert model.getNumTrees == 25 and model.numFeatures == 3 and model.getMaxDepth() == 6
+    right = lambda of: of.transform(folded).filter(F.col("prediction") == F.col(C.LABEL)).count() / 900
+    assert found == pytest.approx(right(model))
+    assert right(grower.fitted_by_spark(folded)) == pytest.approx(found, abs=0.03)
+    # Trees differ, for each draws its own rows and features.
+    assert len({tuple(tree.featureImportances) for tree in model.trees}) == 25
+
+
+def test_other_classes_and_parameters_are_fitted_by_spark(folded):
+    make = lambda **more: G.ForestGrower(labelCol=C.LABEL, featuresCol=C.FEATURES, numTrees=2, maxDepth=2, **more)
+    assert isinstance(make().fit(folded), G.GrownForest)
+    three = folded.withColumn(C.LABEL, F.col("_fold").cast("double"))
+    assert make().fit(three).numClasses == 3
+    assert make(minInstancesPerNode=5).fit(folded).getMinInstancesPerNode() == 5
