@@ -348,6 +348,23 @@ def test_a_tree_grown_on_held_rows_is_that_of_spark(spark, folded, tmp_path, mon
     assert len(tree.left) > 100 and found == want
 
 
+def test_features_of_two_bins_are_counted_together():
+    dice = np.random.default_rng(3)
+    groups = [dice.integers(0, 5, 4_000), dice.integers(0, 3, 4_000)]
+    bins = np.stack([*(groups[0] == at for at in range(4)), *dice.integers(0, 32, (2, 4_000)), *(groups[1] == at for at in range(3)), np.zeros(4_000)])
+    label = (bins[4] + 9 * bins[0] - 7 * bins[7] + 6 * dice.normal(size=4_000) > 14).astype(int)
+    codes, weights = (2 * bins + label).astype(np.uint8), dice.poisson(1.0, 4_000).astype(float)
+    of_two = G.hot(codes, [2, 2, 2, 2, 32, 32, 2, 2, 2, 1], 4)
+    assert of_two.many == 8 and len(of_two.codes) == 2
+    found, want = (
+        G.grow(codes, weights, 10, lambda nodes, dice=np.random.default_rng(1): dice.random((nodes, 10)).argsort(axis=1)[:, :4], of)
+        for of in (of_two, None)
+    )
+    assert len(want.left) > 300 and all(np.array_equal(a, b) for a, b in zip(found, want))
+    # Rows with too many of them have every feature counted by itself.
+    assert G.hot(codes, [2] * 4 + [32] * 2 + [2] * 4, 1).many == 0
+
+
 def test_forest_search_fits_no_rows_in_spark(spark, folded, monkeypatch):
     fitted, fit = [], C.RandomForestClassifier._fit
     monkeypatch.setattr(C.RandomForestClassifier, "_fit", lambda self, rows: fitted.append(rows.count()) or fit(self, rows))
