@@ -390,16 +390,17 @@ def cluster_projection(spark, folder):
 
 def _document_features(spark, folder):
     """Labelled documents with simple attributes of the whole text, as a written table: fits pass over it several times."""
-    documents = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
-    features = documents.select(
+    # Counted before the labels are joined, so that no text is shuffled for them.
+    documents = table(spark, folder, "documents").select(
         "doc_id",
-        "quality",
         "lang",
         "source",
         F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
     )
+    features = documents.join(table(spark, folder, "labels"), "doc_id")
+    features = features.select("doc_id", "quality", "lang", "source", "n_chars", "n_words", "n_lines")
     return spark.read.parquet(S.write_table(features, scratch_path(spark, "document-features")))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -264,6 +265,21 @@ def test_registered_searches_are_whole(spark, monkeypatch, name, grid):
     assert asked.value.args == (grid, 5)
 
 
+def test_no_text_is_joined_with_labels(spark, monkeypatch):
+    from catalog import learning
+
+    written, write = [], learning.S.write_table
+    monkeypatch.setattr(learning.S, "write_table", lambda df, path: written.append(df) or write(df, path))
+    found = learning._document_features(spark, "/root/testdata/sf0.001")
+    plan = written[0]._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "n_words" in plan.output().toString() and "text" not in plan.output().toString()
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    counted = {r["doc_id"]: (len(re.split(r"[ \t\n\x0b\f\r]+", r["text"])), r["text"].count("\n") + 1) for r in documents.collect()}
+    assert {r["doc_id"]: (r["n_words"], r["n_lines"]) for r in found.collect()} == {r["doc_id"]: counted[r["doc_id"]] for r in labels.collect()}
+
+
 def test_saved_codes_stay(spark, tmp_path):
     rows = [("v1", "golf"), ("v2", "up"), ("v3", None)]
     df = spark.createDataFrame(rows, "id string, m string")
